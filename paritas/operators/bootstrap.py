@@ -68,7 +68,8 @@ def _resamples(df: DataFrame, value: str, resamples: int, seed: int, draws: str)
         numbers = hist.select(F.explode(F.sequence(F.col("upto") - F.col("c"), F.col("upto") - 1)).alias("i"))
         numbers = numbers.repartition("i").select("i", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b"))
         drawn = numbers.select("b", F.lit(seed).alias("seed"), index_draw(total, F.lit(seed), F.col("b"), F.col("i")).alias("d"))
-        picked = drawn.select("b", F.element_at(values, (_search(ends, F.col("d")) + 1).cast("int")).alias("v"))
+        placed = drawn.withColumn("vs", values).withColumn("es", ends)
+        picked = placed.select("b", F.element_at("vs", (_search(F.col("es"), F.col("d")) + 1).cast("int")).alias("v"))
         return picked.groupBy("b", "v").agg(F.count("*").alias("m"))
     if draws != "multinomial":
         raise ValueError(f"unknown draws {draws!r}")

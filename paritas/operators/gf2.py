@@ -7,8 +7,9 @@ and a hot detector, fault or shot never gathers in one task as raw rows.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -100,32 +101,31 @@ def shared_detectors(support: DataFrame, edges: DataFrame) -> DataFrame:
 def support_components(support: DataFrame, edges: DataFrame, max_rounds: int = 64, every: int = 4) -> DataFrame:
     """(shot, fault, component): connected components, named by their smallest fault.
 
-    Label propagation through detectors: labels flow fault -> detector (min) -> fault (min), with
-    a pointer jump per step so that long chains take logarithmically many steps. Only the number
-    of changed labels returns to the driver.
+    Labels spread fault -> detector -> fault as minima over one shot's entries. All entries of a
+    shot share a partition (a support is at most the incidence), so the rounds need no further
+    shuffle. Settled shots leave after every few rounds; only "any left?" returns to the driver.
     """
     from paritas.session import cut_lineage
 
-    touched = cut_lineage(support.select("shot", "fault").distinct().join(edges, "fault"))
-    lone = support.select("shot", "fault").distinct().join(
-        touched.select("shot", "fault").distinct(), ["shot", "fault"], "left_anti")
-    labels = touched.groupBy("shot", "fault").agg(F.min("fault").alias("component"))
-    for step in range(max_rounds):
-        by_det = touched.join(labels, ["shot", "fault"]).groupBy("shot", "det").agg(F.min("component").alias("component"))
-        pulled = touched.join(by_det, ["shot", "det"]).groupBy("shot", "fault").agg(F.min("component").alias("pulled"))
-        jump = labels.select("shot", F.col("fault").alias("pulled"), F.col("component").alias("_jump"))
-        new = labels.join(pulled, ["shot", "fault"]).join(jump, ["shot", "pulled"], "left").select(
-            "shot", "fault", F.col("component").alias("_old"),
-            F.least("component", "pulled", F.coalesce("_jump", F.col("pulled"))).alias("component"))
-        if step % every == every - 1:
-            new = cut_lineage(new)
-            if new.where(F.col("_old") != F.col("component")).isEmpty():
-                labels = new.drop("_old")
-                break
-        labels = new.drop("_old")
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} steps")
-    return labels.unionByName(lone.withColumn("component", F.col("fault")))
+    distinct = support.select("shot", "fault").distinct()
+    touched = distinct.join(edges, "fault", "left").select("shot", "fault", "det", F.col("fault").alias("component"))
+    by_det, by_fault, by_shot = (Window.partitionBy(*k) for k in (["shot", "det"], ["shot", "fault"], ["shot"]))
+    open_rows = touched.repartition("shot")
+    settled: list[DataFrame] = []
+    for _ in range(0, max_rounds, every):
+        for step in range(every):
+            if step == every - 1:
+                open_rows = open_rows.withColumn("_old", F.col("component"))
+            spread = F.when(F.col("det").isNull(), F.col("component")).otherwise(F.min("component").over(by_det))
+            open_rows = open_rows.withColumn("component", spread)
+            open_rows = open_rows.withColumn("component", F.min("component").over(by_fault))
+        moved = F.bool_or(F.col("_old") != F.col("component")).over(by_shot)
+        open_rows = cut_lineage(open_rows.withColumn("_moved", moved).drop("_old"))
+        settled.append(open_rows.where(~F.col("_moved")).select("shot", "fault", "component").distinct())
+        open_rows = open_rows.where("_moved").drop("_moved")
+        if open_rows.isEmpty():
+            return reduce(DataFrame.unionByName, settled)
+    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
 def cluster_terms(components: DataFrame, faults: DataFrame) -> DataFrame:
