@@ -1,6 +1,6 @@
 """Every registered query, by section."""
 
-from paritas.catalog import campaign, incidence, selection, statistics
+from paritas.catalog import campaign, incidence, plans, selection, statistics
 from paritas.catalog.base import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "campaign", "incidence", "selection", "statistics"]
+__all__ = ["ORACLE", "QUERIES", "campaign", "incidence", "plans", "selection", "statistics"]

@@ -242,8 +242,8 @@ def chunk_checksums(t: Tables):
 def verify_chunks(t: Tables):
     rows = run(t).where("arm = 'a'")
     marks = C.chunk_checksums(rows, COLS).where("chunk % 5 <> 3")
-    first = F.min("shot").over(__import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy("chunk"))
-    damaged = rows.where("chunk % 5 <> 1").withColumn("_first", first).where("not (chunk % 5 = 2 and shot = _first)")
+    first = rows.groupBy("chunk").agg(F.min("shot").alias("_first"))
+    damaged = rows.where("chunk % 5 <> 1").join(first, "chunk").where("not (chunk % 5 = 2 and shot = _first)")
     damaged = damaged.withColumn("iterations", F.when((F.col("chunk") % 5 == 0) & (F.col("shot") == F.col("_first")), F.col("iterations") + 1).otherwise(F.col("iterations")))
     return C.verify_chunks(damaged, COLS, marks)
 

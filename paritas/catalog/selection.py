@@ -191,7 +191,7 @@ def refused_replays(t: Tables):
 
 
 @query("r5_failure_causes", f"""WITH {CONF}, sn AS (SELECT k.decode, bool_or(k.klass = c.truth) AS seen FROM kept k JOIN conf c USING (decode) GROUP BY k.decode)
-SELECT CASE WHEN best_class = truth THEN 'correct' WHEN gap_state = 'none' THEN 'no_solution' WHEN seen THEN 'not_returned' ELSE 'never_found' END AS cause, count(*) AS n FROM conf LEFT JOIN sn USING (decode) GROUP BY ALL""")
+SELECT CASE WHEN best_class = truth THEN 'correct' WHEN gap_state = 'none' THEN 'no_solution' WHEN sn.seen THEN 'not_returned' ELSE 'never_found' END AS cause, count(*) AS n FROM conf LEFT JOIN sn USING (decode) GROUP BY ALL""")
 def failure_causes(t: Tables):
     return shaped(L.failure_causes(kept(t), decodes(t)), "n", "", "cause")
 

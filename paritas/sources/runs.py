@@ -69,7 +69,7 @@ def read_mechanisms(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
 
     def targets(pattern: str, name: str) -> DataFrame:
         found = F.regexp_extract_all("value", F.lit(pattern), F.lit(1))
-        return odd(numbered.select("fault", F.explode(found).cast("bigint").alias(name)), [name, "fault"])
+        return odd(numbered.select("fault", F.explode(found.cast("array<bigint>")).alias(name)), [name, "fault"])
 
     return (numbered.select("fault", "p", F.col("value").contains("^").alias("decomposed")),
             targets(DETECTOR, "det"), targets(OBSERVABLE, "obs"), parsed.where(~good).select("value"))
