@@ -240,7 +240,6 @@ def relay_decode(edges: DataFrame, faults: DataFrame, fired: DataFrame, sids: Da
         "nconv", F.lit(0)).withColumn("extra", F.lit(-1))
     legs: list[DataFrame] = []
     supports: list[DataFrame] = []
-    multi = spec.num_sets > 0
     for leg in range(spec.num_sets + 1):
         limit = spec.pre_iter if leg == 0 else spec.set_max_iter
         state = _run_leg(state, spec, leg, memory0 or leg > 0, ar, block)
@@ -252,8 +251,7 @@ def relay_decode(edges: DataFrame, faults: DataFrame, fired: DataFrame, sids: Da
         spent = F.lit(False) if cap is None or last else F.col("used") >= cap
         stop = cut_short | met
         state = state.withColumn("cap_hit", (cut_short | (spent & ~met)) & (F.col("extra") < 0)).withColumn("stop", stop | spent)
-        if multi:
-            state = cut_lineage(state)
+        state = cut_lineage(state)
         legs.append(_leg_rows(state, leg, ar))
         kept = state.where(F.col("lead") & F.col("hard") & (F.col("done") | F.lit(leg == 0)))
         supports.append(kept.select("sid", F.lit(leg).alias("leg"), "fault", F.col("done").alias("converged")))
@@ -279,8 +277,7 @@ def relay_decode(edges: DataFrame, faults: DataFrame, fired: DataFrame, sids: Da
             "nu", F.col("lam")).withColumn("done", F.lit(False)).withColumn("it", F.lit(0)).withColumn("hard", F.lit(False)).withColumn("budget", budget)
     trace = reduce(DataFrame.unionByName, legs)
     found = reduce(DataFrame.unionByName, supports)
-    if multi:
-        trace = cut_lineage(trace)
+    trace = cut_lineage(trace)
     by_leg = Window.partitionBy("sid").orderBy("leg")  # at most num_sets + 1 legs
     earlier = F.min(F.when(F.col("converged"), F.col("weight"))).over(by_leg.rowsBetween(Window.unboundedPreceding, -1))
     became = F.col("converged") & (F.coalesce(F.col("weight") < earlier, F.lit(True)))
@@ -312,7 +309,7 @@ def syndrome_classes(fired: DataFrame, shots: DataFrame) -> tuple[DataFrame, Dat
     loud = keyed.join(classes, "key").select("shot", "sid")
     quiet = shots.select("shot").join(keyed.select("shot"), "shot", "left_anti")
     silent = quiet.agg(F.min("shot")).scalar()
-    membership = loud.unionByName(quiet.withColumn("sid", silent))
+    membership = cut_lineage(loud.unionByName(quiet.withColumn("sid", silent)))
     return membership, classes.select("sid", F.explode("key").alias("det"))
 
 
