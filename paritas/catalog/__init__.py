@@ -1,6 +1,6 @@
 """Every registered query, by section."""
 
-from paritas.catalog import campaign, decoding, incidence, plans, selection, statistics
+from paritas.catalog import campaign, decoding, incidence, plans, selection, statistics, streams
 from paritas.catalog.base import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "campaign", "decoding", "incidence", "plans", "selection", "statistics"]
+__all__ = ["ORACLE", "QUERIES", "campaign", "decoding", "incidence", "plans", "selection", "statistics", "streams"]

@@ -207,7 +207,7 @@ def _run_leg(msg: DataFrame, spec: RelaySpec, leg: int, memory: bool, ar, block:
             live = cut_lineage(live)
             over = F.col("done") | (F.col("it") >= F.col("budget"))
             parts.append(live.where(over))
-            live = live.where(~over)
+            live = live.where(~over).repartition("sid")
             if live.isEmpty():
                 return reduce(DataFrame.unionByName, parts)
     return reduce(DataFrame.unionByName, [*parts, live])
@@ -273,7 +273,7 @@ def relay_decode(edges: DataFrame, faults: DataFrame, fired: DataFrame, sids: Da
         if gammas is None:
             raise ValueError("relay legs need memory strengths")
         budget = F.lit(spec.set_max_iter) if cap is None else F.least(F.lit(spec.set_max_iter), F.lit(cap) - F.col("used"))
-        state = gammas(state, leg + 1).withColumn("strength", ar.strength(F.col("_g"))).drop("_g", "stop", "cap_hit").withColumn(
+        state = gammas(state, leg + 1).repartition("sid").withColumn("strength", ar.strength(F.col("_g"))).drop("_g", "stop", "cap_hit").withColumn(
             "nu", F.col("lam")).withColumn("done", F.lit(False)).withColumn("it", F.lit(0)).withColumn("hard", F.lit(False)).withColumn("budget", budget)
     trace = reduce(DataFrame.unionByName, legs)
     found = reduce(DataFrame.unionByName, supports)

@@ -122,7 +122,7 @@ def support_components(support: DataFrame, edges: DataFrame, max_rounds: int = 6
         moved = F.bool_or(F.col("_old") != F.col("component")).over(by_shot)
         open_rows = cut_lineage(open_rows.withColumn("_moved", moved).drop("_old"))
         settled.append(open_rows.where(~F.col("_moved")).select("shot", "fault", "component").distinct())
-        open_rows = open_rows.where("_moved").drop("_moved")
+        open_rows = open_rows.where("_moved").drop("_moved").repartition("shot")
         if open_rows.isEmpty():
             return reduce(DataFrame.unionByName, settled)
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

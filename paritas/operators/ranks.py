@@ -3,7 +3,7 @@
 A running total over a whole table is split in two: rows are range-partitioned on the order keys
 (ties may be split anywhere, so a value holding a third of the rows still spreads), each slice
 gets its own running sum, and the slices' totals -- one row per shuffle partition -- give the
-offsets. The range-partitioned rows are checkpointed first, because the slice boundaries come from
+offsets. The range-partitioned rows are written out first, because the slice boundaries come from
 sampling and must be the same for the totals and for the rows, also after an executor is lost.
 """
 

@@ -28,10 +28,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Write df to the shared checkpoint folder and continue from there."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write df as a table in the shared checkpoint folder and continue from it.
+
+    A written table is computed once, where Dataset.checkpoint computes its plan twice; it survives
+    lost executors, and later plans see its real size. It carries no partitioning: callers whose
+    next step needs one ask for it.
+    """
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
