@@ -54,7 +54,7 @@ class FloatArithmetic:
         before = F.coalesce(F.sum("eta").over(by_det.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
         after = F.coalesce(F.sum("eta").over(by_det.rowsBetween(1, Window.unboundedFollowing)), F.lit(0.0))
         total = F.sum("eta").over(by_det.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-        return msg.withColumn("_rest", bias + (before + after)).withColumn("_sigma", bias + total).withColumnRenamed("_rest", "_nu")
+        return msg.withColumns({"_nu": bias + (before + after), "_sigma": bias + total})
 
     def weight(self, hard: Column, lam: Column) -> Column:
         return F.sum(F.when(hard & (lam < HUGE), lam).otherwise(F.lit(0.0)))
@@ -105,11 +105,10 @@ def check_update(msg: DataFrame, spec: RelaySpec, t: int, ar) -> DataFrame:
     detector sends the largest message.
     """
     row = Window.partitionBy("sid", "det")
-    first = msg.withColumn("_m1", F.min(F.abs("nu")).over(row)).withColumn(
-        "_par", (F.sum((F.col("nu") < 0).cast("int")).over(row) + F.col("fired")) % 2)
+    first = msg.withColumns({"_m1": F.min(F.abs("nu")).over(row), "_par": (F.sum((F.col("nu") < 0).cast("int")).over(row) + F.col("fired")) % 2})
     smallest = F.abs("nu") == F.col("_m1")
-    second = first.withColumn("_low", smallest).withColumn(
-        "_n1", F.sum(smallest.cast("int")).over(row)).withColumn("_m2", F.min(F.when(~smallest, F.abs("nu"))).over(row))
+    second = first.withColumns({
+        "_low": smallest, "_n1": F.sum(smallest.cast("int")).over(row), "_m2": F.min(F.when(~smallest, F.abs("nu"))).over(row)})
     m2 = F.when(F.col("_n1") > 1, F.col("_m1")).otherwise(F.coalesce("_m2", ar.top()))
     size = F.when(F.col("_low"), ar.scale(m2, spec, t)).otherwise(ar.scale(F.least("_m1", ar.top()), spec, t))
     negative = (F.col("_par") == 1) != (F.col("nu") < 0)
@@ -126,11 +125,13 @@ def hard_decision(msg: DataFrame, t: int) -> DataFrame:
     """Takes the iteration over for syndromes that still run, decides, and tests convergence."""
     row, whole = Window.partitionBy("sid", "det"), Window.partitionBy("sid")
     live = ~F.col("done") & (F.col("it") < F.col("budget"))
-    hard = F.when(live, F.col("_sigma") <= 0).otherwise(F.col("hard"))
-    moved = msg.withColumn("_live", live).withColumn("hard", hard).withColumn(
-        "nu", F.when(live, F.col("_nu")).otherwise(F.col("nu"))).withColumn(
-        "marg", F.when(live, F.col("_sigma")).otherwise(F.col("marg"))).withColumn(
-        "it", F.when(live, F.lit(t + 1)).otherwise(F.col("it")))
+
+    def taken(new: Column, old: str) -> Column:
+        return F.when(live, new).otherwise(F.col(old))
+
+    moved = msg.withColumns({
+        "_live": live, "hard": taken(F.col("_sigma") <= 0, "hard"), "nu": taken(F.col("_nu"), "nu"),
+        "marg": taken(F.col("_sigma"), "marg"), "it": taken(F.lit(t + 1), "it")})
     odd = (F.sum(F.col("hard").cast("int")).over(row) + F.col("fired")) % 2 == 1
     tested = moved.withColumn("_bad", odd & F.col("ask"))
     return tested.withColumn("done", F.col("done") | (F.col("_live") & ~F.bool_or("_bad").over(whole))).drop(

@@ -19,7 +19,7 @@ from paritas.functions.bits import bit
 from paritas.operators import lookup
 from paritas.operators.bp import relay_decode
 from paritas.plans.spec import RelaySpec, WindowSpec
-from paritas.plans.windows import PLACE, WindowPlan, dedup_shapes
+from paritas.plans.windows import PLACE, WindowPlan
 from paritas.session import bounded_broadcast, cut_lineage
 
 RECORD = ("struct<window:bigint,attempts:int,converged:boolean,iterations:bigint,legs:bigint,ties:bigint,weight:double,committed_weight:double,"
@@ -54,21 +54,22 @@ class LoadedPlan:
 
 def load_plan(plan: WindowPlan) -> LoadedPlan:
     """The plan's local problems on the driver: at most 63 columns and rows per placement."""
-    most = plan.columns.groupBy(*PLACE).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
-    height = plan.rows.groupBy(*PLACE).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
-    if most > 63 or height > 63:
-        raise ValueError(f"a window with {most} columns and {height} rows is too large to decode by words; at most 63 of each")
+    heights = plan.rows.groupBy(*PLACE).agg(F.count("*").alias("rows"))
+    sizes = plan.columns.groupBy(*PLACE).agg(F.count("*").alias("n")).join(heights, PLACE).agg(F.max("n").alias("n"), F.max("rows").alias("rows")).first()
+    if sizes.n > 63 or sizes.rows > 63:
+        raise ValueError(f"a window with {sizes.n} columns and {sizes.rows} rows is too large to decode by words; at most 63 of each")
     offset = (F.col("window") * plan.spec.commit) * plan.per_round
     masks = plan.edges.groupBy(*PLACE, "fault").agg(F.bit_or(bit(F.col("det") - offset)).alias("mask"))
     columns = plan.columns.join(masks, [*PLACE, "fault"]).groupBy(*PLACE).agg(
         F.array_sort(F.collect_list(F.struct("fault", "mask", "lam", "cls", "commit", "global_fault"))).alias("c"))
     asked = plan.rows.groupBy(*PLACE).agg(
         F.sum(F.when(F.col("converge"), bit(F.col("det") - offset)).otherwise(F.lit(0))).alias("asked"), F.count("*").alias("rows"))
-    table = plan.placements.join(columns, PLACE).join(asked, PLACE).join(dedup_shapes(plan), PLACE)
-    places = {}
-    for r in table.collect():
+    table = plan.placements.join(columns, PLACE).join(asked, PLACE)
+    places, shapes = {}, {}
+    for r in sorted(table.collect(), key=lambda r: (r.window, r.attempt)):
         problem = lookup.SmallProblem(r.rows, tuple(c.mask for c in r.c), tuple(c.lam for c in r.c), tuple(c.cls for c in r.c), tuple(c.commit for c in r.c))
-        places[r.window, r.attempt] = Place(r.window, r.attempt, r.first_round, r.last_round, r.commit_rounds, r.final, r["shape"], problem,
+        shape = shapes.setdefault((problem, r.asked), len(shapes))
+        places[r.window, r.attempt] = Place(r.window, r.attempt, r.first_round, r.last_round, r.commit_rounds, r.final, shape, problem,
                                             tuple(c.global_fault for c in r.c), r.asked)
     return LoadedPlan(plan.spec, plan.rounds_total, plan.per_round, plan.positions, places)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator, Sequence
 
@@ -28,20 +29,20 @@ class History(StatefulProcessor):
         self.lengths = list(lengths)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        fields = ", ".join(WINDOW_SCHEMA.split(", ")[1:])
-        self.ring = handle.getListState("ring", fields)
+        self.ring = handle.getValueState("ring", "windows string")
 
     def close(self) -> None:
         pass
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        ring = [dict(zip(FIELDS, values, strict=True)) for values in self.ring.get()] if self.ring.exists() else []
+        ring = json.loads(self.ring.get()[0]) if self.ring.exists() else []
         arrived = pd.concat(list(rows), ignore_index=True).sort_values("window")
         out = []
-        for record in arrived[FIELDS].to_dict("records"):
+        for values in arrived[FIELDS].itertuples(index=False, name=None):
+            record = {f: None if _missing(v) else v.item() if hasattr(v, "item") else v for f, v in zip(FIELDS, values, strict=True)}
             ring = [*ring, record][-max(self.lengths):]
             out += [(key[0], record["window"], n, *self._signals(ring[-n:])) for n in self.lengths]
-        self.ring.put([tuple(None if _missing(r[f]) else r[f] for f in FIELDS) for r in ring])
+        self.ring.update((json.dumps(ring),))
         yield pd.DataFrame(out, columns=COLUMNS).astype({"first_legs": "Int64", "first_iterations": "Int64"})
 
     @staticmethod
@@ -62,5 +63,6 @@ class History(StatefulProcessor):
 
 
 def stream_history(windows: DataFrame, lengths: Sequence[int]) -> DataFrame:
+    windows.sparkSession.streams.active  # noqa: B018  starts the state store coordinator, which a table needs too
     return windows.groupBy("shot").transformWithStateInPandas(
         statefulProcessor=History(lengths), outputStructType=OUTPUT, outputMode="Append", timeMode="None")

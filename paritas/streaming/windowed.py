@@ -164,6 +164,7 @@ class RoundDecoder(StatefulProcessor):
 def stream_decode(rounds: DataFrame, plan: LoadedPlan, tables: dict[int, dict], strict: bool = False, ttl_ms: int | None = None) -> DataFrame:
     """A stream (or a table) of round rows -> commit and error rows."""
     mode = "ProcessingTime" if ttl_ms is not None else "None"
+    rounds.sparkSession.streams.active  # noqa: B018  a table needs the state store coordinator too; this starts it
     return rounds.groupBy("shot").transformWithStateInPandas(
         statefulProcessor=RoundDecoder(plan, tables, strict, ttl_ms), outputStructType=OUTPUT, outputMode="Append", timeMode=mode)
 
