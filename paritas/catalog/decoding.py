@@ -120,8 +120,8 @@ def gamma_table(t: Tables):
 class BpSql:
     """The decode spelled out as one chain of common table expressions, iteration by iteration."""
 
-    def __init__(self, fixed: bool = False):
-        self.fixed = fixed
+    def __init__(self, fixed: bool = False, per_shot: bool = False):
+        self.fixed, self.per_shot = fixed, per_shot
         self.parts = [I.FIRED]
         lam = f"CASE WHEN b IN (1, 4) THEN {LAM_M!r} ELSE {LAM_D!r} END::DOUBLE"
         if fixed:
@@ -174,8 +174,10 @@ class BpSql:
         return m
 
     def restart(self, m: str, leg: int, stop: str) -> str:
-        strength = "least(greatest(floor((1 - gt.g)*8 + 0.5), 0), 16)::INT" if self.fixed else "gt.g"
-        self.parts.append(f"""r{leg} AS MATERIALIZED (SELECT m.shot, det, m.fault, lam, fired, lam AS nu, marg, FALSE AS hard, FALSE AS done, 0 AS it, {strength} AS st FROM {m} m JOIN gt ON gt.fault = m.fault AND gt.t = {leg % SETS} WHERE m.shot NOT IN ({stop}))""")
+        gamma = draw_sql("m.shot", str(leg), "m.fault") if self.per_shot else "gt.g"
+        strength = f"least(greatest(floor((1 - {gamma})*8 + 0.5), 0), 16)::INT" if self.fixed else gamma
+        joined = "" if self.per_shot else f"JOIN gt ON gt.fault = m.fault AND gt.t = {leg % SETS}"
+        self.parts.append(f"""r{leg} AS MATERIALIZED (SELECT m.shot, det, m.fault, lam, fired, lam AS nu, marg, FALSE AS hard, FALSE AS done, 0 AS it, {strength} AS st FROM {m} m {joined} WHERE m.shot NOT IN ({stop}))""")
         return f"r{leg}"
 
     def sql(self, tail: str) -> str:
@@ -274,8 +276,8 @@ def fixed_point(t: Tables):
     return decode_report(t, RelaySpec(pre_iter=4, alpha=None, arithmetic="int4.2.8"))
 
 
-def relay_sql(stop_rule: str, fixed: bool, legs: int = 2, pre: int = 2, each: int = 2, gamma0=0.125) -> BpSql:
-    b = BpSql(fixed)
+def relay_sql(stop_rule: str, fixed: bool, legs: int = 2, pre: int = 2, each: int = 2, gamma0=0.125, per_shot: bool = False) -> BpSql:
+    b = BpSql(fixed, per_shot)
     m = b.leg(b.start(pre, gamma0), 0, True, 1.0, pre)
     for leg in range(1, legs + 1):
         seen = " UNION ALL ".join(f"SELECT shot, converged, {i} AS leg FROM w{i}" for i in range(leg))
@@ -353,7 +355,8 @@ def broken_legs(t: Tables):
     return checks.check_legs(legs, shots, 40, 4, 40, "all_legs").where("code in ('leg_limit', 'too_many_legs')")
 
 
-@query("b9_iteration_cap")
+# Two iterations of leg 0 leave one for leg 1, which is then cut short.
+@query("b9_iteration_cap", relay_sql("after_n_converged", True, legs=1, pre=2, each=1).sql(f"""SELECT success, iterations, 1 - success AS cap_hit, count(*) AS n FROM ({RELAY_RESULT}) GROUP BY ALL"""))
 def iteration_cap(t: Tables):
     """At most three iterations per decode: a decode cut short by the budget is a cap hit."""
     inc, shots, fired, _ = toy_shots(t)
@@ -379,7 +382,7 @@ def gammas_for_leg(t: Tables):
     return shaped(joined.groupBy("leg", "fault").agg(F.count("*").alias("n"), F.min("g").alias("g")), "leg fault n", "g")
 
 
-@query("v4_decode_batch")
+@query("v4_decode_batch", relay_sql("after_n_converged", True, per_shot=True).sql(f"""SELECT success, legs, mask, count(*) AS n, sum(iterations)::BIGINT AS iterations FROM ({RELAY_RESULT}) GROUP BY ALL"""))
 def decode_batch(t: Tables):
     """Strengths drawn per shot: every shot decodes by itself."""
     drawn = bp.drawn_gammas(SEED, G_LOW, G_HIGH)
@@ -483,7 +486,8 @@ LAM_X = math.log((1 - MERGED) / MERGED)
 class WindowSql:
     """Windowed lookup decoding of the toy in SQL, window by window, from the problem's rule."""
 
-    def __init__(self, width: int, commit: int, policy: str = "commit_anyway", deferrals: int = 0, max_size: int | None = None):
+    def __init__(self, width: int, commit: int, policy: str = "commit_anyway", deferrals: int = 0, max_size: int | None = None,
+                 low: float | None = None):
         self.parts = [I.FIRED, "st AS MATERIALIZED (SELECT shots.shot, coalesce(bit_or(1::BIGINT << det::INT), 0) AS resid, 0::BIGINT AS frame, FALSE AS over FROM shots LEFT JOIN fired USING (shot) GROUP BY shots.shot)"]
         state, outs, made = "st", [], {}
         k = 0
@@ -506,7 +510,8 @@ class WindowSql:
                 width_mask = (1 << (2 * (last - t + 1))) - 1
                 end = last if final else t + commit - 1
                 seen = (1 << (2 * (end - t + 1))) - 1
-                retry = "x.key IS NULL" if policy == "defer" and a != attempts[-1][0] else "FALSE"
+                again = "x.key IS NULL" if low is None else f"(x.key IS NULL OR x.weight > {low})"
+                retry = again if policy == "defer" and a != attempts[-1][0] else "FALSE"
                 flagged = "FALSE" if policy == "commit_anyway" else "x.key IS NULL"
                 j = f"j{k}_{a}"
                 self.parts.append(f"""{j} AS MATERIALIZED (SELECT c.shot, c.resid, c.frame, c.over, c.open, c.open AND NOT ({retry}) AS fin, x.key IS NOT NULL AS ok, c.legs + CASE WHEN c.open THEN 1 ELSE 0 END AS legs,
@@ -601,7 +606,7 @@ def low_confidence_flag(t: Tables):
     return shaped(windowed.window_records(windowed.decode_windows(words(t), plan, inner, on_low="flag")), "shot window flagged low frame")
 
 
-@query("x6_low_confidence_defer")
+@query("x6_low_confidence_defer", WindowSql(3, 1, "defer", 1, None, 6).sql("""SELECT "window", attempts, CAST(weight > 6 AS INT)::BIGINT AS low, count(*) AS n FROM wins GROUP BY ALL"""))
 def low_confidence_defer(t: Tables):
     plan = loaded(t, WindowSpec(3, 1, 3, on_failure="defer", max_deferrals=1))
     inner = windowed.with_low(windowed.lookup_inner(t.spark, plan), lambda: F.col("weight") > 6)

@@ -93,10 +93,12 @@ def dedup_shapes(t: Tables):
     return shaped(P.dedup_shapes(plan(t)), "window shape")
 
 
-@query("a38_verify_shapes", "SELECT 0::BIGINT AS bad")
+@query("a38_verify_shapes", f"""WITH {SHAPE_SQL}, s AS (SELECT "window", dense_rank() OVER (ORDER BY f) - 1 AS shape FROM f) SELECT shape, count(*) AS placements, 0::BIGINT AS different FROM s GROUP BY shape""")
 def verify_shapes(t: Tables):
     p = plan(t)
-    return P.verify_shapes(p, P.dedup_shapes(p)).agg(F.count("*").alias("bad"))
+    shapes = P.dedup_shapes(p)
+    bad = P.verify_shapes(p, shapes).groupBy("shape").agg(F.count("*").alias("different"))
+    return shaped(shapes.groupBy("shape").agg(F.count("*").alias("placements")).join(bad, "shape", "left").fillna(0, ["different"]), "shape placements different")
 
 
 @query("a39_plan_stats", f"""WITH {SHAPE_SQL}, c AS (SELECT "window", count(*) AS n, sum(len(sup)) AS e, count(*) FILTER (members > 1) AS m FROM col GROUP BY "window")

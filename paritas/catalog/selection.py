@@ -176,7 +176,7 @@ for _rule in STOPS:
     query(f"r3_replay_{_rule}", _replay_sql(_rule))(_replay(_rule))
 
 
-@query("r4_refused_replays")
+@query("r4_refused_replays", f"SELECT (SELECT max(n) FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey)) AS most, s::BIGINT AS s, CAST(s < 1 OR s > {CAPACITY} AS INT)::BIGINT AS refused FROM range(8) r(s)")
 def refused_replays(t: Tables):
     """Which replay sizes a recording of five slots supports."""
     def refused(s: int) -> bool:
@@ -187,7 +187,8 @@ def refused_replays(t: Tables):
         return False
 
     found = kept(t).agg(F.max("found").alias("most"))
-    return found.select("most", F.explode(F.array(*[F.struct(F.lit(s).alias("s"), F.lit(refused(s)).alias("refused")) for s in range(8)])).alias("r")).select("most", "r.*")
+    rows = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(refused(s)).alias("refused")) for s in range(8)])
+    return shaped(found.select("most", F.explode(rows).alias("r")).select("most", "r.*"), "most s refused")
 
 
 @query("r5_failure_causes", f"""WITH {CONF}, sn AS (SELECT k.decode, bool_or(k.klass = c.truth) AS seen FROM kept k JOIN conf c USING (decode) GROUP BY k.decode)

@@ -1,9 +1,10 @@
 """Bootstrap intervals whose draws are a function of (seed, resample, draw).
 
 ``draws="hash"`` spells out every draw, so any engine can repeat it: resamples x n rows, drawn and
-counted on the map side. ``draws="multinomial"`` draws the multiplicities of the distinct values
-instead, which is the same distribution at resamples x distinct values of work; use it for large n.
-Bounds are order statistics of the resampled statistic.
+counted on the map side, or joined by draw number when there are too many distinct values to carry
+along. ``draws="multinomial"`` draws the multiplicities of the distinct values instead, which is the
+same distribution at resamples x distinct values of work; use it for large n with few distinct
+values. Bounds are order statistics of the resampled statistic.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from paritas.functions.intervals import ALPHA95
 from paritas.operators.ranks import exact, running_totals
 from paritas.operators.statistics import pair_counts
 
-# The histogram of a multinomial resample travels to every task; it must stay small.
+# A histogram up to this size travels to every task; beyond it draws are joined by number.
 MAX_DISTINCT = 200_000
 
 
@@ -59,24 +60,30 @@ def _resamples(df: DataFrame, value: str, resamples: int, seed: int, draws: str)
     """(b, v, m): multiplicity of each distinct value in each resample."""
     spark = df.sparkSession
     hist = _histogram(df, value)
+    few = hist.count() <= MAX_DISTINCT
     if draws == "hash":
         total = hist.agg(F.sum("c")).scalar()
-        ends = hist.agg(F.sort_array(F.collect_list("upto"))).scalar()
-        values = hist.agg(F.sort_array(F.collect_list("v"))).scalar()
         # Every row of the histogram contributes its own count of draw numbers, so the draws are
         # generated where the rows are, and counted before they move.
-        numbers = hist.select(F.explode(F.sequence(F.col("upto") - F.col("c"), F.col("upto") - 1)).alias("i"))
-        numbers = numbers.repartition("i").select("i", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b"))
-        drawn = numbers.select("b", F.lit(seed).alias("seed"), index_draw(total, F.lit(seed), F.col("b"), F.col("i")).alias("d"))
-        placed = drawn.withColumn("vs", values).withColumn("es", ends)
-        picked = placed.select("b", F.element_at("vs", (_search(F.col("es"), F.col("d")) + 1).cast("int")).alias("v"))
+        numbers = hist.select("v", F.explode(F.sequence(F.col("upto") - F.col("c"), F.col("upto") - 1)).alias("i"))
+        spread = numbers.select("i").repartition("i").select("i", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b"))
+        drawn = spread.select("b", index_draw(total, F.lit(seed), F.col("b"), F.col("i")).alias("d"))
+        if few:
+            ends = hist.agg(F.sort_array(F.collect_list("upto"))).scalar()
+            values = hist.agg(F.sort_array(F.collect_list("v"))).scalar()
+            placed = drawn.withColumn("vs", values).withColumn("es", ends)
+            picked = placed.select("b", F.element_at("vs", (_search(F.col("es"), F.col("d")) + 1).cast("int")).alias("v"))
+        else:
+            picked = drawn.join(numbers, drawn["d"] == numbers["i"]).select("b", "v")
         return picked.groupBy("b", "v").agg(F.count("*").alias("m"))
     if draws != "multinomial":
         raise ValueError(f"unknown draws {draws!r}")
+    if not few:
+        raise ValueError(f"more than {MAX_DISTINCT} distinct values; use draws='hash'")
 
     histogram = hist.agg(F.array_sort(F.collect_list(F.struct("v", "c")))).scalar()
     tasks = spark.range(resamples).select(F.col("id").alias("b"), histogram.alias("h")).repartition("b")
-    tasks = tasks.where(F.size("h") <= MAX_DISTINCT).select("b", F.col("h.v").alias("vs"), F.col("h.c").alias("cs"))
+    tasks = tasks.select("b", F.col("h.v").alias("vs"), F.col("h.c").alias("cs"))
 
     def draw(batches):
         import numpy as np

@@ -60,7 +60,8 @@ def satisfies(shots: DataFrame, support: DataFrame, fired: DataFrame, edges: Dat
 
 def apply_bias(rows: DataFrame, shots: DataFrame, bias: DataFrame, position: str = "det") -> DataFrame:
     """Flips the biased positions in every shot."""
-    flips = shots.select("shot").join(F.broadcast(bias.select(position)), F.lit(True))  # at most one row per detector
+    positions = bias.agg(F.collect_set(position)).scalar()  # at most every detector once
+    flips = shots.select("shot").withColumn("_p", positions).select("shot", F.explode("_p").alias(position))
     return odd(rows.select("shot", position).unionByName(flips), ["shot", position])
 
 

@@ -60,7 +60,7 @@ def lowest_weight(kept: DataFrame) -> DataFrame:
 
 
 def class_table(kept: DataFrame) -> DataFrame:
-    """(decode, cls, count, legs, w_min, w_slot, first_slot, z): one row per class of a decode.
+    """(decode, cls, count, legs, w_min, w_slot, first_slot, z, found, first): one row per class of a decode.
 
     z = sum of exp(-(weight - lowest weight)) over the distinct solutions of the class.
     """
@@ -70,9 +70,10 @@ def class_table(kept: DataFrame) -> DataFrame:
     table = scaled.groupBy("decode", F.col("klass").alias("cls")).agg(
         F.count_if("is_new").alias("count"), F.count("*").alias("legs"), light.alias("_l"),
         F.min(_when_new(F.col("slot"))).alias("first_slot"),
-        F.sum(_when_new(F.exp(-(F.col("weight") - F.col("_w0"))))).alias("z"))
+        F.sum(_when_new(F.exp(-(F.col("weight") - F.col("_w0"))))).alias("z"),
+        F.max("found").alias("found"), F.min(F.struct("slot", _leg(kept).alias("leg"), "cumulative")).alias("first"))
     return table.select("decode", "cls", "count", "legs", F.col("_l.weight").alias("w_min"),
-                        F.col("_l.slot").alias("w_slot"), "first_slot", "z")
+                        F.col("_l.slot").alias("w_slot"), "first_slot", "z", "found", "first")
 
 
 def confidence(kept: DataFrame, decodes: DataFrame | None = None) -> DataFrame:
@@ -89,17 +90,15 @@ def confidence(kept: DataFrame, decodes: DataFrame | None = None) -> DataFrame:
         F.max_by("cls", F.struct(F.col("count"), -F.col("w_min"), -F.col("first_slot"))).alias("agreement_class"),
         F.max_by("w_slot", F.struct(F.col("z"), -F.col("first_slot"))).alias("class_sum_slot"),
         F.max_by("w_slot", F.struct(F.col("count"), -F.col("w_min"), -F.col("first_slot"))).alias("agreement_slot"),
-        F.sum("count").alias("distinct"), F.count("*").alias("classes"))
-    facts = kept.groupBy("decode").agg(
-        F.max("found").alias("found"), F.count("*").alias("seen"),
-        F.min_by("cumulative", "slot").alias("first_iterations"), F.min(F.struct("slot", _leg(kept).alias("leg"))).alias("_f"))
+        F.sum("count").alias("distinct"), F.count("*").alias("classes"), F.max("found").alias("found"), F.sum("legs").alias("seen"),
+        F.min("first").alias("_f"))
     best, second = F.col("c")[0], F.get("c", F.lit(1))
-    out = facts.join(classes, "decode").select(
+    out = classes.select(
         "decode", "found", "seen", "distinct", "classes", best["cls"].alias("best_class"), best["w_min"].alias("weight"),
         best["w_slot"].alias("best_slot"),
         F.when(F.col("classes") > 1, "defined").otherwise("single_class").alias("gap_state"),
         (second["w_min"] - best["w_min"]).alias("gap"), second["cls"].alias("second_class"),
-        (best["count"] / F.col("distinct")).alias("agreement"), (F.col("_f.leg") + 1).alias("first_legs"), "first_iterations",
+        (best["count"] / F.col("distinct")).alias("agreement"), (F.col("_f.leg") + 1).alias("first_legs"), F.col("_f.cumulative").alias("first_iterations"),
         "class_sum_class", "class_sum_top", "class_sum_slot", "agreement_class", "agreement_slot")
     if decodes is None:
         return out

@@ -81,8 +81,10 @@ def risk_coverage(scored: DataFrame, fractions: Sequence[str | float], score: st
         F.struct(F.lit(str(f)).alias("fraction"),
                  F.floor(F.lit(exact(f)).cast("decimal(18,9)") * F.col("n") + F.lit(exact("0.5"))).cast("bigint").alias("discarded"))
         for f in fractions])).alias("q")).select("n", "failures", "q.*")
-    picked = F.broadcast(wanted).join(ranked.select("_rank", "_fails"), F.col("_rank") == F.col("discarded"), "left")
-    # The left side is broadcast-sized (one row per fraction); a discard count of 0 matches no row.
+    # One row per fraction: the big side stays where it is and only its matches come back.
+    levels = F.broadcast(wanted.select("discarded").distinct())
+    hits = ranked.select("_rank", "_fails").join(levels, F.col("_rank") == F.col("discarded")).select("discarded", "_fails")
+    picked = wanted.join(hits, "discarded", "left")  # a discard count of 0 matches no row
     kept = picked.select("fraction", "discarded", (F.col("n") - F.col("discarded")).alias("kept"),
                          (F.col("failures") - F.coalesce("_fails", F.lit(0))).alias("kept_failures"))
     rate, lo, hi = wilson(F.col("kept_failures"), F.col("kept"))

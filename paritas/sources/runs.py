@@ -24,10 +24,8 @@ INCIDENCE_SCHEMAS = {
 def write_incidence(inc: Incidence, path: str) -> None:
     """The four tables plus one statistics row."""
     for name, schema in INCIDENCE_SCHEMAS.items():
-        wanted = T.StructType.fromDDL(schema) if hasattr(T.StructType, "fromDDL") else None
-        table = getattr(inc, name)
-        fields = wanted.fields if wanted else []
-        table.select(*[F.col(f.name).cast(f.dataType) for f in fields]).write.mode("overwrite").parquet(f"{path}/{name}")
+        columns = [part.split() for part in schema.split(", ")]
+        getattr(inc, name).select(*[F.col(c).cast(kind) for c, kind in columns]).write.mode("overwrite").parquet(f"{path}/{name}")
     rows = degree_stats(inc.edges, inc.detectors, "det")
     columns = degree_stats(inc.edges, inc.faults, "fault")
     stats = rows.select(F.lit("row").alias("side"), "*").unionByName(columns.select(F.lit("column").alias("side"), "*"))
@@ -83,11 +81,12 @@ RUN_TABLES = ("shots", "windows", "solutions", "supports", "commits", "confidenc
 
 
 def write_run(tables: dict[str, DataFrame], path: str) -> None:
-    """Each table partitioned by arm, chunk and half; rows are clustered so that a partition gets few files."""
+    """Each table partitioned by arm, chunk and half. Rows are rebalanced on these keys, so a small
+    partition gets one file and one that holds much of the data is split over many tasks."""
     for name, table in tables.items():
         if name not in RUN_TABLES:
             raise ValueError(f"unknown run table {name!r}")
-        table.repartition(*RUN_KEYS).write.mode("overwrite").partitionBy(*RUN_KEYS).parquet(f"{path}/{name}")
+        table.hint("rebalance", *[F.col(k) for k in RUN_KEYS]).write.mode("overwrite").partitionBy(*RUN_KEYS).parquet(f"{path}/{name}")
 
 
 def read_run(spark: SparkSession, path: str, table: str, names: Iterable[str], optional: Iterable[str] = ()) -> DataFrame:
