@@ -282,27 +282,29 @@ def signal_history(windows: DataFrame, lengths: Sequence[int]) -> DataFrame:
     q_sum_sq, q_total, ones, rows) has one row per position. A decoded window without a solution
     makes the span undefined: weight is then infinite and every other signal NULL.
     """
-    parts = []
+    decoded, none = F.col("decoded"), F.col("gap_state") == "none"
+    real = decoded & ~none
+    spans = []
     for length in lengths:
         w = Window.partitionBy("shot").orderBy("window").rowsBetween(-(length - 1), 0)
-        decoded, none = F.col("decoded"), F.col("gap_state") == "none"
-        real = decoded & ~none
 
-        def total(c: str, w=w, real=real) -> Column:
+        def total(c: str, w=w) -> Column:
             return F.sum(F.when(real, F.col(c))).over(w)
 
-        usable = F.coalesce(F.bool_or(decoded).over(w), F.lit(False)) & ~F.coalesce(F.bool_or(decoded & none).over(w), F.lit(False))
-        unknown = F.coalesce(F.bool_or(real & (F.col("q_sum_sq").isNull() | F.col("q_total").isNull())).over(w), F.lit(False))
-        parts.append(windows.select(
-            "shot", "window", F.lit(length).alias("length"), usable.alias("_u"),
+        def ever(c: Column, w=w) -> Column:
+            return F.coalesce(F.bool_or(c).over(w), F.lit(False))
+
+        spans.append(F.struct(
+            F.lit(length).alias("length"), (ever(decoded) & ~ever(decoded & none)).alias("_u"),
             F.min(F.when(real & (F.col("gap_state") == "defined"), F.col("gap"))).over(w).alias("_gap"),
             F.product(F.when(real, F.col("agreement"))).over(w).alias("_agreement"), total("weight").alias("_weight"),
             total("first_legs").alias("_legs"), total("first_iterations").alias("_iterations"),
-            total("q_sum_sq").alias("_sq"), total("q_total").alias("_total"), unknown.alias("_unknown"),
+            total("q_sum_sq").alias("_sq"), total("q_total").alias("_total"),
+            ever(real & (F.col("q_sum_sq").isNull() | F.col("q_total").isNull())).alias("_unknown"),
             total("ones").alias("_ones"), total("rows").alias("_rows")))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+    # Every length shares one partitioning and one sort; the lengths become rows afterwards.
+    measured = windows.select("shot", "window", F.array(*spans).alias("_spans"))
+    out = measured.select("shot", "window", F.explode("_spans").alias("_s")).select("shot", "window", "_s.*")
     u = F.col("_u")
     return out.select(
         "shot", "window", "length",
