@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, privacy, quality
+from . import mixing, neardup, pieces, privacy, quality, sharding, warc
 from .common import table
 
 
@@ -22,8 +22,26 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op5_piece_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.tokenised(table(spark, sf_dir, "documents"))
+
+
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.judged(table(spark, sf_dir, "documents"))
+
+
+def op9_uniform_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assignments(table(spark, sf_dir, "documents"))
+
+
+def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op2_private_data, op4_quality_rules)
+    f.__name__: f for f in (
+        op1_mix_sources, op2_private_data, op4_quality_rules, op5_piece_tokens, op7_near_duplicates, op9_uniform_shards,
+        op10_warc_round_trip)
 }
 
 ORACLE: dict[str, str] = {}
