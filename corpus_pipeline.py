@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paritas.llm import mixing, privacy, quality
+from paritas.llm import mixing, neardup, pieces, privacy, quality
 from paritas.session import cut_lineage
 
 
@@ -15,6 +15,11 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.passing(docs)
 
 
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return neardup.deduplicated(docs)
+
+
 def hide_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and disclosing terms replaced."""
     return privacy.sanitised(docs)
@@ -25,8 +30,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(docs)
 
 
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of every text: doc_id, n_ids, ids, and whether they decode to the text."""
+    return pieces.tokenised(docs)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("quality", keep_quality), ("private", hide_private), ("mix", mix_sources),
+    ("quality", keep_quality), ("near_duplicates", drop_copies), ("private", hide_private), ("mix", mix_sources), ("encode", encode),
 ]
 
 ORACLE_SQL = None
