@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, neardup, pieces, privacy, quality, sharding, warc
+from . import boosting, hashing, mixing, neardup, pieces, privacy, quality, sharding, warc, webtext
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op2_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return privacy.report(table(spark, sf_dir, "documents"))
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webtext.main_text(table(spark, sf_dir, "pages"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -26,10 +30,18 @@ def op5_piece_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.tokenised(table(spark, sf_dir, "documents"))
 
 
+def op6_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hashing.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.judged(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boosting.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_uniform_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assignments(table(spark, sf_dir, "documents"))
 
@@ -40,8 +52,8 @@ def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_mix_sources, op2_private_data, op4_quality_rules, op5_piece_tokens, op7_near_duplicates, op9_uniform_shards,
-        op10_warc_round_trip)
+        op1_mix_sources, op2_private_data, op3_main_text, op4_quality_rules, op5_piece_tokens, op6_nearest_vectors,
+        op7_near_duplicates, op8_quality_trees, op9_uniform_shards, op10_warc_round_trip)
 }
 
 ORACLE: dict[str, str] = {}
