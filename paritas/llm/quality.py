@@ -20,7 +20,7 @@ WINDOW = 5
 #: bin holds all other words.
 COMMON_WORDS = tuple(dict.fromkeys((
     "the of and to a in is that "
-    "der die und das von zu mit nicht "
+    "der die und das von zu mit ein "
     "le la les et de des un une "
     "el los y que en por para con"
 ).split()))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import boosting, hashing, mixing, neardup, pieces, privacy, quality, sharding, warc, webtext
 from .common import table
+from .oracles import MIX, QUALITY, WARC
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,4 +57,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_near_duplicates, op8_quality_trees, op9_uniform_shards, op10_warc_round_trip)
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op1_mix_sources": MIX, "op4_quality_rules": QUALITY, "op10_warc_round_trip": WARC}
