@@ -14,7 +14,7 @@ from paritas.catalog import inputs as I
 from paritas.catalog.base import Tables, cycle_sql, query, shaped, wilson_sql
 from paritas.catalog.incidence import SIGNED, splitmix_sql
 from paritas.functions import hashing
-from paritas.functions.fixedpoint import FixedFormat
+from paritas.functions import fixedpoint
 from paritas.operators import bp, checks, gf2, lookup, windowed
 from paritas.operators import statistics as S
 from paritas.plans.spec import RelaySpec, WindowSpec
@@ -61,7 +61,7 @@ def gamma_draws(t: Tables):
         "l_orderkey", F.col("l_linenumber").cast("int").alias("l_linenumber"), "l_partkey", "l_suppkey", "g")
 
 
-FMT = FixedFormat.parse("int4.2.8")
+GRID = fixedpoint.grid("int4.2.8")
 HALF_AWAY = "(CASE WHEN {x} < 0 THEN -1 ELSE 1 END * floor(abs({x}) + 0.5))"
 
 
@@ -69,7 +69,7 @@ HALF_AWAY = "(CASE WHEN {x} < 0 THEN -1 ELSE 1 END * floor(abs({x}) + 0.5))"
 SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber::BIGINT AS l_linenumber, least(greatest({HALF_AWAY.format(x='lam*2')}, -15), 15)::BIGINT AS lam, least(greatest({HALF_AWAY.format(x='((1-gamma)*8)')}, 0), 16)::BIGINT AS beta FROM v""")
 def quantise(t: Tables):
     v = t.lineitem.select("*", ((F.col("l_extendedprice") - 50000) / 7000).alias("x"), (F.col("l_discount") * 25 - 1).alias("gamma"))
-    return shaped(v.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", FMT.quantise_llr(F.col("x")).alias("lam"), FMT.quantise_gamma(F.col("gamma")).alias("beta")),
+    return shaped(v.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", fixedpoint.message(F.col("x"), GRID).alias("lam"), fixedpoint.strength(F.col("gamma"), GRID).alias("beta")),
                   "l_orderkey l_partkey l_suppkey l_linenumber lam beta")
 
 
@@ -82,7 +82,7 @@ def product_sql(beta: str, x: str, bits: int = 4, m: int = 8) -> str:
 SELECT x, beta, count(*) AS n, sum({product_sql('beta', 'x')})::BIGINT AS s FROM v GROUP BY ALL""")
 def product(t: Tables):
     v = t.lineitem.select(((F.col("l_linenumber") + F.col("l_quantity").cast("bigint")) % 31 - 15).cast("bigint").alias("x"), (F.col("l_suppkey") % 17).alias("beta"))
-    return v.groupBy("x", "beta").agg(F.count("*").alias("n"), F.sum(FMT.product(F.col("beta"), F.col("x"))).alias("s"))
+    return v.groupBy("x", "beta").agg(F.count("*").alias("n"), F.sum(fixedpoint.weighted(F.col("x"), F.col("beta"), GRID)).alias("s"))
 
 
 @query("f7_alpha_schedule", """SELECT t, count(*) AS n, round(sum(l_quantity * (1 - pow(2, -(t + 1)))), 4) AS adaptive, sum(l_quantity::BIGINT - (l_quantity::BIGINT >> (t + 1)::INT))::BIGINT AS fixed, round(sum(l_quantity * 0.75), 4) AS constant
@@ -91,7 +91,7 @@ def alpha_schedule(t: Tables):
     adaptive, fixed, constant = RelaySpec(5, alpha=None), RelaySpec(5, alpha=None, arithmetic="int4.2.8"), RelaySpec(5, alpha=0.75)
     q = F.col("l_quantity")
     ar = bp.arithmetic("int4.2.8")
-    rows = [F.struct(F.lit(i).cast("bigint").alias("t"), (q * adaptive.scale(i)).alias("a"), ar.scale(q.cast("bigint"), fixed, i).alias("f"), (q * constant.scale(i)).alias("c")) for i in range(5)]
+    rows = [F.struct(F.lit(i).cast("bigint").alias("t"), (q * adaptive.damping(i)).alias("a"), ar.scale(q.cast("bigint"), fixed, i).alias("f"), (q * constant.damping(i)).alias("c")) for i in range(5)]
     out = t.lineitem.select(F.explode(F.array(*rows)).alias("r")).select("r.*").groupBy("t").agg(
         F.count("*").alias("n"), F.round(F.sum("a"), 4).alias("adaptive"), F.sum("f").alias("fixed"), F.round(F.sum("c"), 4).alias("constant"))
     return out

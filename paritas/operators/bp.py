@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paritas.functions.fixedpoint import FixedFormat
+from paritas.functions import fixedpoint
 from paritas.operators.incidence import Incidence
 from paritas.plans.spec import RelaySpec
 from paritas.session import cut_lineage
@@ -38,7 +38,7 @@ class FloatArithmetic:
         return F.lit(HUGE)
 
     def scale(self, magnitude: Column, spec: RelaySpec, t: int) -> Column:
-        alpha = spec.scale(t)
+        alpha = spec.damping(t)
         return magnitude if alpha == 1.0 else magnitude * F.lit(alpha)
 
     def strength(self, gamma: Column) -> Column:
@@ -64,31 +64,31 @@ class FixedArithmetic:
     """intN.S.M: integers, so every sum is exact in any order."""
 
     def __init__(self, name: str):
-        self.fmt = FixedFormat.parse(name)
+        self.grid = fixedpoint.grid(name)
 
     def start(self, lam: Column) -> Column:
-        return self.fmt.quantise_llr(lam)
+        return fixedpoint.message(lam, self.grid)
 
     def top(self) -> Column:
-        return F.lit(self.fmt.top)
+        return F.lit(self.grid.limit)
 
     def scale(self, magnitude: Column, spec: RelaySpec, t: int) -> Column:
-        shift = spec.shift(t)
-        return magnitude if shift is None or shift > 30 else magnitude - F.shiftright(magnitude, shift)
+        bits = spec.damping_bits(t)
+        return magnitude if bits is None or bits > 30 else magnitude - F.shiftright(magnitude, bits)
 
     def strength(self, gamma: Column) -> Column:
-        return self.fmt.quantise_gamma(gamma)
+        return fixedpoint.strength(gamma, self.grid)
 
     def bias(self, lam: Column, marginal: Column, strength: Column) -> Column:
-        return self.fmt.memory_bias(lam, marginal, strength)
+        return fixedpoint.remembered(lam, marginal, strength, self.grid)
 
     def update(self, msg: DataFrame, bias: Column) -> DataFrame:
         total = F.sum("eta").over(Window.partitionBy("sid", "fault"))
         summed = msg.withColumn("_sigma", (bias + total).cast("int"))
-        return summed.withColumn("_nu", self.fmt.saturate(F.col("_sigma") - F.col("eta")).cast("int"))
+        return summed.withColumn("_nu", fixedpoint.clipped(F.col("_sigma") - F.col("eta"), self.grid).cast("int"))
 
     def weight(self, hard: Column, lam: Column) -> Column:
-        return F.sum(F.when(hard, lam).otherwise(F.lit(0))) / F.lit(float(self.fmt.scale))
+        return F.sum(F.when(hard, lam).otherwise(F.lit(0))) / F.lit(float(self.grid.units))
 
 
 def arithmetic(name: str):
@@ -272,7 +272,7 @@ def relay_decode(edges: DataFrame, faults: DataFrame, fired: DataFrame, sids: Da
         if state.isEmpty():
             break
         if gammas is None:
-            raise ValueError("relay legs need memory strengths")
+            raise ValueError("no strengths given for the legs after the first")
         budget = F.lit(spec.set_max_iter) if cap is None else F.least(F.lit(spec.set_max_iter), F.lit(cap) - F.col("used"))
         state = gammas(state, leg + 1).repartition("sid").withColumn("strength", ar.strength(F.col("_g"))).drop("_g", "stop", "cap_hit").withColumn(
             "nu", F.col("lam")).withColumn("done", F.lit(False)).withColumn("it", F.lit(0)).withColumn("hard", F.lit(False)).withColumn("budget", budget)

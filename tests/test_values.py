@@ -5,8 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from paritas.functions import hashing
-from paritas.functions.fixedpoint import FixedFormat
+from paritas.functions import fixedpoint, hashing
 from paritas.functions.intervals import paired_ratio, per_qubit_per_cycle, wilson
 from paritas.operators import campaign, ranks
 from paritas.operators import statistics as S
@@ -71,9 +70,9 @@ def test_rate_per_qubit_is_null_without_a_solution(spark):
 
 
 def test_shift_add_product(spark):
-    fmt = FixedFormat.parse("int4.2.8")
+    g = fixedpoint.grid("int4.2.8")
     x = spark.createDataFrame([(15, 7), (-15, 7), (0, 3)], "x int, beta int")
-    assert [r[0] for r in x.select(fmt.product(F.col("beta"), F.col("x"))).collect()] == [11, -11, 0]
+    assert [r[0] for r in x.select(fixedpoint.weighted(F.col("x"), F.col("beta"), g)).collect()] == [11, -11, 0]
 
 
 def test_splitmix_matches_integer_arithmetic(spark):
@@ -122,4 +121,5 @@ def test_specifications_refuse_bad_values():
     with pytest.raises(ValueError):
         RelaySpec(3, alpha=0.3, arithmetic="int4.2.8")
     with pytest.raises(ValueError):
-        FixedFormat.parse("int9.2.8")
+        fixedpoint.grid("int9.2.8")
+    assert [RelaySpec(3, alpha=a).damping_bits(t) for a, t in ((1.0, 0), (0.75, 4), (None, 3), (0.3, 0), (0.5, 0))] == [None, 2, 4, None, 1]
