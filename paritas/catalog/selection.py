@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from paritas.catalog import inputs as I
 from paritas.catalog.base import Tables, query, shaped, wilson_sql
+from paritas.catalog.incidence import COMPONENTS, LAM
 from paritas.functions.intervals import wilson
+from paritas.operators import gf2
 from paritas.operators import selection as L
 
 CAPACITY = 5
@@ -40,7 +43,8 @@ def lowest_weight(t: Tables):
 
 @query("w10_cumulative_iterations", f"WITH {SLOTS} SELECT decode, slot AS leg, sum(iterations) OVER (PARTITION BY decode ORDER BY slot)::BIGINT AS cumulative FROM ranked")
 def cumulative(t: Tables):
-    return shaped(L.cumulative_iterations(kept(t, 64).drop("cumulative").withColumn("leg", F.col("slot"))), "decode leg cumulative")
+    leg = F.row_number().over(Window.partitionBy("decode").orderBy(*ORDER)) - 1
+    return shaped(L.cumulative_iterations(I.lines(t).withColumn("leg", leg)), "decode leg cumulative")
 
 
 @query("w4_class_gap", f"""WITH {SLOTS}, {NEW}, o AS (SELECT n.decode, n.weight - b.weight AS gap, n.cls FROM new n JOIN best b USING (decode) WHERE n.cls <> b.cls
@@ -121,6 +125,17 @@ def signals(t: Tables):
     return shaped(out, "decode low", "score", "signal", digits=6)
 
 
+@query("f8_support_signal", f"""{COMPONENTS}, {LAM}, l AS (SELECT shot, component, sum(CASE WHEN isfinite(lam) THEN lam ELSE 0 END) AS l FROM comp JOIN lam USING (fault) GROUP BY ALL),
+qs AS (SELECT shot, sqrt(sum(l*l))/(SELECT sum(lam) FROM lam WHERE isfinite(lam)) AS q FROM l GROUP BY shot), {CONF}
+SELECT decode, round(CASE WHEN gap_state = 'none' THEN 'inf'::DOUBLE ELSE q END, 5) AS score, CAST(gap_state = 'none' OR coalesce(q > 0.02, FALSE) AS INT)::BIGINT AS low FROM conf LEFT JOIN qs ON shot = decode""")
+def support_signal(t: Tables):
+    """How concentrated the returned correction is, as a signal."""
+    inc = I.supply(t)
+    terms = gf2.cluster_terms(gf2.support_components(I.supply_support(t), inc.edges), inc.faults).withColumnRenamed("shot", "decode")
+    table = L.signal(L.confidence(kept(t), decodes(t), terms), "q_supp", 0.02)
+    return shaped(table, "decode low", "score", digits=5)
+
+
 PREFIX = f"""{SLOTS}, pj AS (SELECT s.decode, s.slot, s.cumulative, s.found, p.slot AS ps, p.weight AS w, p.klass AS k, p.cls AS c, p.is_new AS nw FROM kept s JOIN kept p ON p.decode = s.decode AND p.slot <= s.slot),
 pb AS (SELECT decode, slot, any_value(cumulative) AS cumulative, any_value(found) AS found, min(w) FILTER (nw) AS bw, arg_min(c, w) AS prefix_class, count(*) FILTER (nw) AS d FROM pj GROUP BY ALL),
 pc AS (SELECT pb.*, (SELECT k FROM pj WHERE pj.decode = pb.decode AND pj.slot = pb.slot AND nw ORDER BY w, ps LIMIT 1) AS bc FROM pb),
@@ -176,19 +191,11 @@ for _rule in STOPS:
     query(f"r3_replay_{_rule}", _replay_sql(_rule))(_replay(_rule))
 
 
-@query("r4_refused_replays", f"SELECT (SELECT max(n) FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey)) AS most, s::BIGINT AS s, CAST(s < 1 OR s > {CAPACITY} AS INT)::BIGINT AS refused FROM range(8) r(s)")
+@query("r4_refused_replays", f"SELECT most, s, CAST(s < 1 OR s > {CAPACITY} OR s > most AS INT)::BIGINT AS refused FROM (SELECT max(n) AS most FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey)), (SELECT DISTINCT l_linenumber + l_quantity::BIGINT % 3 - 1 AS s FROM lineitem)")
 def refused_replays(t: Tables):
-    """Which replay sizes a recording of five slots supports."""
-    def refused(s: int) -> bool:
-        try:
-            L.check_replay(CAPACITY, s)
-        except ValueError:
-            return True
-        return False
-
-    found = kept(t).agg(F.max("found").alias("most"))
-    rows = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(refused(s)).alias("refused")) for s in range(8)])
-    return shaped(found.select("most", F.explode(rows).alias("r")).select("most", "r.*"), "most s refused")
+    """Which replay sizes the recording supports."""
+    sizes = t.lineitem.select((F.col("l_linenumber") + F.col("l_quantity").cast("bigint") % 3 - 1).alias("s")).distinct()
+    return shaped(L.replay_refusals(kept(t), sizes, CAPACITY), "most s refused")
 
 
 @query("r5_failure_causes", f"""WITH {CONF}, sn AS (SELECT k.decode, bool_or(k.klass = c.truth) AS seen FROM kept k JOIN conf c USING (decode) GROUP BY k.decode)

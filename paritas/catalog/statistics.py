@@ -89,22 +89,27 @@ BOOT = 40
 DRAW = "('0x' || substr(md5('{seed}:' || b || ':' || i), 1, 15))::BIGINT % n"
 
 
-@query("a13_bootstrap_mean", f"""WITH h AS (SELECT floor(o_totalprice/1000)::DOUBLE AS v, count(*) AS c FROM orders GROUP BY ALL),
+def _mean_sql(source: str, x: str, seed: int) -> str:
+    return f"""WITH h AS (SELECT {x} AS v, count(*) AS c FROM {source} GROUP BY ALL),
 cum AS (SELECT *, sum(c) OVER (ORDER BY v)::BIGINT AS upto, (sum(c) OVER ())::BIGINT AS n FROM h),
-draws AS (SELECT b, {DRAW.format(seed=7)} AS d FROM (SELECT any_value(n) AS n FROM cum), range({BOOT}) r(b), range((SELECT count(*) FROM orders)) s(i)),
+draws AS (SELECT b, {DRAW.format(seed=seed)} AS d FROM (SELECT any_value(n) AS n FROM cum), range({BOOT}) r(b), range((SELECT count(*) FROM {source})) s(i)),
 m AS (SELECT b, avg(v) AS s FROM draws ASOF JOIN (SELECT v, upto - c AS start FROM cum) c ON d >= start GROUP BY b),
 k AS (SELECT s, row_number() OVER (ORDER BY s) AS r FROM m)
-SELECT {BOOT}::BIGINT AS resamples, round((SELECT avg(floor(o_totalprice/1000)) FROM orders), 6) AS mean,
-round((SELECT s FROM k WHERE r = greatest(ceil(0.025 * {BOOT}), 1)), 6) AS lo, round((SELECT s FROM k WHERE r = ceil(0.975 * {BOOT})), 6) AS hi""")
+SELECT {BOOT}::BIGINT AS resamples, round((SELECT avg({x}) FROM {source}), 6) AS mean,
+round((SELECT s FROM k WHERE r = greatest(ceil(0.025 * {BOOT}), 1)), 6) AS lo, round((SELECT s FROM k WHERE r = ceil(0.975 * {BOOT})), 6) AS hi"""
+
+
+@query("a13_bootstrap_mean", _mean_sql("orders", "floor(o_totalprice/1000)::DOUBLE", 7))
 def bootstrap_mean(t: Tables):
     x = t.orders.select(F.floor(F.col("o_totalprice") / 1000).alias("x"))
-    return shaped(bootstrap.bootstrap_mean(x, "x", BOOT, 7, "hash"), "resamples", "mean lo hi", digits=6)
+    return shaped(bootstrap.bootstrap_mean(x, "x", BOOT, 7), "resamples", "mean lo hi", digits=6)
 
 
-@query("a13_bootstrap_mean_multinomial")
-def bootstrap_mean_fast(t: Tables):
+@query("a13_bootstrap_mean_multinomial", _mean_sql("lineitem", "l_quantity::DOUBLE", 5))
+def bootstrap_mean_of_few_values(t: Tables):
+    """Fifty distinct values, so that their multiplicities are what a resample is."""
     x = t.lineitem.select(F.col("l_quantity").alias("x"))
-    return shaped(bootstrap.bootstrap_mean(x, "x", 200, 7), "resamples", "mean lo hi", digits=6)
+    return shaped(bootstrap.bootstrap_mean(x, "x", BOOT, 5), "resamples", "mean lo hi", digits=6)
 
 
 LEVELS = ["0.5", "0.9", "0.99", "0.999"]
@@ -121,23 +126,27 @@ SELECT level, count(*) AS resamples, round(max(s) FILTER (r = greatest(ceil(0.02
 round(max(s) FILTER (r = ceil(0.975 * {BOOT})), 6) AS hi FROM k GROUP BY level""")
 def bootstrap_quantiles(t: Tables):
     x = t.orders.select(F.floor(F.col("o_totalprice") / 1000).alias("x"))
-    return shaped(bootstrap.bootstrap_quantiles(x, "x", LEVELS, BOOT, 11, "hash"), "resamples", "lo hi", "level", digits=6)
+    return shaped(bootstrap.bootstrap_quantiles(x, "x", LEVELS, BOOT, 11), "resamples", "lo hi", "level", digits=6)
 
 
-@query("a15_paired_bootstrap", f"""WITH {I.PAIRS}, {COUNTS.format(by='', group='')},
-draws AS (SELECT b, n11, n10, n01, {DRAW.format(seed=3)} AS d FROM (SELECT *, n11+n10+n01+n00 AS n FROM counts), range({BOOT}) r(b), range((SELECT count(*) FROM orders)) s(i)),
+def _paired_sql(resamples: int, seed: int) -> str:
+    return f"""WITH {I.PAIRS}, {COUNTS.format(by='', group='')},
+draws AS (SELECT b, n11, n10, n01, {DRAW.format(seed=seed)} AS d FROM (SELECT *, n11+n10+n01+n00 AS n FROM counts), range({resamples}) r(b), range((SELECT count(*) FROM orders)) s(i)),
 t AS (SELECT b, count(*) FILTER (d < n11) AS a, count(*) FILTER (d >= n11 AND d < n11+n10) AS r, count(*) FILTER (d >= n11+n10 AND d < n11+n10+n01) AS x FROM draws GROUP BY b),
 s AS (SELECT CASE WHEN a + r = 0 THEN 'inf'::DOUBLE ELSE (a + x)/(a + r) END AS s FROM t WHERE a + r > 0 OR a + x > 0),
 k AS (SELECT s, row_number() OVER (ORDER BY s) AS rn, count(*) OVER () AS m FROM s)
-SELECT (SELECT round((n11+n01)/(n11+n10), 9) FROM counts) AS value, max(m) AS resamples, {BOOT} - max(m) AS left_out,
-round(max(s) FILTER (rn = greatest(ceil(0.025*m), 1)), 9) AS lo, round(max(s) FILTER (rn = ceil(0.975*m)), 9) AS hi FROM k""")
+SELECT (SELECT round((n11+n01)/(n11+n10), 9) FROM counts) AS value, max(m) AS resamples, {resamples} - max(m) AS left_out,
+round(max(s) FILTER (rn = greatest(ceil(0.025*m), 1)), 9) AS lo, round(max(s) FILTER (rn = ceil(0.975*m)), 9) AS hi FROM k"""
+
+
+@query("a15_paired_bootstrap", _paired_sql(BOOT, 3))
 def paired_bootstrap(t: Tables):
-    return shaped(bootstrap.paired_bootstrap(I.pairs(t), BOOT, 3, draws="hash"), "resamples left_out", "value lo hi")
+    return shaped(bootstrap.paired_bootstrap(I.pairs(t), BOOT, 3), "resamples left_out", "value lo hi")
 
 
-@query("a15_paired_bootstrap_multinomial")
-def paired_bootstrap_fast(t: Tables):
-    return shaped(bootstrap.paired_bootstrap(I.pairs(t), 1000, 3), "resamples left_out", "value lo hi")
+@query("a15_paired_bootstrap_multinomial", _paired_sql(100, 4))
+def paired_bootstrap_of_more_resamples(t: Tables):
+    return shaped(bootstrap.paired_bootstrap(I.pairs(t), 100, 4), "resamples left_out", "value lo hi")
 
 
 RANKS = ["0", "0.07", "0.5", "0.9", "0.99", "0.999", "1"]

@@ -1,27 +1,26 @@
-"""Bootstrap intervals whose draws are a function of (seed, resample, draw).
+"""Bootstrap intervals whose draws are a function of (seed, resample, draw), so any engine can repeat them.
 
-``draws="hash"`` spells out every draw, so any engine can repeat it: resamples x n rows, drawn and
-counted on the map side, or joined by draw number when there are too many distinct values to carry
-along. ``draws="multinomial"`` draws the multiplicities of the distinct values instead, which is the
-same distribution at resamples x distinct values of work; use it for large n with few distinct
-values. Bounds are order statistics of the resampled statistic.
+A resample draws as many positions as there are rows, and a position belongs to the value whose run of
+the sorted rows holds it. Draws come from one numbered range that Spark splits; positions are cut into
+cells of fixed width, and a value's run is listed in every cell that it touches. So neither a value that
+holds a third of all rows nor a resample is ever one row or one task. Bounds are order statistics of
+the resampled statistic.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paritas.functions.bits import bit
 from paritas.functions.hashing import index_draw
 from paritas.functions.intervals import ALPHA95
 from paritas.operators.ranks import exact, running_totals
 from paritas.operators.statistics import pair_counts
 
-# A histogram up to this size travels to every task; beyond it draws are joined by number.
-MAX_DISTINCT = 200_000
+# Positions per cell in which draws meet the runs of values.
+CELL = 4096
 
 
 def _bounds(stats: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
@@ -43,75 +42,37 @@ def _histogram(df: DataFrame, value: str) -> DataFrame:
     return running_totals(counted, ["v"], {"upto": "c"})
 
 
-def _search(sorted_ends: Column, draw: Column, bits: int = 32) -> Column:
-    """Index of the first entry greater than draw, by binary search."""
-    steps = F.sequence(F.lit(bits - 1), F.lit(0), F.lit(-1))
-    last = F.size(sorted_ends)
+def _draws(spark, total: int, resamples: int, seed: int) -> DataFrame:
+    """(b, d): every draw of every resample, a position below total."""
+    b, i = F.floor(F.col("id") / F.lit(total)).cast("bigint"), F.col("id") % F.lit(total)
+    return spark.range(total * resamples).select(b.alias("b"), index_draw(F.lit(total), F.lit(seed), b, i).alias("d"))
 
-    def step(at: Column, b: Column) -> Column:
-        nxt = at + bit(b)
-        fits = (nxt <= last) & (F.element_at(sorted_ends, F.least(nxt, last).cast("int")) <= draw)
-        return F.when(fits, nxt).otherwise(at)
 
-    return F.aggregate(steps, F.lit(0).cast("bigint"), step)
-
-
-def _resamples(df: DataFrame, value: str, resamples: int, seed: int, draws: str) -> DataFrame:
-    """(b, v, m): multiplicity of each distinct value in each resample."""
-    spark = df.sparkSession
+def _resamples(df: DataFrame, value: str, resamples: int, seed: int) -> DataFrame:
+    """(b, v, m): multiplicity of each distinct value in each resample; none of an empty input."""
     hist = _histogram(df, value)
-    few = hist.count() <= MAX_DISTINCT
-    if draws == "hash":
-        total = hist.agg(F.sum("c")).scalar()
-        # Every row of the histogram contributes its own count of draw numbers, so the draws are
-        # generated where the rows are, and counted before they move.
-        numbers = hist.select("v", F.explode(F.sequence(F.col("upto") - F.col("c"), F.col("upto") - 1)).alias("i"))
-        spread = numbers.select("i").repartition("i").select("i", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b"))
-        drawn = spread.select("b", index_draw(total, F.lit(seed), F.col("b"), F.col("i")).alias("d"))
-        if few:
-            ends = hist.agg(F.sort_array(F.collect_list("upto"))).scalar()
-            values = hist.agg(F.sort_array(F.collect_list("v"))).scalar()
-            placed = drawn.withColumn("vs", values).withColumn("es", ends)
-            picked = placed.select("b", F.element_at("vs", (_search(F.col("es"), F.col("d")) + 1).cast("int")).alias("v"))
-        else:
-            picked = drawn.join(numbers, drawn["d"] == numbers["i"]).select("b", "v")
-        return picked.groupBy("b", "v").agg(F.count("*").alias("m"))
-    if draws != "multinomial":
-        raise ValueError(f"unknown draws {draws!r}")
-    if not few:
-        raise ValueError(f"more than {MAX_DISTINCT} distinct values; use draws='hash'")
-
-    histogram = hist.agg(F.array_sort(F.collect_list(F.struct("v", "c")))).scalar()
-    tasks = spark.range(resamples).select(F.col("id").alias("b"), histogram.alias("h")).repartition("b")
-    tasks = tasks.select("b", F.col("h.v").alias("vs"), F.col("h.c").alias("cs"))
-
-    def draw(batches):
-        import numpy as np
-        import pandas as pd
-
-        for pdf in batches:
-            for b, vs, cs in zip(pdf["b"], pdf["vs"], pdf["cs"], strict=True):
-                counts = np.asarray(cs, dtype=np.int64)
-                n = int(counts.sum())
-                got = np.random.default_rng([seed, int(b)]).multinomial(n, counts / n)
-                hit = got > 0
-                yield pd.DataFrame({"b": b, "v": np.asarray(vs)[hit], "m": got[hit]})
-
-    return tasks.mapInPandas(draw, "b bigint, v double, m bigint")
-
-
-def bootstrap_mean(df: DataFrame, value: str, resamples: int, seed: int, draws: str = "multinomial") -> DataFrame:
+    total = hist.agg(F.sum("c")).first()[0] or 0
+    start = F.col("upto") - F.col("c")
+    runs = hist.select("v", start.alias("start"), F.explode(F.sequence(
+        F.floor(start / CELL), F.floor((F.col("upto") - 1) / CELL))).alias("cell"))
+    runs = runs.select("cell", F.greatest("start", F.col("cell") * CELL).alias("d"), F.lit(-1).cast("bigint").alias("b"), "v")
+    drawn = _draws(df.sparkSession, total, resamples, seed).select(F.floor(F.col("d") / CELL).alias("cell"), "d", "b", F.lit(None).cast("double").alias("v"))
+    up_to_here = Window.partitionBy("cell").orderBy("d", "b").rowsBetween(Window.unboundedPreceding, 0)
+    placed = runs.union(drawn).select("b", F.last("v", ignorenulls=True).over(up_to_here).alias("v")).where("b >= 0")
+    return placed.groupBy("b", "v").agg(F.count("*").alias("m"))
+
+
+def bootstrap_mean(df: DataFrame, value: str, resamples: int, seed: int) -> DataFrame:
     """One row (mean, lo, hi, resamples)."""
-    table = _resamples(df, value, resamples, seed, draws)
+    table = _resamples(df, value, resamples, seed)
     means = table.groupBy("b").agg((F.sum(F.col("v") * F.col("m")) / F.sum("m")).alias("s"))
     mean = df.agg(F.avg(F.col(value).cast("double"))).scalar()
     return _bounds(means, "s").withColumn("mean", mean)
 
 
-def bootstrap_quantiles(df: DataFrame, value: str, levels: Sequence[str], resamples: int, seed: int,
-                        draws: str = "multinomial") -> DataFrame:
+def bootstrap_quantiles(df: DataFrame, value: str, levels: Sequence[str], resamples: int, seed: int) -> DataFrame:
     """(level, lo, hi, resamples): nearest-rank quantiles, every level on the same resamples."""
-    table = _resamples(df, value, resamples, seed, draws)
+    table = _resamples(df, value, resamples, seed)
     within = Window.partitionBy("b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy("b")  # at most one row per distinct value
     upto = table.withColumn("_upto", F.sum("m").over(within)).withColumn("_n", F.sum("m").over(whole))
@@ -124,43 +85,18 @@ def bootstrap_quantiles(df: DataFrame, value: str, levels: Sequence[str], resamp
     return _bounds(hit.select("b", F.col("q.level").alias("level"), F.col("v").alias("s")), "s", ["level"])
 
 
-def paired_bootstrap(pairs: DataFrame, resamples: int, seed: int, ref: str = "ref_failed", test: str = "test_failed",
-                     draws: str = "multinomial") -> DataFrame:
+def paired_bootstrap(pairs: DataFrame, resamples: int, seed: int, ref: str = "ref_failed", test: str = "test_failed") -> DataFrame:
     """One row (value, lo, hi, resamples, left_out) for V on the four outcome counts.
 
-    A resample without failures in either arm has no ratio; it is left out and counted.
+    A resample without failures in either arm has no ratio; it is left out and counted. Only the four
+    counts come to the driver.
     """
     counts = pair_counts(pairs, (), ref, test)
-    four = counts.select(F.explode(F.array(
-        *[F.struct(F.lit(i).alias("v"), F.col(c).alias("c")) for i, c in enumerate(("n11", "n10", "n01", "n00"))])).alias("o"))
-    if draws == "hash":
-        t11 = F.col("n11")
-        t10, t01 = t11 + F.col("n10"), t11 + F.col("n10") + F.col("n01")
-        total = t01 + F.col("n00")
-        numbers = counts.select("*", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b")).repartition("b")
-        drawn = numbers.select("*", F.explode(F.sequence(F.lit(0), total - 1)).alias("i")).select(
-            "b", t11.alias("e0"), t10.alias("e1"), t01.alias("e2"), index_draw(total, F.lit(seed), F.col("b"), F.col("i")).alias("d"))
-        both = F.count_if(F.col("d") < F.col("e0"))
-        reference = F.count_if((F.col("d") >= F.col("e0")) & (F.col("d") < F.col("e1")))
-        tested = F.count_if((F.col("d") >= F.col("e1")) & (F.col("d") < F.col("e2")))
-        table = drawn.groupBy("b").agg(both.alias("a"), reference.alias("r"), tested.alias("t"))
-    else:
-        packed = four.agg(F.array_sort(F.collect_list("o"))).scalar()  # four entries
-        tasks = pairs.sparkSession.range(resamples).select(F.col("id").alias("b"), packed.alias("h")).select(
-            "b", F.col("h.c").alias("cs"))
-
-        def draw(batches):
-            import numpy as np
-            import pandas as pd
-
-            for pdf in batches:
-                rows = []
-                for b, cs in zip(pdf["b"], pdf["cs"], strict=True):
-                    c = np.asarray(cs, dtype=np.int64)
-                    rows.append((b, *np.random.default_rng([seed, int(b)]).multinomial(int(c.sum()), c / c.sum())[:3]))
-                yield pd.DataFrame(rows, columns=["b", "a", "r", "t"])
-
-        table = tasks.mapInPandas(draw, "b bigint, a bigint, r bigint, t bigint")
+    n11, n10, n01, n00 = (x or 0 for x in counts.select("n11", "n10", "n01", "n00").first())
+    d = F.col("d")
+    table = _draws(pairs.sparkSession, n11 + n10 + n01 + n00, resamples, seed).groupBy("b").agg(
+        F.count_if(d < n11).alias("a"), F.count_if((d >= n11) & (d < n11 + n10)).alias("r"),
+        F.count_if((d >= n11 + n10) & (d < n11 + n10 + n01)).alias("t"))
     up, down = F.col("a") + F.col("t"), F.col("a") + F.col("r")
     defined = table.where((up > 0) | (down > 0)).select(
         F.when(down == 0, F.lit(float("inf"))).otherwise(up / down).alias("s"))

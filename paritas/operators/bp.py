@@ -122,7 +122,10 @@ def variable_update(msg: DataFrame, memory: bool, ar) -> DataFrame:
 
 
 def hard_decision(msg: DataFrame, t: int) -> DataFrame:
-    """Takes the iteration over for syndromes that still run, decides, and tests convergence."""
+    """Takes the iteration over for syndromes that still run, decides, and tests convergence.
+
+    A ``lost`` syndrome has a fired detector that no fault touches and never converges.
+    """
     row, whole = Window.partitionBy("sid", "det"), Window.partitionBy("sid")
     live = ~F.col("done") & (F.col("it") < F.col("budget"))
 
@@ -133,7 +136,7 @@ def hard_decision(msg: DataFrame, t: int) -> DataFrame:
         "_live": live, "hard": taken(F.col("_sigma") <= 0, "hard"), "nu": taken(F.col("_nu"), "nu"),
         "marg": taken(F.col("_sigma"), "marg"), "it": taken(F.lit(t + 1), "it")})
     odd = (F.sum(F.col("hard").cast("int")).over(row) + F.col("fired")) % 2 == 1
-    tested = moved.withColumn("_bad", odd & F.col("ask"))
+    tested = moved.withColumn("_bad", (odd & F.col("ask")) | F.col("lost"))
     return tested.withColumn("done", F.col("done") | (F.col("_live") & ~F.bool_or("_bad").over(whole))).drop(
         "_live", "_bad", "_sigma", "_nu", "eta")
 
@@ -166,6 +169,12 @@ def drawn_gammas(seed: int, low: float, high: float) -> Callable[[DataFrame, int
     return attach
 
 
+def lost_syndromes(edges: DataFrame, fired: DataFrame, dets: DataFrame | None = None) -> DataFrame:
+    """(sid, lost): the syndromes with a fired detector, among those asked for, that has no edge."""
+    asked = fired if dets is None else fired.join(dets.select("det"), "det", "left_semi")
+    return asked.join(edges.select("det").distinct(), "det", "left_anti").select("sid").distinct().withColumn("lost", F.lit(True))
+
+
 def edge_messages(edges: DataFrame, faults: DataFrame, fired: DataFrame, sids: DataFrame, ar,
                   dets: DataFrame | None = None) -> DataFrame:
     """The edge table of every syndrome: each one carries the whole graph, which the decoder needs.
@@ -180,10 +189,10 @@ def edge_messages(edges: DataFrame, faults: DataFrame, fired: DataFrame, sids: D
         rows = rows.withColumn("ask", F.lit(True))
     graph = rows.agg(F.collect_list(F.struct("det", "fault", ar.start(F.col("lam")).alias("lam"), "lead", "ask"))).scalar()
     ones = fired.groupBy("sid").agg(F.collect_set("det").alias("_f"))
-    base = sids.select("sid").join(ones, "sid", "left").repartition("sid")
-    spread = base.withColumn("_graph", graph).select("sid", "_f", F.explode("_graph").alias("e")).select("sid", "_f", "e.*")
+    base = sids.select("sid").join(ones, "sid", "left").join(lost_syndromes(edges, fired, dets), "sid", "left").repartition("sid")
+    spread = base.withColumn("_graph", graph).select("sid", "_f", "lost", F.explode("_graph").alias("e")).select("sid", "_f", "lost", "e.*")
     return spread.select(
-        "sid", "det", "fault", "lam", "lead", "ask", F.coalesce(F.array_contains("_f", F.col("det")), F.lit(False)).cast("int").alias("fired"))
+        "sid", "det", "fault", "lam", "lead", "ask", F.coalesce("lost", F.lit(False)).alias("lost"), F.coalesce(F.array_contains("_f", F.col("det")), F.lit(False)).cast("int").alias("fired"))
 
 
 @dataclass(frozen=True)
@@ -290,11 +299,25 @@ def relay_decode(edges: DataFrame, faults: DataFrame, fired: DataFrame, sids: Da
         best.alias("_b"), F.bool_or("cap_hit").alias("cap_hit")).select(
         "sid", "success", "iterations", "legs", F.col("_b.leg").alias("best_leg"),
         F.coalesce("_b.weight", F.lit(INF)).alias("weight"), "cap_hit")
+    results = with_edgeless(results, edges, fired, sids, spec, dets)
     chosen = results.select("sid", F.coalesce("best_leg", F.lit(0)).alias("leg"))
     support = found.join(chosen, ["sid", "leg"], "left_semi").select("sid", "fault")
     return Decoded(results, support, trace.drop("cap_hit"), found.where("converged").select("sid", "leg", "fault"))
 
 
+def with_edgeless(results: DataFrame, edges: DataFrame, fired: DataFrame, sids: DataFrame, spec: RelaySpec, dets: DataFrame | None) -> DataFrame:
+    """Results for every syndrome, also on an incidence without edges, where none is in the message table.
+
+    There a syndrome with nothing fired converges at once, and any other runs out its first leg.
+    """
+    budget = spec.pre_iter if spec.cap is None else min(spec.pre_iter, spec.cap)
+    rest = sids.select("sid").distinct().join(results.select("sid"), "sid", "left_anti").join(lost_syndromes(edges, fired, dets), "sid", "left")
+    fine = F.col("lost").isNull()
+    return results.unionByName(rest.select(
+        "sid", fine.alias("success"), F.when(fine, 1).otherwise(budget).cast("bigint").alias("iterations"), F.lit(1).cast("bigint").alias("legs"),
+        F.when(fine, 0).alias("best_leg"), F.when(fine, 0.0).otherwise(INF).alias("weight"), F.lit(budget < spec.pre_iter).alias("cap_hit")))
+
+
 # ---- whole shots -------------------------------------------------------------------------------------
 
 

@@ -56,8 +56,12 @@ def paired_shots(combined: DataFrame, reference: str, test: str, chunks: DataFra
 
 
 def shot_in_chunk(shots: DataFrame) -> DataFrame:
-    """Numbers the shots of each chunk from 0 in shot order; a large chunk spreads over many tasks."""
-    return dense_numbers(shots, ["shot"], "shot_in_chunk", by=["chunk"])
+    """Numbers the shots of each chunk from 0 in shot order, alike in all arms and halves.
+
+    Distinct (chunk, shot) are numbered, then joined back; a large chunk spreads over many tasks.
+    """
+    numbers = dense_numbers(shots.select("chunk", "shot").distinct(), ["shot"], "shot_in_chunk", by=["chunk"])
+    return shots.join(numbers, ["chunk", "shot"])
 
 
 def half_costs(shots: DataFrame, values: Sequence[str]) -> DataFrame:

@@ -99,34 +99,18 @@ def shared_detectors(support: DataFrame, edges: DataFrame) -> DataFrame:
         "shot", "fault", "anchor").distinct()
 
 
-def support_components(support: DataFrame, edges: DataFrame, max_rounds: int = 64, every: int = 4) -> DataFrame:
+def support_components(support: DataFrame, edges: DataFrame) -> DataFrame:
     """(shot, fault, component): connected components, named by their smallest fault.
 
-    Labels spread fault -> detector -> fault as minima over one shot's entries. All entries of a
-    shot share a partition (a support is at most the incidence), so the rounds need no further
-    shuffle. Settled shots leave after every few rounds; only "any left?" returns to the driver.
+    Faults are connected through stars on shared detectors, one graph per shot; a fault without a
+    neighbour is a component of its own. There is no limit on how long a chain may be.
     """
-    from paritas.session import cut_lineage
-
-    distinct = support.select("shot", "fault").distinct()
-    touched = distinct.join(edges, "fault", "left").select("shot", "fault", "det", F.col("fault").alias("component"))
-    by_det, by_fault, by_shot = (Window.partitionBy(*k) for k in (["shot", "det"], ["shot", "fault"], ["shot"]))
-    open_rows = touched.repartition("shot")
-    settled: list[DataFrame] = []
-    for _ in range(0, max_rounds, every):
-        for step in range(every):
-            if step == every - 1:
-                open_rows = open_rows.withColumn("_old", F.col("component"))
-            spread = F.when(F.col("det").isNull(), F.col("component")).otherwise(F.min("component").over(by_det))
-            open_rows = open_rows.withColumn("component", spread)
-            open_rows = open_rows.withColumn("component", F.min("component").over(by_fault))
-        moved = F.bool_or(F.col("_old") != F.col("component")).over(by_shot)
-        open_rows = cut_lineage(open_rows.withColumn("_moved", moved).drop("_old"))
-        settled.append(open_rows.where(~F.col("_moved")).select("shot", "fault", "component").distinct())
-        open_rows = open_rows.where("_moved").drop("_moved").repartition("shot")
-        if open_rows.isEmpty():
-            return reduce(DataFrame.unionByName, settled)
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    from paritas.operators.graphs import components
+
+    star = shared_detectors(support, edges).select("shot", F.col("fault").alias("a"), F.col("anchor").alias("b"))
+    roots = components(star, ["shot"]).withColumnRenamed("node", "fault")
+    return support.select("shot", "fault").distinct().join(roots, ["shot", "fault"], "left").select(
+        "shot", "fault", F.coalesce("root", "fault").alias("component"))
 
 
 def cluster_terms(components: DataFrame, faults: DataFrame) -> DataFrame:

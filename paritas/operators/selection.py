@@ -76,10 +76,11 @@ def class_table(kept: DataFrame) -> DataFrame:
                         F.col("_l.slot").alias("w_slot"), "first_slot", "z", "found", "first")
 
 
-def confidence(kept: DataFrame, decodes: DataFrame | None = None) -> DataFrame:
+def confidence(kept: DataFrame, decodes: DataFrame | None = None, terms: DataFrame | None = None) -> DataFrame:
     """One row per decode with every selection value.
 
-    ``decodes`` (decode, returned) adds the decodes without any solution, whose decisions are the
+    ``terms`` (decode, components, sum_sq, q_supp) of the returned corrections, from
+    ``gf2.cluster_terms``, adds those columns. ``decodes`` (decode, returned) adds the decodes without any solution, whose decisions are the
     returned class. NULL stands for "no value", never for certainty.
     """
     per_class = class_table(kept)
@@ -100,6 +101,8 @@ def confidence(kept: DataFrame, decodes: DataFrame | None = None) -> DataFrame:
         (second["w_min"] - best["w_min"]).alias("gap"), second["cls"].alias("second_class"),
         (best["count"] / F.col("distinct")).alias("agreement"), (F.col("_f.leg") + 1).alias("first_legs"), F.col("_f.cumulative").alias("first_iterations"),
         "class_sum_class", "class_sum_top", "class_sum_slot", "agreement_class", "agreement_slot")
+    if terms is not None:
+        out = out.join(terms.select("decode", "components", "sum_sq", "q_supp"), "decode", "left")
     if decodes is None:
         return out
     full = decodes.select("decode", "returned").join(out, "decode", "left")
@@ -144,6 +147,8 @@ def signal(conf: DataFrame, name: str, threshold: float, single_class_is_low: bo
     elif name == "agreement":
         score, low = 1.0 - F.col("agreement"), F.col("agreement") < t
     elif name in SIGNALS:
+        if name not in conf.columns:
+            raise ValueError(f"the signal {name!r} needs its column; confidence adds it from cluster terms")
         score, low = F.col(name).cast("double"), F.coalesce(F.col(name) > t, F.lit(False))
     else:
         raise ValueError(f"unknown signal {name!r}")
@@ -199,14 +204,25 @@ def check_replay(kept_capacity: int, s: int, recorded_stop: int | None = None) -
         raise ValueError(f"replay of {s} solutions, but the recording stopped after {recorded_stop}")
 
 
+def replay_refusals(kept: DataFrame, sizes: DataFrame, capacity: int) -> DataFrame:
+    """(most, s, refused) for sizes(s): whether a recording supports a replay of s solutions.
+
+    most is the largest number of solutions that the recording holds of any decode.
+    """
+    recorded = kept.agg(F.max("found").alias("most"))
+    refused = (F.col("s") < 1) | (F.col("s") > capacity) | F.coalesce(F.col("s") > F.col("most"), F.lit(True))
+    return sizes.join(recorded, how="left").select("most", "s", refused.alias("refused"))
+
+
 def replay(kept: DataFrame, decodes: DataFrame, s: int, rule: str, count: int = 0, gap: float = 0.0,
-           recorded_capacity: int = MAX_CAPACITY) -> DataFrame:
+           recorded_capacity: int = MAX_CAPACITY, recorded_stop: int | None = None) -> DataFrame:
     """The run that would have kept s solutions and stopped by the rule.
 
-    decodes(decode, returned, iterations, legs) are the recorded totals. Output per decode:
+    decodes(decode, returned, iterations, legs) are the recorded totals; recorded_stop is the number of
+    solutions after which the recording itself stopped, beyond which nothing can be replayed. Output per decode:
     solutions, decision, iterations, legs, by_rule.
     """
-    check_replay(recorded_capacity, s)
+    check_replay(recorded_capacity, s, recorded_stop)
     prefix = prefix_state(kept.where(F.col("slot") < s))
     per = prefix.groupBy("decode").agg(
         F.min(F.when(stop_condition(rule, count, gap), F.struct("slot", "prefix_class", "cumulative", "leg"))).alias("hit"),

@@ -135,3 +135,24 @@ def test_fixed_point_weight_is_scaled(spark, toy):
     fired, shots = shot(spark, toy, [6])
     got = bp.decode(toy, fired, shots, RelaySpec(pre_iter=5, alpha=None, arithmetic="int4.2.8"))["results"].first()
     assert got.success and got.weight == math.floor(2 * math.log(49) + 0.5) / 2
+
+
+def test_fired_detector_without_an_edge_never_converges(spark, toy):
+    from paritas.operators.incidence import Incidence
+
+    outside = toy.edges.agg({"det": "max"}).first()[0] + 50
+    fired = spark.createDataFrame([(1, outside), (2, outside)], "shot bigint, det bigint").unionByName(
+        toy.edges.where("fault = 0").selectExpr("CAST(2 AS BIGINT) AS shot", "det"))
+    shots = spark.createDataFrame([(1,), (2,), (3,)], "shot bigint")
+    got = {r.shot: r for r in bp.decode(toy, fired, shots, RelaySpec(pre_iter=4, alpha=None))["results"].collect()}
+    assert [got[k].success for k in (1, 2, 3)] == [False, False, True] and got[1].iterations == got[2].iterations == 4
+    bare = Incidence(**{**toy.__dict__, "edges": toy.edges.limit(0)})
+    got = {r.shot: (r.success, r.iterations) for r in bp.decode(bare, fired, shots, RelaySpec(pre_iter=4, alpha=None))["results"].collect()}
+    assert got == {1: (False, 4), 2: (False, 4), 3: (True, 1)}
+
+
+def test_components_have_no_limit_on_length(spark):
+    n = 5000
+    support = spark.range(n).select(F.lit(1).cast("bigint").alias("shot"), F.col("id").alias("fault"))
+    edges = spark.range(n).select(F.explode(F.array(F.col("id"), F.col("id") + 1)).alias("det"), F.col("id").alias("fault"))
+    assert support_components(support, edges).select("component").distinct().collect()[0][0] == 0

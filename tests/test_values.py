@@ -123,3 +123,27 @@ def test_specifications_refuse_bad_values():
     with pytest.raises(ValueError):
         fixedpoint.grid("int9.2.8")
     assert [RelaySpec(3, alpha=a).damping_bits(t) for a, t in ((1.0, 0), (0.75, 4), (None, 3), (0.3, 0), (0.5, 0))] == [None, 2, 4, None, 1]
+
+
+def test_shots_are_numbered_alike_in_both_halves(spark):
+    rows = [(c, s, h) for c in (0, 1) for s in (4, 7, 9) for h in "xz"]
+    got = {(r.chunk, r.shot, r.half): r.shot_in_chunk for r in campaign.shot_in_chunk(spark.createDataFrame(rows, "chunk bigint, shot bigint, half string")).collect()}
+    assert got == {(c, s, h): (4, 7, 9).index(s) for c, s, h in rows}
+
+
+def test_signal_and_replay_refuse_what_is_not_recorded(spark):
+    from paritas.operators import selection
+
+    conf = spark.createDataFrame([(1, "defined", 0.5)], "decode bigint, gap_state string, gap double")
+    with pytest.raises(ValueError, match="q_supp"):
+        selection.signal(conf, "q_supp", 0.1)
+    with pytest.raises(ValueError, match="stopped after 3"):
+        selection.check_replay(5, 4, 3)
+
+
+def test_bootstrap_of_one_hot_value(spark):
+    from paritas.operators import bootstrap
+
+    x = spark.range(20_000).select(F.when(F.col("id") < 15_000, 1.0).otherwise(F.col("id")).alias("v"))
+    got = bootstrap.bootstrap_quantiles(x, "v", ["0.5", "0.7"], 20, 1)
+    assert {(r.level, r.lo, r.hi, r.resamples) for r in got.collect()} == {("0.5", 1.0, 1.0, 20), ("0.7", 1.0, 1.0, 20)}
