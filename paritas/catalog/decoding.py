@@ -409,11 +409,19 @@ def _toy_lam(b: int) -> float:
     return LAM_M if b in (1, 4) else LAM_D
 
 
-SMALL = f"""combos AS (SELECT [] ::BIGINT[] AS cols UNION ALL SELECT [a] FROM range(30) x(a) UNION ALL SELECT [a, b] FROM range(30) x(a), range(30) y(b) WHERE a < b
- UNION ALL SELECT [a, b, c] FROM range(30) x(a), range(30) y(b), range(30) z(c) WHERE a < b AND b < c UNION ALL SELECT [a, b, c, d] FROM range(30) x(a), range(30) y(b), range(30) z(c), range(30) w(d) WHERE a < b AND b < c AND c < d),
-vals AS (SELECT cols, list_transform(cols, lambda j: list_extract({[_toy_mask(r, b) for r, b in TOY_RULE]}, j + 1)) AS ms, list_transform(cols, lambda j: list_extract({[_toy_lam(b) for r, b in TOY_RULE]}::DOUBLE[], j + 1)) AS ls FROM combos),
-sub AS (SELECT cols, list_reduce(list_prepend(0, ms), lambda a, b: xor(a, b)) AS key, list_reduce(list_prepend(0.0::DOUBLE, ls), lambda a, b: a + b) AS weight, len(list_filter(cols, lambda j: j % 5 = 2)) % 2 AS cls FROM vals),
-table_ AS (SELECT *, count(*) OVER (PARTITION BY key, weight) AS ties FROM sub QUALIFY row_number() OVER (PARTITION BY key ORDER BY weight, cols) = 1),
+def _passes(state: str, start: str, entry, reduce_: str) -> str:
+    """CTEs state0 to state30: one more column of the toy in each."""
+    parts = [f"{state}0 AS MATERIALIZED (SELECT {start})"]
+    for j, (r, b) in enumerate(TOY_RULE):
+        parts.append(f"{state}{j + 1} AS MATERIALIZED (SELECT {reduce_.format(u=f'(SELECT * FROM {state}{j} UNION ALL SELECT {entry(j, r, b)} FROM {state}{j})')})")
+    return ", ".join(parts)
+
+
+SMALL = _passes(
+    "best", "0::BIGINT AS key, 0::DOUBLE AS weight, []::BIGINT[] AS cols, 1::BIGINT AS ties, 0::BIGINT AS cls",
+    lambda j, r, b: f"xor(key, {_toy_mask(r, b)}), weight + {_toy_lam(b)!r}::DOUBLE, list_append(cols, {j}), ties, xor(cls, {int(b == 2)})",
+    "key, weight, min(cols) AS cols, sum(ties)::BIGINT AS ties, arg_min(cls, cols) AS cls FROM (SELECT *, min(weight) OVER (PARTITION BY key) AS least FROM {u}) WHERE weight = least GROUP BY key, weight",
+) + """, table_ AS (SELECT * FROM best30),
 keys AS (SELECT shots.shot, coalesce(bit_or(1::BIGINT << det::INT), 0) AS key FROM shots LEFT JOIN fired USING (shot) GROUP BY shots.shot)"""
 
 
@@ -421,7 +429,7 @@ keys AS (SELECT shots.shot, coalesce(bit_or(1::BIGINT << det::INT), 0) AS key FR
 def lookup_decode(t: Tables):
     inc, shots, fired, _ = toy_shots(t)
     problem = whole_problem(t)
-    table = lookup.lookup_table(t.spark, problem, 4)
+    table = lookup.lookup_table(t.spark, problem)
     out = lookup.lookup_decode(lookup.syndrome_keys(fired, shots), table, problem.bound)
     return shaped(out.withColumn("cols", F.array_join("cols", ",")), "shot converged ties cls", "weight", "cols", digits=6)
 
@@ -437,7 +445,7 @@ def decode_rates(t: Tables):
     """Flagship: syndromes of all orders, exact decode, prediction against truth, rates per priority."""
     inc, shots, fired, faults = toy_shots(t)
     problem = whole_problem(t)
-    decoded = lookup.lookup_decode(lookup.syndrome_keys(fired, shots), lookup.lookup_table(t.spark, problem, 4), problem.bound)
+    decoded = lookup.lookup_decode(lookup.syndrome_keys(fired, shots), lookup.lookup_table(t.spark, problem), problem.bound)
     guess = decoded.select("shot", F.coalesce("cls", F.lit(0)).alias("mask"))
     failed = gf2.logical_failure(shots, guess, gf2.predict_class(faults, inc.column_class()))
     priority = t.orders.select(F.col("o_orderkey").alias("shot"), "o_orderpriority")
@@ -450,14 +458,20 @@ def decode_rates(t: Tables):
 PRIORS = [0.02 if b in (1, 4) else 0.01 for _, b in TOY_RULE]
 
 
-@query("r7_class_posterior", f"""WITH {I.FIRED}, {SMALL}, pr AS (SELECT key, cls, sum(list_reduce(list_prepend(1.0::DOUBLE, list_transform(cols, lambda j: CASE WHEN j % 5 IN (1, 4) THEN 0.02/0.98 ELSE 0.01/0.99 END)), lambda a, b: a * b)) AS p FROM sub GROUP BY ALL),
-ml AS (SELECT key, arg_max(cls, (p, -cls)) AS ml_class, max(p)/sum(p) AS posterior FROM pr GROUP BY key)
+MASSES = _passes(
+    "mass", "0::BIGINT AS key, 0::BIGINT AS cls, 1::DOUBLE AS p",
+    lambda j, r, b: f"xor(key, {_toy_mask(r, b)}), xor(cls, {int(b == 2)}), p * {'0.02/0.98' if b in (1, 4) else '0.01/0.99'}",
+    "key, cls, sum(p) AS p FROM {u} GROUP BY key, cls")
+
+
+@query("r7_class_posterior", f"""WITH {I.FIRED}, {SMALL}, {MASSES},
+ml AS (SELECT key, arg_max(cls, (p, -cls)) AS ml_class, max(p)/sum(p) AS posterior FROM mass30 GROUP BY key)
 SELECT shot, ml_class::BIGINT AS ml_class, round(posterior, 6) AS posterior, CAST(ml_class = t.cls AS INT)::BIGINT AS agrees FROM keys JOIN ml USING (key) JOIN table_ t USING (key)""")
 def class_posterior(t: Tables):
     _, shots, fired, _ = toy_shots(t)
     problem = whole_problem(t)
-    ml = lookup.most_likely_class(lookup.class_posterior(t.spark, problem, PRIORS, 4))
-    table = lookup.lookup_table(t.spark, problem, 4).select("key", "cls")
+    ml = lookup.most_likely_class(lookup.class_posterior(t.spark, problem, PRIORS))
+    table = lookup.lookup_table(t.spark, problem).select("key", "cls")
     out = lookup.syndrome_keys(fired, shots).join(ml, "key").join(table, "key").withColumn("agrees", F.col("ml_class") == F.col("cls"))
     return shaped(out, "shot ml_class agrees", "posterior", digits=6)
 

@@ -1,25 +1,26 @@
-"""Exact minimum-weight decoding of small problems by a table of all corrections.
+"""Exact minimum-weight decoding of small problems by a table of all syndromes.
 
-The table is enumerated once, in Spark, for all shots: every subset of n <= 22 columns (or every
-subset up to a given size) with its syndrome, weight and class; per syndrome the lightest one stays.
-Decoding any number of shots is then one join on the syndrome key with a table of at most
-min(2^n, 2^rows) rows.
+The table is built once, in Spark, for all shots, by a pass over the columns: every syndrome that some
+columns so far can make, with its lightest correction. A few columns at a time, each entry is unrolled
+over their choices and the lightest of each syndrome stays, so the table never exceeds min(2^columns,
+2^rows) rows and no size of correction is left out. Decoding any number of shots is then one join on
+the syndrome key.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from math import comb
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paritas.functions.bits import bit
 from paritas.operators.incidence import Incidence
+from paritas.session import cut_lineage
 
-# Fixed value: the largest number of subsets that is enumerated.
-MAX_SUBSETS = 1 << 22
+# Columns that one step of the pass unrolls, and steps after which the table is written.
+STEP, STEPS = 4, 3
 
 
 @dataclass(frozen=True)
@@ -61,36 +62,73 @@ def _fold(subset: Column, values: Sequence, combine, zero):
     return out
 
 
-def subsets(spark: SparkSession, n: int, max_size: int | None = None) -> DataFrame:
-    """(subset): bit masks of all subsets of n columns, or of those with at most max_size columns."""
-    if max_size is None:
-        if n > 22:
-            raise ValueError(f"2^{n} subsets are more than {MAX_SUBSETS}; give max_size")
-        return spark.range(1 << n).select(F.col("id").alias("subset"))
-    if sum(comb(n, s) for s in range(max_size + 1)) > MAX_SUBSETS:
-        raise ValueError(f"subsets of at most {max_size} of {n} columns are more than {MAX_SUBSETS}")
+def small_subsets(spark: SparkSession, n: int, size: int) -> DataFrame:
+    """(subset): bit masks of the subsets of n columns with at most ``size`` columns."""
     level = spark.range(1).select(F.lit(0).cast("bigint").alias("subset"), F.lit(0).alias("next"))
     out = level.select("subset")
-    for _ in range(max_size):
+    for _ in range(size):
         level = level.where(F.col("next") < n).select("subset", F.explode(F.sequence(F.col("next"), F.lit(n - 1))).alias("j")).select(
             F.col("subset").bitwiseOR(bit(F.col("j"))).alias("subset"), (F.col("j") + 1).alias("next"))
         out = out.unionByName(level.select("subset"))
     return out
 
 
-def enumerated(spark: SparkSession, problem: SmallProblem, max_size: int | None = None) -> DataFrame:
-    """(subset, key, weight, cls): every subset with its syndrome key, weight (ascending sum) and class."""
-    def xor(a, b):
-        return a.bitwiseXOR(b)
+def xor(a: Column, b: Column) -> Column:
+    return a.bitwiseXOR(b)
 
-    def plus(a, b):
+
+def finite_lam(problem: SmallProblem) -> list[float]:
+    return [v if abs(v) < float("inf") else 0.0 for v in problem.lam]
+
+
+def over_columns(spark: SparkSession, problem: SmallProblem, start: dict[str, Column], keep, **folds) -> DataFrame:
+    """Passes over the columns: ``start`` is the entry of no column, ``keep`` reduces a step's rows.
+
+    folds: per state column its values per problem column and how a chosen one is taken in. Key and
+    subset are always kept up.
+    """
+    state = spark.range(1).select(F.lit(0).cast("bigint").alias("key"), F.lit(0).cast("bigint").alias("subset"), *[v.alias(k) for k, v in start.items()])
+    folds = {"key": (problem.masks, xor), **folds}
+    for step, first in enumerate(range(0, problem.columns, STEP), 1):
+        columns = range(first, min(problem.columns, first + STEP))
+        rows = state.select("*", F.explode(F.sequence(F.lit(0), F.lit((1 << len(columns)) - 1))).alias("_s"))
+        new = {"subset": F.col("subset").bitwiseOR(F.shiftleft(F.col("_s").cast("bigint"), first))}
+        for name, (values, combine) in folds.items():
+            value = F.col(name)
+            for i, j in enumerate(columns):
+                value = F.when(F.getbit("_s", F.lit(i)) == 1, combine(value, F.lit(values[j]))).otherwise(value)
+            new[name] = value
+        state = keep(rows.withColumns(new).drop("_s"))
+        if step % STEPS == 0:
+            state = cut_lineage(state)
+    return state
+
+
+def lightest(spark: SparkSession, problem: SmallProblem, max_size: int | None = None) -> DataFrame:
+    """(key, weight, subset, cls, ties): the lightest correction of every syndrome.
+
+    Among equal weights the lexicographically smallest support wins and ties counts all of them.
+    ``max_size`` asks for corrections of at most so many columns instead, as a decoder that is meant to
+    fail on others.
+    """
+    n = problem.columns
+
+    def keep(rows: DataFrame) -> DataFrame:
+        least = F.min("weight").over(Window.partitionBy("key"))  # as many rows as a step has choices, or fewer
+        rivals = rows.withColumn("_least", least).where(F.col("weight") == F.col("_least"))
+        best = F.min(F.struct(members(F.col("subset"), n).alias("cols"), "subset", "cls", "weight"))
+        return rivals.groupBy("key").agg(best.alias("b"), F.sum("ties").alias("ties")).select("key", "b.weight", "b.subset", "b.cls", "ties")
+
+    def plus(a: Column, b: Column) -> Column:
         return a + b
 
-    s = F.col("subset")
-    finite = [v if abs(v) < float("inf") else 0.0 for v in problem.lam]
-    return subsets(spark, problem.columns, max_size).select(
-        "subset", _fold(s, problem.masks, xor, 0).cast("bigint").alias("key"), _fold(s, finite, plus, 0.0).alias("weight"),
-        _fold(s, problem.cls, xor, 0).cast("bigint").alias("cls"))
+    if max_size is not None:
+        s = F.col("subset")
+        return keep(small_subsets(spark, n, max_size).select(
+            "subset", _fold(s, problem.masks, xor, 0).cast("bigint").alias("key"), _fold(s, finite_lam(problem), plus, 0.0).alias("weight"),
+            _fold(s, problem.cls, xor, 0).cast("bigint").alias("cls"), F.lit(1).cast("bigint").alias("ties")))
+    start = {"weight": F.lit(0.0), "cls": F.lit(0).cast("bigint"), "ties": F.lit(1).cast("bigint")}
+    return over_columns(spark, problem, start, keep, weight=(finite_lam(problem), plus), cls=(problem.cls, xor))
 
 
 def members(subset: Column, n: int) -> Column:
@@ -105,22 +143,13 @@ def lookup_table(spark: SparkSession, problem: SmallProblem, max_size: int | Non
     counts them. flip is the commit columns' syndrome.
     """
     n = problem.columns
-    all_subsets = enumerated(spark, problem, max_size)
-    lightest = all_subsets.groupBy("key").agg(F.min("weight").alias("_w"))
-    rivals = all_subsets.join(lightest, "key").where(F.col("weight") == F.col("_w"))
-    best = rivals.groupBy("key").agg(
-        F.min(F.struct(members(F.col("subset"), n).alias("cols"), "subset", "cls", "weight")).alias("b"), F.count("*").alias("ties"))
+    best = lightest(spark, problem, max_size)
     commit = sum(1 << i for i, c in enumerate(problem.commit) if c)
-    kept = F.col("b.subset").bitwiseAND(F.lit(commit))
-
-    def xor(a, b):
-        return a.bitwiseXOR(b)
-
-    finite = [v if abs(v) < float("inf") else 0.0 for v in problem.lam]
+    kept = F.col("subset").bitwiseAND(F.lit(commit))
     return best.select(
-        "key", F.col("b.weight").alias("weight"), F.col("b.cols").alias("cols"), "ties", F.col("b.cls").alias("cls"),
+        "key", "weight", members(F.col("subset"), n).alias("cols"), "ties", "cls",
         _fold(kept, problem.masks, xor, 0).cast("bigint").alias("flip"), _fold(kept, problem.cls, xor, 0).cast("bigint").alias("commit_cls"),
-        members(kept, n).alias("commit_cols"), _fold(kept, finite, lambda a, b: a + b, 0.0).alias("committed_weight"))
+        members(kept, n).alias("commit_cols"), _fold(kept, finite_lam(problem), lambda a, b: a + b, 0.0).alias("committed_weight"))
 
 
 def syndrome_keys(fired: DataFrame, shots: DataFrame) -> DataFrame:
@@ -136,17 +165,18 @@ def lookup_decode(keys: DataFrame, table: DataFrame, bound: int) -> DataFrame:
     return keys.join(bounded_broadcast(table, bound), "key", "left").withColumn("converged", F.col("weight").isNotNull())
 
 
-def class_posterior(spark: SparkSession, problem: SmallProblem, priors: Sequence[float], max_size: int | None = None) -> DataFrame:
-    """(key, cls, probability): the total probability of every subset with that syndrome and class."""
-    odds = [p / (1.0 - p) for p in priors]
-    empty = 1.0
+def class_posterior(spark: SparkSession, problem: SmallProblem, priors: Sequence[float]) -> DataFrame:
+    """(key, cls, probability): the total probability of all corrections with that syndrome and class."""
+    none = 1.0
     for p in priors:
-        empty *= 1.0 - p
-    s = F.col("subset")
-    ratio = F.lit(empty)
-    for i, o in enumerate(odds):
-        ratio = ratio * F.when(F.getbit(s, F.lit(i)) == 1, F.lit(o)).otherwise(F.lit(1.0))
-    return enumerated(spark, problem, max_size).withColumn("_p", ratio).groupBy("key", "cls").agg(F.sum("_p").alias("probability"))
+        none *= 1.0 - p
+
+    def keep(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("key", "cls").agg(F.sum("probability").alias("probability"), F.min("subset").alias("subset"))
+
+    start = {"probability": F.lit(none), "cls": F.lit(0).cast("bigint")}
+    odds = [p / (1.0 - p) for p in priors]
+    return over_columns(spark, problem, start, keep, probability=(odds, lambda a, b: a * b), cls=(problem.cls, xor)).drop("subset")
 
 
 def most_likely_class(posterior: DataFrame) -> DataFrame:
