@@ -23,7 +23,11 @@ def _missing(v) -> bool:
 
 
 class History(StatefulProcessor):
-    """Keeps the last max(lengths) windows of a shot; windows of a shot arrive in order across batches."""
+    """Keeps the last max(lengths) windows of a shot.
+
+    A window that comes after a later one of its shot can't enter the spans already reported: it gets
+    rows of state "late" and changes nothing.
+    """
 
     def __init__(self, lengths: Sequence[int]):
         self.lengths = list(lengths)
@@ -40,6 +44,9 @@ class History(StatefulProcessor):
         out = []
         for values in arrived[FIELDS].itertuples(index=False, name=None):
             record = {f: None if _missing(v) else v.item() if hasattr(v, "item") else v for f, v in zip(FIELDS, values, strict=True)}
+            if ring and record["window"] <= ring[-1]["window"]:
+                out += [(key[0], record["window"], n, "late", *[None] * 7) for n in self.lengths]
+                continue
             ring = [*ring, record][-max(self.lengths):]
             out += [(key[0], record["window"], n, *self._signals(ring[-n:])) for n in self.lengths]
         self.ring.update((json.dumps(ring),))

@@ -56,8 +56,10 @@ def collect_tables(plan: LoadedPlan, inner: Inner) -> dict[int, dict]:
 class RoundDecoder(StatefulProcessor):
     """Buffers rounds by number, drops duplicates, decodes windows when ready, reports contract errors.
 
-    strict asks for rounds in order, as a live detector delivers them; otherwise late rounds wait in
-    the buffer. With a time to live, a shot that stays incomplete is reported and forgotten.
+    strict asks for rounds in order from batch to batch, as a live detector delivers them (rows of one
+    batch have no order and count as sorted); otherwise late rounds wait in the buffer. With a time to
+    live, counted from the last arrival, an incomplete shot is reported and forgotten, and a finished
+    one, whose late duplicates were still known, is forgotten without a word.
     """
 
     def __init__(self, plan: LoadedPlan, tables: dict[int, dict], strict: bool = False, ttl_ms: int | None = None):
@@ -91,7 +93,9 @@ class RoundDecoder(StatefulProcessor):
                 out += self._advance(shot, s)
         out += self._advance(shot, s)
         self.shot.update((s["words"], s["got"], s["window"], s["attempt"], s["legs"], s["frame"], s["over"], s["closed"]))
-        if self.ttl_ms is not None and not s["over"]:
+        if self.ttl_ms is not None:
+            for earlier in list(self.handle.listTimers()):
+                self.handle.deleteTimer(earlier)
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.ttl_ms)
         if out:
             yield pd.DataFrame(out, columns=COLUMNS)
