@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,3 +46,15 @@ def counted_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     df should be cheap to count: a written table or a small aggregate of one.
     """
     return bounded_broadcast(df, df.limit(limit + 1).count(), limit)
+
+
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What runs inside sends Python workers at most ``rows`` rows at once, which bounds their memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

@@ -18,12 +18,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import counted_broadcast, text_or_empty
+from .common import arrow_batches, counted_broadcast, text_or_empty
 
 SHINGLE = 5
 #: Sets are linked if 100 * intersection >= LINK * union.
@@ -37,6 +38,8 @@ AHEAD, NEAREST = 3, 6
 #: Symbols that may differ for a pair to be confirmed already after the first comparison.
 LIKELY_DISTANCE = 34
 NULL_DOC = 1 << 62
+#: Rows that a Python worker gets at once: texts, or pairs with both sets.
+BATCH_ROWS = 1_000
 
 BOUNDS = np.linspace(0, INDEXED, CHUNKS + 1).astype(int)
 CHUNK_OF = np.repeat(np.arange(CHUNKS), np.diff(BOUNDS))
@@ -76,9 +79,9 @@ class Words:
                 memory[w] = word_hash(w)
         return np.fromiter(map(memory.__getitem__, words), np.uint64, len(words))
 
-    def shingles(self, text: str | None) -> np.ndarray:
-        """The sorted distinct 64-bit hashes of a text's shingles; none without words."""
-        words = (text or "").encode("utf-8", "replace").lower().split()  # bytes: A-Z and ASCII white space only
+    def shingles(self, text: bytes) -> np.ndarray:
+        """The sorted distinct 64-bit hashes of the shingles of a text in UTF-8; none without words."""
+        words = text.lower().split()  # bytes: A-Z and ASCII white space only
         if not words:
             return np.zeros(0, np.uint64)
         h = self.hashes(words)
@@ -97,22 +100,30 @@ def signature(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> bytes:
     return bits[:INDEXED].astype(np.uint16).tobytes() + bits[INDEXED:].astype(np.uint8).tobytes()
 
 
+def text_bytes(column: pa.Array) -> Iterator[bytes]:
+    """One text after the other, so that a batch's texts are not held twice."""
+    for value in column:
+        yield value.as_buffer().to_pybytes()
+
+
 def signed_documents(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, n_shingles, set_key (equal for equal sets, null without) and sig, written."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, a, b = Words(), constants("slope", INDEXED + FURTHER), constants("shift", INDEXED + FURTHER)
         for batch in batches:
-            sets = [words.shingles(t) for t in batch["text"]]
-            out = batch[["doc_id", "text_key"]].copy()
-            out["n_shingles"] = [len(s) for s in sets]
-            keys = [stirred(stirred(s * STEP).sum(keepdims=True)).view(np.int64)[0] if len(s) else None for s in sets]
-            out["set_key"] = pd.array(keys, "Int64")
-            out["sig"] = [signature(s, a, b) if len(s) else None for s in sets]
-            yield out
+            sizes, keys, sigs = [], [], []
+            for text in text_bytes(batch.column(2)):
+                s = words.shingles(text)
+                sizes.append(len(s))
+                keys.append(int(stirred(stirred(s * STEP).sum(keepdims=True)).view(np.int64)[0]) if len(s) else None)
+                sigs.append(signature(s, a, b) if len(s) else None)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(sigs, pa.binary())],
+                names=["doc_id", "text_key", "n_shingles", "set_key", "sig"])
 
     text = text_or_empty()
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
-    return cut_lineage(picked.mapInPandas(run, "doc_id long, text_key long, n_shingles long, set_key long, sig binary"))
+    return cut_lineage(picked.mapInArrow(run, "doc_id long, text_key long, n_shingles long, set_key long, sig binary"))
 
 
 def classes(signed: DataFrame) -> DataFrame:
@@ -184,8 +195,8 @@ def compared(batch: pd.DataFrame, ahead: int | None) -> pd.DataFrame:
         keep = (root[x] != root[y]) & (cls[x] != cls[y]) & (100 * np.minimum(n[x], n[y]) >= LINK * np.maximum(n[x], n[y]))
         keep &= ~both[x] | (side[x] != side[y])
         x, y = x[keep], y[keep]
-        for at in range(0, len(x), 65_536):
-            i, j = x[at:at + 65_536], y[at:at + 65_536]
+        for at in range(0, len(x), 16_384):
+            i, j = x[at:at + 16_384], y[at:at + 16_384]
             wrong = indexed[i] != indexed[j]
             near = wrong.sum(1)
             close = near <= INDEX_DISTANCE
@@ -243,32 +254,47 @@ def open_pairs(live: DataFrame, kinds: DataFrame, roots: DataFrame) -> DataFrame
 
 def full_sets(docs: DataFrame, kinds: DataFrame, live: DataFrame) -> DataFrame:
     """The whole shingle set of every class that shares a bucket: cls and shingles (sorted, 8 bytes each)."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
-            yield pd.DataFrame({"cls": batch["cls"], "shingles": [words.shingles(t).tobytes() for t in batch["text"]]})
+            sets = [words.shingles(t).tobytes() for t in text_bytes(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["cls", "shingles"])
 
     text = text_or_empty()
     wanted = cut_lineage(kinds.join(live.select("cls").distinct(), "cls").select("cls", F.col("label").alias("_doc"), F.col("text_key").alias("_key")))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_DOC)).alias("_doc"), F.xxhash64(text).alias("_key"), text.alias("text"))
     found = rows.join(counted_broadcast(wanted), ["_doc", "_key"]).select("cls", "text")
-    return cut_lineage(found.mapInPandas(run, "cls long, shingles binary").dropDuplicates(["cls"]))
+    return cut_lineage(found.mapInArrow(run, "cls long, shingles binary").dropDuplicates(["cls"]))
+
+
+def as_set(value: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(value.as_buffer(), np.uint64)
+
+
+def common(x: np.ndarray, y: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    merged = np.sort(np.concatenate([x, y]), kind="stable")
+    return int((merged[1:] == merged[:-1]).sum())
+
+
+def beside_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs a, b with both sets as x and y."""
+    left = pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), "a")
+    return left.join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose full sets are linked."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch["x"], batch["y"]):
-                both = (len(x) + len(y)) // 8
-                merged = np.sort(np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)]), kind="stable")
-                common = int((merged[1:] == merged[:-1]).sum())
-                keep.append(100 * common >= LINK * (both - common))
-            yield batch.loc[np.array(keep, bool), ["a", "b"]]
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = as_set(x), as_set(y)
+                both = common(x, y)
+                keep.append(100 * both >= LINK * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), "a")
-    return left.join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
+    return beside_sets(pairs, sets).mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -312,15 +338,16 @@ def linked_documents(docs: DataFrame) -> DataFrame:
     rows have equal sets: they share a component, and each whose doc_id is its component's is kept.
     An empty table gives none. Other columns are not read.
     """
-    signed = signed_documents(docs)
-    kinds = classes(signed)
-    live = filed(kinds)
-    sets = full_sets(docs, kinds, live)
-    links = cut_lineage(confirmed(cut_lineage(first_pairs(live, kinds)), sets))
-    roots = cut_lineage(components(links))
-    more = cut_lineage(confirmed(cut_lineage(open_pairs(live, kinds, roots)), sets))
-    if more.limit(1).count():
-        roots = cut_lineage(components(links.union(more)))
+    with arrow_batches(docs.sparkSession, BATCH_ROWS):
+        signed = signed_documents(docs)
+        kinds = classes(signed)
+        live = filed(kinds)
+        sets = full_sets(docs, kinds, live)
+        links = cut_lineage(confirmed(cut_lineage(first_pairs(live, kinds)), sets))
+        roots = cut_lineage(components(links))
+        more = cut_lineage(confirmed(cut_lineage(open_pairs(live, kinds, roots)), sets))
+        if more.limit(1).count():
+            roots = cut_lineage(components(links.union(more)))
     named = kinds.select("cls", "label").join(roots, F.col("cls") == F.col("node"), "left").select("cls", "label", F.coalesce("root", "cls").alias("root"))
     least = named.groupBy("root").agg(F.min("label").alias("component_id"))
     labels = named.join(least, "root").select(F.col("cls").alias("set_key"), F.when(F.col("component_id") < NULL_DOC, F.col("component_id")).alias("component_id"))
