@@ -37,6 +37,8 @@ BLOCK_ROWS = 512
 AHEAD, NEAREST = 3, 6
 #: Symbols that may differ for a pair to be confirmed already after the first comparison.
 LIKELY_DISTANCE = 34
+#: Rows of one component in a bucket from which its anchor is used.
+ANCHORED_ROWS = 16
 NULL_DOC = 1 << 62
 #: Rows that a Python worker gets at once: texts, or pairs with both sets.
 BATCH_ROWS = 1_000
@@ -175,6 +177,18 @@ def grouped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield rest
 
 
+def anchor_of(lacking: bytes | None, others: float, size: float) -> tuple[int, int, int] | None:
+    return None if lacking is None else (int.from_bytes(lacking, "big"), int(others), int(size))
+
+
+def possible(x: tuple[int, int, int] | None, y: tuple[int, int, int] | None, n: int, m: int) -> bool:
+    """Whether two sets of sizes n and m can be linked, by what they lack and have beside one anchor."""
+    if x is None or y is None:
+        return True
+    most = x[2] - (x[0] | y[0]).bit_count() + min(x[1], y[1])
+    return bool(100 * most >= LINK * (n + m - most))
+
+
 def compared(batch: pd.DataFrame, ahead: int | None) -> pd.DataFrame:
     """Close pairs of the rows of each group: each row with the next ones, all or ``ahead`` of them.
 
@@ -183,6 +197,7 @@ def compared(batch: pd.DataFrame, ahead: int | None) -> pd.DataFrame:
     """
     indexed, further = symbols(batch["sig"])
     cls, root, n, side, place = (batch[c].to_numpy() for c in ("cls", "root", "n", "side", "place"))
+    lacks = [] if ahead else [anchor_of(*row) for row in batch[["lacking", "others", "anchor_size"]].itertuples(index=False)]
     group = batch[["key", "part"]].to_numpy()
     starts = np.concatenate([[0], np.flatnonzero((group[1:] != group[:-1]).any(1)) + 1, [len(batch)]])
     end = np.repeat(starts[1:], np.diff(starts))
@@ -209,6 +224,8 @@ def compared(batch: pd.DataFrame, ahead: int | None) -> pd.DataFrame:
                 inside = wrong & (CHUNK_OF[None, :] == chunk[:, None])
                 first = np.where(inside.any(1), inside.argmax(1), BOUNDS[chunk])
                 close &= first == place[i]
+            if not ahead:
+                close[close] = [possible(lacks[p], lacks[q], n[p], n[q]) for p, q in zip(i[close], j[close])]
             i, j = i[close], j[close]
             found.append(np.stack([np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j]), apart[close]], 1))
     out = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
@@ -234,21 +251,58 @@ def first_pairs(live: DataFrame, kinds: DataFrame) -> DataFrame:
     return pairs.withColumn("rank", rank).filter(F.col("rank") <= NEAREST).select("a", "b")
 
 
-def open_pairs(live: DataFrame, kinds: DataFrame, roots: DataFrame) -> DataFrame:
+def rooted_rows(live: DataFrame, roots: DataFrame) -> DataFrame:
+    """The filed classes of buckets that hold several components, with their component's root."""
+    rooted = live.join(roots, live["cls"] == roots["node"], "left").select("key", "place", "cls", "held", F.coalesce("root", "cls").alias("root"))
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
+    return cut_lineage(rooted.join(mixed, "key"))
+
+
+def bucket_anchors(rooted: DataFrame, links: DataFrame, roots: DataFrame) -> DataFrame:
+    """key and anchor: of a bucket's largest component, if it is large, the member with most links."""
+    ends = links.select(F.col("a").alias("node")).union(links.select("b"))
+    hubs = ends.groupBy("node").count().join(roots, "node").groupBy("root").agg(F.max(F.struct("count", "node"))["node"].alias("anchor"))
+    largest = rooted.groupBy("key", "root").agg(F.count("*").alias("rows")).groupBy("key").agg(F.max(F.struct("rows", "root")).alias("m"))
+    return largest.filter(F.col("m.rows") >= ANCHORED_ROWS).select("key", F.col("m.root").alias("root")).join(hubs, "root").select("key", "anchor")
+
+
+def against_anchors(rooted: DataFrame, anchors: DataFrame, sets: DataFrame) -> DataFrame:
+    """anchor, cls, lacking (a bit per shingle of the anchor), others and anchor_size, once per pair."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lacking, others, sizes = [], [], []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = as_set(x), as_set(y)
+                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+                has = y[at] == x
+                lacking.append(np.packbits(~has).tobytes())
+                others.append(len(y) - int(has.sum()))
+                sizes.append(len(x))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(lacking, pa.binary()), pa.array(others, pa.int64()), pa.array(sizes, pa.int64())],
+                names=["anchor", "cls", "lacking", "others", "anchor_size"])
+
+    wanted = rooted.join(anchors, "key").select(F.col("anchor").alias("a"), F.col("cls").alias("b")).distinct()
+    return cut_lineage(beside_sets(wanted, sets).mapInArrow(run, "anchor long, cls long, lacking binary, others long, anchor_size long"))
+
+
+def open_pairs(live: DataFrame, kinds: DataFrame, roots: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame:
     """All close pairs between different components, each once; buckets within one are left out.
 
     A bucket of many rows is compared block with block.
     """
-    rooted = live.join(roots, live["cls"] == roots["node"], "left").select("key", "place", "cls", "held", F.coalesce("root", "cls").alias("root"))
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
+    rooted = rooted_rows(live, roots)
+    anchors = cut_lineage(bucket_anchors(rooted, links, roots))
+    against = against_anchors(rooted, anchors, sets)
     blocks = F.ceil(F.col("held") / BLOCK_ROWS)
     rows = (
-        rooted.join(mixed, "key").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")))
+        rooted.join(anchors, "key", "left").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         .withColumn("part", F.least("block", "other") * F.col("blocks") + F.greatest("block", "other"))
         .withColumn("side", (F.col("block") > F.col("other")).cast("int"))
     )
-    joined = rows.join(kinds.select("cls", "n", "sig"), "cls").select("key", "place", "cls", "n", "sig", "root", "part", "side")
+    joined = rows.join(kinds.select("cls", "n", "sig"), "cls").join(against, ["anchor", "cls"], "left").select(
+        "key", "place", "cls", "n", "sig", "root", "part", "side", "lacking", "others", "anchor_size")
     return candidates(joined, None).select("a", "b")
 
 
@@ -345,7 +399,7 @@ def linked_documents(docs: DataFrame) -> DataFrame:
         sets = full_sets(docs, kinds, live)
         links = cut_lineage(confirmed(cut_lineage(first_pairs(live, kinds)), sets))
         roots = cut_lineage(components(links))
-        more = cut_lineage(confirmed(cut_lineage(open_pairs(live, kinds, roots)), sets))
+        more = cut_lineage(confirmed(cut_lineage(open_pairs(live, kinds, roots, links, sets)), sets))
         if more.limit(1).count():
             roots = cut_lineage(components(links.union(more)))
     named = kinds.select("cls", "label").join(roots, F.col("cls") == F.col("node"), "left").select("cls", "label", F.coalesce("root", "cls").alias("root"))
