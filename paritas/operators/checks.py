@@ -19,6 +19,9 @@ def _all(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+# The codes of the checks below are fixed values that callers match on.
+
+
 def check_incidence(inc: Incidence) -> DataFrame:
     """Ids out of range, duplicate edges, and ids that are not dense from 0."""
     pair = F.concat_ws(",", "det", "fault")

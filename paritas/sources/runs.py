@@ -44,8 +44,7 @@ def read_incidence(spark: SparkSession, path: str, verify: bool = True) -> Incid
 
 # ---- mechanism logs ---------------------------------------------------------------------------------
 
-# Fixed formats: a flattened error line, its detector and its observable targets.
-LINE = r"^\s*error\(([^)]*)\)"
+# Fixed formats: the detector and the observable targets of a flattened error line.
 DETECTOR, OBSERVABLE = r"\bD(\d+)", r"\bL(\d+)"
 
 
@@ -90,7 +89,10 @@ def write_run(tables: dict[str, DataFrame], path: str) -> None:
 
 
 def read_run(spark: SparkSession, path: str, table: str, names: Iterable[str], optional: Iterable[str] = ()) -> DataFrame:
-    """The requested columns (which must exist) and the optional ones that do; only they are scanned."""
+    """A run table narrowed to its keys, ``names`` (an error lists those it lacks) and those of ``optional`` it has.
+
+    Parquet reads no other column.
+    """
     df = spark.read.parquet(f"{path}/{table}")
     missing = sorted(set(names) - set(df.columns))
     if missing:
