@@ -11,6 +11,7 @@ byte pieces. The vocabulary file is only read.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -25,7 +26,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: A worker remembers this many words of at most this length.
-REMEMBERED, LONGEST_WORD = 400_000, 64
+REMEMBERED, LONGEST_WORD = 150_000, 64
 #: White space that no piece of most vocabularies holds; checked against the one in use.
 LINE_ENDS = "\n\r\t"
 
@@ -219,15 +220,26 @@ class Encoder:
     """Encodes batches of texts; remembers the ids of short words, up to a bound."""
 
     def __init__(self, v: Vocabulary) -> None:
-        self.v, self.memory, self.table = v, {}, WordTable(v)
+        self.v, self.memory, self.older, self.table = v, {}, {}, WordTable(v)
         apart = "".join(c for c in LINE_ENDS if not any(c in p for p in v.ids))
         other = f"[^{MARK}{apart}]"
         self.words = re.compile(f"{MARK}+{other}*|{other}+" + f"|[{apart}]" * bool(apart)).findall if v.words_apart else None
 
+    def recall(self, words: set[str]) -> set[str]:
+        """Makes room if need be and returns the words whose ids are not remembered.
+
+        The memory has two halves: when the newer is full it becomes the older, from which words
+        still in use come back.
+        """
+        new = words.difference(self.memory)
+        if len(self.memory) + len(new) > REMEMBERED:
+            self.older, self.memory, new = self.memory, {}, words
+        known = new.intersection(self.older)
+        self.memory.update((w, self.older[w]) for w in known)
+        return new - known
+
     def learn(self, words: set[str]) -> None:
-        """Adds the ids of short words to the memory, forgetting all others when it is full."""
-        if len(self.memory) + len(words) > REMEMBERED:
-            self.memory.clear()
+        """Adds the ids of short words to the memory."""
         lengths: dict[int, list[str]] = {}
         for w in words:
             lengths.setdefault(len(w), []).append(w)
@@ -235,38 +247,30 @@ class Encoder:
             for at in range(0, len(same), 4096):
                 part = same[at:at + 4096]
                 for w, ids in zip(part, self.table.encode(part)):
-                    self.memory[w] = np.array(ids, np.int32).tobytes()
+                    self.memory[w] = array("i", ids).tobytes()
 
     def long(self, text: str) -> bytes:
         return np.array([i for part in streamed(text, self.v) for i in part], np.int32).tobytes()
 
     def encode(self, text: str) -> bytes:
         """The ids as 32-bit integers; an empty text has none."""
-        if not text:
-            return b""
-        marked = MARK + text.replace(" ", MARK)
-        if not self.words:
-            return self.long(marked)
-        words, memory = self.words(marked), self.memory
-        new = {w for w in words if w not in memory}
-        if new:
-            self.learn({w for w in new if len(w) <= LONGEST_WORD})
-            long = {w: self.long(w) for w in new if len(w) > LONGEST_WORD}
-            return b"".join([memory.get(w) or long.get(w) or self.again(w) for w in words])
-        return b"".join([memory[w] for w in words])
-
-    def again(self, word: str) -> bytes:
-        """The ids of a word that was forgotten in between."""
-        return np.array(whole(word, self.v), np.int32).tobytes()
+        return self.encode_all([text])[0]
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text; the new words of some hundred texts are searched together."""
-        out = []
+        """The ids of each text. The new words of some texts are searched together."""
+        out: list[bytes] = []
         for at in range(0, len(texts), 256):
-            part = texts[at:at + 256]
-            if self.words:
-                self.learn({w for t in part if t for w in self.words(MARK + t.replace(" ", MARK)) if w not in self.memory and len(w) <= LONGEST_WORD})
-            out += map(self.encode, part)
+            marked = [MARK + t.replace(" ", MARK) if t else "" for t in texts[at:at + 256]]
+            if not self.words:
+                out += map(self.long, marked)
+                continue
+            split = list(map(self.words, marked))
+            every = set().union(*split)
+            new = self.recall(every)
+            self.learn({w for w in new if len(w) <= LONGEST_WORD})
+            long = {w: self.long(w) for w in new if len(w) > LONGEST_WORD}
+            ids = self.memory if not long else {**{w: self.memory[w] for words in split for w in words if w not in long}, **long}
+            out += [b"".join(map(ids.__getitem__, words)) for words in split]
         return out
 
 
@@ -304,7 +308,7 @@ def decoded(rows: DataFrame, model: str = MODEL) -> DataFrame:
         if ids.values is None:
             return ""
         joined = b"".join(map(table.__getitem__, ids.values.to_numpy().tolist()))
-        return joined.decode("utf-8", "replace")[1:]
+        return joined.decode("utf-8", "replace")[1:]  # without the mark put before the text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
