@@ -26,7 +26,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: A worker remembers this many words of at most this length.
-REMEMBERED, LONGEST_WORD = 150_000, 64
+REMEMBERED, LONGEST_WORD = 100_000, 64
+#: Rows of a batch that are worked on and given out at once, to bound a worker's memory.
+PART_ROWS = 500
 #: White space that no piece of most vocabularies holds; checked against the one in use.
 LINE_ENDS = "\n\r\t"
 
@@ -274,6 +276,12 @@ class Encoder:
         return out
 
 
+def in_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, PART_ROWS):
+            yield batch.slice(at, PART_ROWS)
+
+
 def encoded(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """docs with ``ids`` (array<int>), the pieces of each text.
 
@@ -286,7 +294,7 @@ def encoded(docs: DataFrame, model: str = MODEL) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(Vocabulary(*shared.value))
-        for batch in batches:
+        for batch in in_parts(batches):
             parts = encoder.encode_all([t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()])
             offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts])]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), np.int32)))
@@ -311,7 +319,7 @@ def decoded(rows: DataFrame, model: str = MODEL) -> DataFrame:
         return joined.decode("utf-8", "replace")[1:]  # without the mark put before the text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             out = pa.array([text(x, shared.value) for x in batch.column(batch.schema.get_field_index("ids"))], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, out], names=[*batch.schema.names, "decoded"])
 
