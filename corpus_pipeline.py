@@ -16,8 +16,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return neardup.deduplicated(docs)
+    """One document of each group of near-duplicates, linked at a similarity of 0.8."""
+    return neardup.deduplicated(docs, neardup.STAGE_LINK)
 
 
 def hide_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,19 +2,24 @@
 
 A document's set is its distinct five-word shingles. Documents with equal sets form one class. Each
 class has a signature of 64 indexed 16-bit symbols and 128 further 8-bit ones. The indexed symbols
-are split into 12 chunks: two signatures that differ in at most 23 symbols agree in some chunk up to
-one error (pigeonhole), so each class is filed under every chunk with each of its symbols left out
-in turn, and every such pair meets in a bucket.
+are split into c chunks: two signatures that differ in at most 2c - 1 symbols agree in some chunk up
+to one error (pigeonhole), so each class is filed under every chunk with each of its symbols left out
+in turn, and every such pair meets in a bucket. The link rule's threshold decides c and the symbols
+that may differ, so that a pair at the threshold is out of reach with a probability under ``MISSED``.
 
 Buckets are never expanded into all their pairs. First every class is compared with a few others of
 its bucket, the likeliest pairs are confirmed, and components are made. Then, in blocks of bounded
 size, only pairs between different components are compared; each close pair is given out once, in
-the first bucket that it shares, and confirmed. So no link between components can be missing.
+the first bucket that it shares, and confirmed. So a link between components can be missing only where
+the signatures are out of reach.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -27,11 +32,11 @@ from ..session import cut_lineage
 from .common import arrow_batches, counted_broadcast, text_or_empty
 
 SHINGLE = 5
-#: Sets are linked if 100 * intersection >= LINK * union.
-LINK = 85
-INDEXED, FURTHER, CHUNKS = 64, 128, 12
-#: Symbols in which linked signatures differ at most: expectation and nearly five deviations.
-INDEX_DISTANCE, WHOLE_DISTANCE = 23, 54
+#: Sets are linked if 100 * intersection >= threshold * union: op7's threshold, and the corpus stage's.
+LINK, STAGE_LINK = 85, 80
+INDEXED, FURTHER = 64, 128
+#: Bound on the probability that the signatures of a pair at the threshold differ in too many symbols.
+MISSED = 1e-6
 BLOCK_ROWS = 512
 #: In the first comparison: rows ahead in the bucket, and confirmed pairs per class.
 AHEAD, NEAREST = 3, 6
@@ -43,12 +48,48 @@ NULL_DOC = 1 << 62
 #: Rows that a Python worker gets at once: texts, or pairs with both sets.
 BATCH_ROWS = 1_000
 
-BOUNDS = np.linspace(0, INDEXED, CHUNKS + 1).astype(int)
-CHUNK_OF = np.repeat(np.arange(CHUNKS), np.diff(BOUNDS))
 SPREAD = np.uint64(0xD6E8FEB86659FD93)
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+def tail(n: int, k: int, p: float) -> float:
+    """The probability of more than k successes in n trials."""
+    return math.fsum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1, n + 1))
+
+
+@dataclass(frozen=True)
+class Rule:
+    """When two sets are linked, and the limits of their signatures that follow from it."""
+
+    threshold: int
+
+    def linked(self, both, union):
+        return 100 * both >= self.threshold * union
+
+    @cached_property
+    def chunks(self) -> int:
+        """The fewest chunks that reach far enough."""
+        return next(c for c in range(1, INDEXED + 1) if tail(INDEXED, 2 * c - 1, 1 - self.threshold / 100) < MISSED)
+
+    @cached_property
+    def index_distance(self) -> int:
+        return 2 * self.chunks - 1
+
+    @cached_property
+    def whole_distance(self) -> int:
+        """The least that keeps both tails together under the bound."""
+        p, n = 1 - self.threshold / 100, INDEXED + FURTHER
+        return next(k for k in range(n + 1) if tail(INDEXED, self.index_distance, p) + tail(n, k, p) < MISSED)
+
+    @cached_property
+    def bounds(self) -> np.ndarray:
+        return np.linspace(0, INDEXED, self.chunks + 1).astype(int)
+
+    @cached_property
+    def chunk_of(self) -> np.ndarray:
+        return np.repeat(np.arange(self.chunks), np.diff(self.bounds))
+
+
 def constants(name: str, n: int) -> np.ndarray:
     """Fixed odd 64-bit multipliers of a purpose."""
     seed = int.from_bytes(name.encode(), "big") % (1 << 32)
@@ -141,18 +182,18 @@ def symbols(sigs: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     return np.ascontiguousarray(raw[:, :2 * INDEXED]).view(np.uint16), raw[:, 2 * INDEXED:]
 
 
-def bucket_keys(indexed: np.ndarray) -> np.ndarray:
+def bucket_keys(indexed: np.ndarray, rule: Rule) -> np.ndarray:
     """A key per class and symbol left out: the rest of its chunk, hashed."""
     terms = stirred(indexed.astype(np.uint64) * constants("symbol", INDEXED) + constants("place", INDEXED))
-    sums = np.add.reduceat(terms, BOUNDS[:-1], axis=1)
-    return stirred(sums[:, CHUNK_OF] - terms + constants("key", INDEXED)).view(np.int64)
+    sums = np.add.reduceat(terms, rule.bounds[:-1], axis=1)
+    return stirred(sums[:, rule.chunk_of] - terms + constants("key", INDEXED)).view(np.int64)
 
 
-def filed(kinds: DataFrame) -> DataFrame:
+def filed(kinds: DataFrame, rule: Rule) -> DataFrame:
     """Every class under its keys, as far as the key holds another class: key, place, cls, held."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"cls": batch["cls"], "keys": list(bucket_keys(symbols(batch["sig"])[0]))})
+            yield pd.DataFrame({"cls": batch["cls"], "keys": list(bucket_keys(symbols(batch["sig"])[0], rule))})
 
     keyed = kinds.select("cls", "sig").mapInPandas(run, "cls long, keys array<long>").select("cls", F.posexplode("keys").alias("place", "key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("held")).filter("held > 1")
@@ -181,15 +222,15 @@ def anchor_of(lacking: bytes | None, others: float, size: float) -> tuple[int, i
     return None if lacking is None else (int.from_bytes(lacking, "big"), int(others), int(size))
 
 
-def possible(x: tuple[int, int, int] | None, y: tuple[int, int, int] | None, n: int, m: int) -> bool:
+def possible(x: tuple[int, int, int] | None, y: tuple[int, int, int] | None, n: int, m: int, rule: Rule) -> bool:
     """Whether two sets of sizes n and m can be linked, by what they lack and have beside one anchor."""
     if x is None or y is None:
         return True
     most = x[2] - (x[0] | y[0]).bit_count() + min(x[1], y[1])
-    return bool(100 * most >= LINK * (n + m - most))
+    return bool(rule.linked(most, n + m - most))
 
 
-def compared(batch: pd.DataFrame, ahead: int | None) -> pd.DataFrame:
+def compared(batch: pd.DataFrame, ahead: int | None, rule: Rule) -> pd.DataFrame:
     """Close pairs of the rows of each group: each row with the next ones, all or ``ahead`` of them.
 
     Of two blocks only pairs across are taken. All of them are given out only where their first
@@ -207,46 +248,46 @@ def compared(batch: pd.DataFrame, ahead: int | None) -> pd.DataFrame:
         step += 1
         rows = rows[rows + step < end[rows]]
         x, y = rows, rows + step
-        keep = (root[x] != root[y]) & (cls[x] != cls[y]) & (100 * np.minimum(n[x], n[y]) >= LINK * np.maximum(n[x], n[y]))
+        keep = (root[x] != root[y]) & (cls[x] != cls[y]) & rule.linked(np.minimum(n[x], n[y]), np.maximum(n[x], n[y]))
         keep &= ~both[x] | (side[x] != side[y])
         x, y = x[keep], y[keep]
         for at in range(0, len(x), 16_384):
             i, j = x[at:at + 16_384], y[at:at + 16_384]
             wrong = indexed[i] != indexed[j]
             near = wrong.sum(1)
-            close = near <= INDEX_DISTANCE
+            close = near <= rule.index_distance
             i, j, wrong, near = i[close], j[close], wrong[close], near[close]
             apart = near + (further[i] != further[j]).sum(1)
-            close = apart <= (LIKELY_DISTANCE if ahead else WHOLE_DISTANCE)
+            close = apart <= (LIKELY_DISTANCE if ahead else rule.whole_distance)
             if not ahead and close.any():
-                errors = np.add.reduceat(wrong, BOUNDS[:-1], axis=1)
+                errors = np.add.reduceat(wrong, rule.bounds[:-1], axis=1)
                 chunk = (errors <= 1).argmax(1)
-                inside = wrong & (CHUNK_OF[None, :] == chunk[:, None])
-                first = np.where(inside.any(1), inside.argmax(1), BOUNDS[chunk])
+                inside = wrong & (rule.chunk_of[None, :] == chunk[:, None])
+                first = np.where(inside.any(1), inside.argmax(1), rule.bounds[chunk])
                 close &= first == place[i]
             if not ahead:
-                close[close] = [possible(lacks[p], lacks[q], n[p], n[q]) for p, q in zip(i[close], j[close])]
+                close[close] = [possible(lacks[p], lacks[q], n[p], n[q], rule) for p, q in zip(i[close], j[close])]
             i, j = i[close], j[close]
             found.append(np.stack([np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j]), apart[close]], 1))
     out = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
     return pd.DataFrame(out.astype(np.int64), columns=["a", "b", "apart"])
 
 
-def candidates(rows: DataFrame, ahead: int | None) -> DataFrame:
+def candidates(rows: DataFrame, ahead: int | None, rule: Rule) -> DataFrame:
     """Close pairs of rows that share (key, part)."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in grouped(batches):
-            yield compared(batch, ahead)
+            yield compared(batch, ahead, rule)
 
     return rows.repartition("key", "part").sortWithinPartitions("key", "part", "side", F.xxhash64("cls", "key")).mapInPandas(run, PAIRS)
 
 
-def first_pairs(live: DataFrame, kinds: DataFrame) -> DataFrame:
+def first_pairs(live: DataFrame, kinds: DataFrame, rule: Rule) -> DataFrame:
     """Each class with a few likely partners: rows close by in its buckets, the nearest of them."""
     parts = F.ceil(F.col("held") / BLOCK_ROWS)
     rows = live.join(kinds.select("cls", "n", "sig"), "cls").select(
         "key", "place", "cls", "n", "sig", F.col("cls").alias("root"), F.pmod(F.xxhash64("cls"), parts).alias("part"), F.lit(0).alias("side"))
-    pairs = candidates(rows, AHEAD).dropDuplicates(["a", "b"])
+    pairs = candidates(rows, AHEAD, rule).dropDuplicates(["a", "b"])
     rank = F.row_number().over(W.partitionBy("a").orderBy("apart", "b"))
     return pairs.withColumn("rank", rank).filter(F.col("rank") <= NEAREST).select("a", "b")
 
@@ -286,7 +327,7 @@ def against_anchors(rooted: DataFrame, anchors: DataFrame, sets: DataFrame) -> D
     return cut_lineage(beside_sets(wanted, sets).mapInArrow(run, "anchor long, cls long, lacking binary, others long, anchor_size long"))
 
 
-def open_pairs(live: DataFrame, kinds: DataFrame, roots: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame:
+def open_pairs(live: DataFrame, kinds: DataFrame, roots: DataFrame, links: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """All close pairs between different components, each once; buckets within one are left out.
 
     A bucket of many rows is compared block with block.
@@ -303,7 +344,7 @@ def open_pairs(live: DataFrame, kinds: DataFrame, roots: DataFrame, links: DataF
     )
     joined = rows.join(kinds.select("cls", "n", "sig"), "cls").join(against, ["anchor", "cls"], "left").select(
         "key", "place", "cls", "n", "sig", "root", "part", "side", "lacking", "others", "anchor_size")
-    return candidates(joined, None).select("a", "b")
+    return candidates(joined, None, rule).select("a", "b")
 
 
 def full_sets(docs: DataFrame, kinds: DataFrame, live: DataFrame) -> DataFrame:
@@ -337,7 +378,7 @@ def beside_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return left.join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """The pairs whose full sets are linked."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -345,7 +386,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             for x, y in zip(batch.column(2), batch.column(3)):
                 x, y = as_set(x), as_set(y)
                 both = common(x, y)
-                keep.append(100 * both >= LINK * (len(x) + len(y) - both))
+                keep.append(rule.linked(both, len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return beside_sets(pairs, sets).mapInArrow(run, "a long, b long")
@@ -384,22 +425,23 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.union(e.select("a", "a").distinct().join(roots, F.col("a") == F.col("node"), "left_anti"))
 
 
-def linked_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, n_shingles, component_id and kept of every document.
+def linked_documents(docs: DataFrame, threshold: int) -> DataFrame:
+    """doc_id, text_key, n_shingles, component_id and kept of every document; threshold in percent.
 
     Documents without words have an empty set and stay alone and kept. Rows with a null doc_id take
     part in links; a component of such rows only has a null component_id and they are kept. Repeated
     rows have equal sets: they share a component, and each whose doc_id is its component's is kept.
     An empty table gives none. Other columns are not read.
     """
+    rule = Rule(threshold)
     with arrow_batches(docs.sparkSession, BATCH_ROWS):
         signed = signed_documents(docs)
         kinds = classes(signed)
-        live = filed(kinds)
+        live = filed(kinds, rule)
         sets = full_sets(docs, kinds, live)
-        links = cut_lineage(confirmed(cut_lineage(first_pairs(live, kinds)), sets))
+        links = cut_lineage(confirmed(cut_lineage(first_pairs(live, kinds, rule)), sets, rule))
         roots = cut_lineage(components(links))
-        more = cut_lineage(confirmed(cut_lineage(open_pairs(live, kinds, roots, links, sets)), sets))
+        more = cut_lineage(confirmed(cut_lineage(open_pairs(live, kinds, roots, links, sets, rule)), sets, rule))
         if more.limit(1).count():
             roots = cut_lineage(components(links.union(more)))
     named = kinds.select("cls", "label").join(roots, F.col("cls") == F.col("node"), "left").select("cls", "label", F.coalesce("root", "cls").alias("root"))
@@ -411,15 +453,15 @@ def linked_documents(docs: DataFrame) -> DataFrame:
 
 
 def judged(docs: DataFrame) -> DataFrame:
-    return linked_documents(docs).select("doc_id", "n_shingles", "component_id", "kept")
+    return linked_documents(docs, LINK).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, threshold: int = STAGE_LINK) -> DataFrame:
     """One document of each group, with the columns of docs: that with the smallest doc_id.
 
     Of repeated rows of it one is kept; documents without words all stay, repeated ones once.
     """
-    keep = linked_documents(docs).filter("kept").select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key")).distinct()
+    keep = linked_documents(docs, threshold).filter("kept").select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key")).distinct()
     inner = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64(text_or_empty()).alias("_text"))
     kept = inner.join(keep, F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_text") == F.col("_key"))).dropDuplicates(["_id", "_text"])
     return kept.select("doc.*")

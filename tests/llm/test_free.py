@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from odd_rows import edited, prose
 from paritas.llm import boosting, hashing, neardup, pieces, sharding, warc, webtext
 
@@ -68,6 +69,24 @@ def test_large_bucket_is_compared_in_blocks(spark, monkeypatch):
     assert got == sorted(brute_components(rows))
 
 
+def similarity(a, b):
+    x, y = shingles(a), shingles(b)
+    return len(x & y) / len(x | y)
+
+
+def test_stage_links_all_pairs_at_its_threshold(spark):
+    rows = []
+    for g in range(40):  # pairs of their own, so that no other link rescues one
+        text = prose(300 + g, 160)
+        rows += [(2 * g, text), (2 * g + 1, edited(text, g, 0.004 + 0.001 * (g % 40)))]
+    near = {2 * g: similarity(rows[2 * g][1], rows[2 * g + 1][1]) for g in range(40)}
+    assert sum(0.8 <= s < 0.85 for s in near.values()) >= 3 and sum(s < 0.8 for s in near.values()) >= 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    assert {r.doc_id for r in stage(spark, docs, "").collect()} == {d for d, _ in rows} - {d + 1 for d, s in near.items() if s >= 0.8}
+    assert {r.doc_id for r in neardup.judged(docs).filter("kept").collect()} == {d for d, _ in rows} - {d + 1 for d, s in near.items() if s >= 0.85}
+
+
 def test_components_of_a_chain(spark):
     edges = spark.range(700).selectExpr("id AS a", "id + 1 AS b").union(spark.createDataFrame([(900, 800)], "a long, b long"))
     roots = {r.node: r.root for r in neardup.components(edges).collect()}
