@@ -1,15 +1,18 @@
 """Personal data, and words that give it away.
 
-Patterns find emails, IP addresses, card and phone numbers. Then, over the whole corpus, the words
-beside each such entity are counted: c(t, e) is how often term t stands within a few words of entity
-e, n(t) how often it stands anywhere. Pointwise mutual information PMI(t; e) = log2(c(t,e) N / (n(t)
-c(e))) is compared with the entity's information IC(e) = log2(N / c(e)): what is left to guess after
-seeing t is IC - PMI = -log2(c(t,e) / n(t)) bits. A term that leaves at most one bit about some
-entity is generalised wherever it stands, one that leaves next to nothing is removed.
+Patterns find emails, IP addresses, card and phone numbers. Then, over the whole corpus, sentences are
+counted: c(t, e) of them hold term t and entity e, n(t) hold the term, N are all. Pointwise mutual
+information PMI(t; e) = log2(c(t,e) N / (n(t) c(e))) is compared with the entity's information IC(e) =
+log2(N / c(e)): what is left to guess after seeing t is IC - PMI = -log2(c(t,e) / n(t)) bits. Every
+pair is judged, also one seen once; for rare terms the estimate is smoothed by one more sentence with
+the term and without the entity. A term that leaves at most one bit about some entity is generalised
+wherever it stands, one that leaves next to nothing is removed.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,10 +32,11 @@ KINDS = [*PATTERNS, "term"]
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: Terms are runs of letters and digits of at least this length, as they are written.
 TERM_GAP, TERM_CHARS = r"[^\p{L}\p{N}]+", 3
-#: Characters read on either side of an entity for its context, and words kept of them.
-REACH, CONTEXT_WORDS = 160, 6
-#: A term must stand by the entity this often before it is judged.
-SUPPORT = 3
+#: Between sentences: line ends, and spaces after a stop unless a number may go on there, so that no
+#: entity is cut in two.
+SENTENCE_GAP = r"[\r\n]++|(?<=[.!?。！？])\x20++(?![0-9().-])"
+#: Terms in at most so many sentences are rare: their estimate is smoothed.
+RARE = 5
 #: Bits left about the entity: generalised up to the first, removed up to the second.
 GENERALISE_BITS, REMOVE_BITS = 1.0, 0.15
 
@@ -61,37 +65,39 @@ def genuine(kind: str, match: Column) -> Column:
     return F.length(digits).between(10, 15)
 
 
-def matches(text: Column, kind: str, context: bool) -> Column:
-    """The genuine matches of a kind: structs of start, kind number, stop, value, before and after.
+SPAN = "struct<start:int,kind:int,stop:int,value:string>"
+
+
+def clue(text: Column, kind: str) -> Column:
+    """Whether a text may hold a match of a kind, by a cheap test."""
+    like = {"email": "%@%.%", "ip": "%.%.%.%"}.get(kind)
+    return text.like(like) if like else text.rlike(r"[0-9](?:[\x20-]?[0-9]){13}" if kind == "card" else r"\+[0-9]")
+
+
+def matches(text: Column, kind: str) -> Column:
+    """The genuine matches of a kind: structs of start, kind number, stop and value.
 
     The text splits into gaps around the matches, so positions are running lengths in code points.
-    before and after are the text next to the match, up to the next candidate or ``REACH``
-    characters; they are null unless asked for.
     """
     number, pattern = KINDS.index(kind), PATTERNS[kind]
     gaps, found = F.split(text, pattern), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    item = "struct<start:int,kind:int,stop:int,value:string,before:string,after:string>"
 
     def step(gaps: Column, acc: Column, pair: Column) -> Column:
         match, i = pair["m"], pair["i"]
         start = acc["at"] + F.length(gaps[i])
         stop = start + F.length(match)
-        beside = [F.right(gaps[i], F.lit(REACH)), F.left(gaps[i + 1], F.lit(REACH))] if context else [F.lit(None).cast("string")] * 2
-        one = F.array(F.struct(start.alias("start"), F.lit(number).alias("kind"), stop.alias("stop"), match.alias("value"),
-                               beside[0].alias("before"), beside[1].alias("after")))
+        one = F.array(F.struct(start.alias("start"), F.lit(number).alias("kind"), stop.alias("stop"), match.alias("value")))
         return F.struct(stop.alias("at"), F.when(genuine(kind, match), F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{item}>").alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
     numbered = F.transform(found, lambda m, i: F.struct(m.alias("m"), i.alias("i")))
     walked = let(gaps, lambda g: F.aggregate(numbered, start, lambda acc, pair: step(g, acc, pair))["out"])
-    clue = {"email": "%@%.%", "ip": "%.%.%.%"}.get(kind)
-    seen = text.like(clue) if clue else text.rlike(r"[0-9](?:[\x20-]?[0-9]){13}" if kind == "card" else r"\+[0-9]")
-    return F.when(seen, walked).otherwise(F.array().cast(f"array<{item}>"))
+    return F.when(clue(text, kind), walked).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
-def base_spans(text: Column, context: bool = False) -> Column:
+def base_spans(text: Column) -> Column:
     """All genuine matches of a text by start, then kind as listed."""
-    return F.array_sort(F.concat(*[matches(text, kind, context) for kind in PATTERNS]))
+    return F.array_sort(F.concat(*[matches(text, kind) for kind in PATTERNS]))
 
 
 def span_string(spans: Column) -> Column:
@@ -104,36 +110,50 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(text, TERM_GAP), lambda w: F.length(w) >= TERM_CHARS)
 
 
-def beside(before: Column, after: Column) -> Column:
-    """The distinct terms among the last words before and the first words after an entity.
+def uncovered(text: Column, spans: Column) -> Column:
+    """The text without the spans, which are sorted by start and may overlap."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    A word that the reach cuts in two is left out.
-    """
-    left, right = F.split(before, TERM_GAP), F.split(after, TERM_GAP)
-    left = F.when(F.length(before) < REACH, left).otherwise(F.slice(left, 2, REACH))
-    right = F.when(F.length(after) < REACH, right).otherwise(F.slice(right, F.lit(1), F.size(right) - 1))
-    left = F.filter(left, lambda w: F.length(w) >= TERM_CHARS)
-    right = F.filter(right, lambda w: F.length(w) >= TERM_CHARS)
-    near = let(left, lambda x: F.slice(x, F.greatest(F.size(x) - CONTEXT_WORDS + 1, F.lit(1)), F.lit(CONTEXT_WORDS)))
-    return F.array_distinct(F.concat(near, F.slice(right, 1, CONTEXT_WORDS)))
+    def step(acc: Column, span: Column) -> Column:
+        gap = F.substring(text, acc["at"] + 1, span["start"] - acc["at"])
+        return F.struct(F.greatest(acc["at"], span["stop"]).alias("at"), F.concat(acc["out"], gap, F.lit(" ")).alias("out"))
+
+    walked = let(F.aggregate(spans, start, step), lambda g: F.concat(g["out"], F.substring(text, g["at"] + 1, F.length(text))))
+    return F.when(F.size(spans) > 0, walked).otherwise(text)
+
+
+def sentences(docs: DataFrame) -> DataFrame:
+    """entities (distinct structs of kind and entity) and terms (distinct, outside of entities) of every sentence."""
+    rows = docs.select(F.explode(F.split(text_or_empty(), SENTENCE_GAP)).alias("sentence"))
+    found = rows.withColumn("spans", base_spans(F.col("sentence")))
+    entities = F.array_distinct(F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), F.lower(s["value"]).alias("entity"))))
+    return found.select(entities.alias("entities"), F.array_distinct(terms(uncovered(F.col("sentence"), F.col("spans")))).alias("terms"))
+
+
+def residual_bits(together: Column, spoken: Column) -> Column:
+    """Bits that a term in ``spoken`` sentences leaves about an entity that stands in ``together`` of them."""
+    return -F.log2(together / (spoken + F.when(spoken <= RARE, 1).otherwise(0)))
 
 
-def disclosing_terms(docs: DataFrame, support: int = SUPPORT, bits: float = GENERALISE_BITS) -> DataFrame:
+def disclosing_terms(docs: DataFrame, bits: float = GENERALISE_BITS) -> DataFrame:
     """term and residual: terms that leave at most ``bits`` about some entity, over all documents.
 
-    One pass counts (entity, term) neighbours, map-side first; a second counts those terms over
-    the whole corpus. Candidates filter the second pass as a broadcast if a count allows it, else
-    in a shuffled join.
+    One pass finds the sentences with entities and their terms; a second counts the sentences of
+    those terms over the whole corpus. Terms that would leave more even if all entities beside them
+    were one are settled by that; for the others (entity, term) pairs are counted, map-side first.
+    Candidates filter as a broadcast if a count allows it, else in a shuffled join.
     """
     text = text_or_empty()
-    entities = docs.select(F.explode(base_spans(text, context=True)).alias("e")).select(
-        "e.kind", F.lower("e.value").alias("entity"), F.explode(beside(F.col("e.before"), F.col("e.after"))).alias("term"))
-    pairs = cut_lineage(entities.groupBy("kind", "entity", "term").count().filter(F.col("count") >= support)
-                        .groupBy("term").agg(F.max("count").alias("together")))
-    spoken = docs.select(F.explode(terms(text)).alias("term"))
-    counts = spoken.join(counted_broadcast(pairs.select("term")), "term", "left_semi").groupBy("term").agg(F.count("*").alias("spoken"))
-    residual = -F.log2(F.least(F.col("together") / F.col("spoken"), F.lit(1.0)))
-    return pairs.join(counts, "term").select("term", residual.alias("residual")).filter(F.col("residual") <= bits)
+    clued = reduce(lambda x, y: x | y, [clue(text, kind) for kind in PATTERNS])
+    held = cut_lineage(sentences(docs.filter(clued)).filter(F.size("entities") > 0))
+    near = cut_lineage(held.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("near")))
+    spoken = sentences(docs).select(F.explode("terms").alias("term")).join(counted_broadcast(near.select("term")), "term", "left_semi")
+    counts = spoken.groupBy("term").agg(F.count("*").alias("spoken"))
+    likely = cut_lineage(near.join(counts, "term").filter(residual_bits(F.col("near"), F.col("spoken")) <= bits).select("term", "spoken"))
+    beside = held.select("entities", F.explode("terms").alias("term")).join(counted_broadcast(likely), "term")
+    pairs = beside.select("term", "spoken", F.explode("entities").alias("e")).groupBy("term", "spoken", "e").agg(F.count("*").alias("together"))
+    best = pairs.groupBy("term", "spoken").agg(F.max("together").alias("together"))
+    return best.select("term", residual_bits(F.col("together"), F.col("spoken")).alias("residual")).filter(F.col("residual") <= bits)
 
 
 def text_key(text: Column) -> list[Column]:
@@ -152,24 +172,22 @@ def term_spans(text: Column, flagged: Column, base: Column) -> Column:
     """Where the flagged terms stand as whole terms outside the base spans."""
     names = F.array_sort(F.transform(flagged, lambda x: x["term"]))
     pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join(names, "|"), F.lit(r")(?![\p{L}\p{N}])"))
-    item = "struct<start:int,kind:int,stop:int,value:string,before:string,after:string>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{item}>").alias("out"))
-    none = F.lit(None).cast("string")
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
 
     def step(gaps: Column, acc: Column, pair: Column) -> Column:
         at = acc["at"] + F.length(gaps[pair["i"]])
         stop = at + F.length(pair["m"])
         one = F.array(F.struct(at.alias("start"), F.lit(KINDS.index("term")).alias("kind"), stop.alias("stop"),
-                               pair["m"].alias("value"), none.alias("before"), none.alias("after")))
+                               pair["m"].alias("value")))
         clear = ~F.exists(base, lambda b: (b["start"] < stop) & (at < b["stop"]))
         return F.struct(stop.alias("at"), F.when(clear, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
     found = let(pattern, lambda p: F.transform(F.regexp_extract_all(text, p, F.lit(0)), lambda m, i: F.struct(m.alias("m"), i.alias("i"))))
     return F.when(F.size(flagged) > 0, let(F.call_function("split", text, pattern), lambda g: F.aggregate(
-        found, start, lambda acc, pair: step(g, acc, pair))["out"])).otherwise(F.array().cast(f"array<{item}>"))
+        found, start, lambda acc, pair: step(g, acc, pair))["out"])).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
-def inspected(docs: DataFrame, support: int = SUPPORT) -> DataFrame:
+def inspected(docs: DataFrame) -> DataFrame:
     """Every row of docs (all columns, under ``doc``) with base, extra and residuals.
 
     base are the spans of the patterns, extra those of disclosing terms; residuals maps each term
@@ -177,7 +195,7 @@ def inspected(docs: DataFrame, support: int = SUPPORT) -> DataFrame:
     an empty table gives none; columns of any name pass through. Only texts with a disclosing term
     take part in the join that brings the terms: by broadcast if a count allows it.
     """
-    flagged = cut_lineage(disclosing_terms(docs, support))
+    flagged = cut_lineage(disclosing_terms(docs))
     lists = cut_lineage(term_lists(docs, flagged))
     text = text_or_empty()
     keyed = docs.select(F.struct(*docs.columns).alias("doc"), text.alias("_text"), *text_key(text))

@@ -88,6 +88,21 @@ def test_terms_that_give_an_entity_away(spark):
     assert spans[90] == "term:5:12" and spans[10] == ""
 
 
+def test_terms_seen_once_and_far_from_the_entity_are_judged(spark):
+    common = "alpha beta gamma delta omega " * 4
+    rows = [(i, f"{common}and more.") for i in range(30)]
+    rows += [(40, f"Quillfeather {common}{common}is at q@corp.example {common}today. Unrelated follows."),  # once, 40 words away
+             (41, f"{common}Brambleton a@x.example. Then more."), (42, f"{common}Brambleton a@x.example, +1 (555) 123-4567. Thus Again."),
+             (43, f"{common}Vantor b@x.example."), (44, f"{common}Vantor."), (45, f"{common}Vantor again.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.term: r.residual for r in privacy.disclosing_terms(docs).collect()}
+    assert found.pop("Quillfeather") == 1 and abs(found.pop("Brambleton") - 0.585) < 1e-3 and found == {"today": 1}  # Vantor: one of three
+    clean = {r.doc_id: r.text for r in privacy.sanitised(docs).collect()}
+    assert clean[40].startswith("[TERM] alpha") and "[EMAIL]" in clean[40] and clean[41].endswith("[TERM] [EMAIL]. Then more.") and clean[45] == dict(rows)[45]
+    spans = {r.doc_id: r.spans for r in privacy.report(docs).collect()}
+    assert spans[42].count("term:") == 1 and "phone:" in spans[42]
+
+
 def expected_targets(sizes, weights=(5, 2, 1), repeats=3):
     total, capped = sum(sizes), set()
     weight = [weights[i % len(weights)] for i in range(len(sizes))]
