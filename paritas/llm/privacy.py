@@ -122,12 +122,27 @@ def uncovered(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) > 0, walked).otherwise(text)
 
 
-def sentences(docs: DataFrame) -> DataFrame:
-    """entities (distinct structs of kind and entity) and terms (distinct, outside of entities) of every sentence."""
-    rows = docs.select(F.explode(F.split(text_or_empty(), SENTENCE_GAP)).alias("sentence"))
-    found = rows.withColumn("spans", base_spans(F.col("sentence")))
-    entities = F.array_distinct(F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), F.lower(s["value"]).alias("entity"))))
-    return found.select(entities.alias("entities"), F.array_distinct(terms(uncovered(F.col("sentence"), F.col("spans")))).alias("terms"))
+def clued(text: Column) -> Column:
+    return reduce(lambda x, y: x | y, [clue(text, kind) for kind in PATTERNS])
+
+
+def sentences(docs: DataFrame, only_clued: bool = False) -> DataFrame:
+    """entities (distinct structs of kind and entity) and terms (distinct, outside of entities) of every sentence.
+
+    If asked, only of sentences that a cheap test can't rule out. The outer explode keeps Spark from
+    inferring a filter that would compute its input twice.
+    """
+    rows = docs.select(F.explode_outer(F.split(text_or_empty(), SENTENCE_GAP)).alias("sentence"))
+    sentence = F.col("sentence")
+    rows = rows.filter(clued(sentence)) if only_clued else rows
+
+    def taken_apart(spans: Column) -> Column:
+        entities = F.array_distinct(F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), F.lower(s["value"]).alias("entity"))))
+        return F.struct(entities.alias("entities"), uncovered(sentence, spans).alias("rest"))
+
+    none = F.struct(F.array().cast("array<struct<kind:int,entity:string>>").alias("entities"), sentence.alias("rest"))
+    parts = F.when(clued(sentence), let(base_spans(sentence), taken_apart)).otherwise(none)
+    return rows.select(parts.alias("_parts")).select("_parts.entities", F.array_distinct(terms(F.col("_parts.rest"))).alias("terms"))
 
 
 def residual_bits(together: Column, spoken: Column) -> Column:
@@ -143,11 +158,9 @@ def disclosing_terms(docs: DataFrame, bits: float = GENERALISE_BITS) -> DataFram
     were one are settled by that; for the others (entity, term) pairs are counted, map-side first.
     Candidates filter as a broadcast if a count allows it, else in a shuffled join.
     """
-    text = text_or_empty()
-    clued = reduce(lambda x, y: x | y, [clue(text, kind) for kind in PATTERNS])
-    held = cut_lineage(sentences(docs.filter(clued)).filter(F.size("entities") > 0))
+    held = cut_lineage(sentences(docs.filter(clued(text_or_empty())), only_clued=True)).filter(F.size("entities") > 0)
     near = cut_lineage(held.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("near")))
-    spoken = sentences(docs).select(F.explode("terms").alias("term")).join(counted_broadcast(near.select("term")), "term", "left_semi")
+    spoken = sentences(docs).select(F.explode_outer("terms").alias("term")).join(counted_broadcast(near.select("term")), "term", "left_semi")
     counts = spoken.groupBy("term").agg(F.count("*").alias("spoken"))
     likely = cut_lineage(near.join(counts, "term").filter(residual_bits(F.col("near"), F.col("spoken")) <= bits).select("term", "spoken"))
     beside = held.select("entities", F.explode("terms").alias("term")).join(counted_broadcast(likely), "term")
