@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import boosting, hashing, mixing, neardup, pieces, privacy, quality, sharding, warc, webtext
+from . import boosting, hashing, mixing, neardup, pieces, privacy, quality, sharding, spelling, warc, webtext, whitening
 from .common import table
-from .oracles import MIX, QUALITY, WARC
+from .oracles import MIX, QUALITY, SPELLING, WARC
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,10 +51,20 @@ def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_whitened_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_mix_sources, op2_private_data, op3_main_text, op4_quality_rules, op5_piece_tokens, op6_nearest_vectors,
-        op7_near_duplicates, op8_quality_trees, op9_uniform_shards, op10_warc_round_trip)
+        op7_near_duplicates, op8_quality_trees, op9_uniform_shards, op10_warc_round_trip,
+        op11_spelling_variants, op12_whitened_embeddings)
 }
 
-ORACLE: dict[str, str] = {"op1_mix_sources": MIX, "op4_quality_rules": QUALITY, "op10_warc_round_trip": WARC}
+ORACLE: dict[str, str] = {"op1_mix_sources": MIX, "op4_quality_rules": QUALITY, "op10_warc_round_trip": WARC,
+                          "op11_spelling_variants": SPELLING}
