@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import boosting, hashing, mixing, neardup, pieces, privacy, quality, sharding, spelling, warc, webtext, whitening
+from . import boosting, hashing, jaccard, mixing, neardup, pieces, privacy, quality, sharding, spelling, warc, webtext, whitening
 from .common import table
 from .oracles import MIX, QUALITY, SPELLING, WARC
 
@@ -59,11 +59,15 @@ def op12_whitened_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(table(spark, sf_dir, "embeddings"))
 
 
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_mix_sources, op2_private_data, op3_main_text, op4_quality_rules, op5_piece_tokens, op6_nearest_vectors,
         op7_near_duplicates, op8_quality_trees, op9_uniform_shards, op10_warc_round_trip,
-        op11_spelling_variants, op12_whitened_embeddings)
+        op11_spelling_variants, op12_whitened_embeddings, op13_ngram_join)
 }
 
 ORACLE: dict[str, str] = {"op1_mix_sources": MIX, "op4_quality_rules": QUALITY, "op10_warc_round_trip": WARC,
