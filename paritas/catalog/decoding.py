@@ -409,6 +409,14 @@ def _toy_lam(b: int) -> float:
     return LAM_M if b in (1, 4) else LAM_D
 
 
+# Weights in SQL: whole parts of 2^-40, so that ties do not depend on the order of sums.
+UNIT = 2 ** 40
+
+
+def _units(lam: float) -> int:
+    return round(lam * UNIT)
+
+
 def _passes(state: str, start: str, entry, reduce_: str) -> str:
     """CTEs state0 to state30: one more column of the toy in each."""
     parts = [f"{state}0 AS MATERIALIZED (SELECT {start})"]
@@ -418,10 +426,10 @@ def _passes(state: str, start: str, entry, reduce_: str) -> str:
 
 
 SMALL = _passes(
-    "best", "0::BIGINT AS key, 0::DOUBLE AS weight, []::BIGINT[] AS cols, 1::BIGINT AS ties, 0::BIGINT AS cls",
-    lambda j, r, b: f"xor(key, {_toy_mask(r, b)}), weight + {_toy_lam(b)!r}::DOUBLE, list_append(cols, {j}), ties, xor(cls, {int(b == 2)})",
-    "key, weight, min(cols) AS cols, sum(ties)::BIGINT AS ties, arg_min(cls, cols) AS cls FROM (SELECT *, min(weight) OVER (PARTITION BY key) AS least FROM {u}) WHERE weight = least GROUP BY key, weight",
-) + """, table_ AS (SELECT * FROM best30),
+    "best", "0::BIGINT AS key, 0::BIGINT AS units, []::BIGINT[] AS cols, 1::BIGINT AS ties, 0::BIGINT AS cls",
+    lambda j, r, b: f"xor(key, {_toy_mask(r, b)}), units + {_units(_toy_lam(b))}, list_append(cols, {j}), ties, xor(cls, {int(b == 2)})",
+    "key, units, min(cols) AS cols, sum(ties)::BIGINT AS ties, arg_min(cls, cols) AS cls FROM (SELECT *, min(units) OVER (PARTITION BY key) AS least FROM {u}) WHERE units = least GROUP BY key, units",
+) + f""", table_ AS (SELECT key, units / {UNIT}::DOUBLE AS weight, cols, ties, cls FROM best30),
 keys AS (SELECT shots.shot, coalesce(bit_or(1::BIGINT << det::INT), 0) AS key FROM shots LEFT JOIN fired USING (shot) GROUP BY shots.shot)"""
 
 
@@ -556,7 +564,7 @@ class WindowSql:
         n = len(cols)
 
         def fold(values, only=None, op="xor"):
-            out = "0::BIGINT" if op == "xor" else "0.0::DOUBLE"
+            out = "0::BIGINT"
             for i, v in enumerate(values):
                 if only is not None and not only[i]:
                     continue
@@ -564,14 +572,15 @@ class WindowSql:
                 out = f"xor({out}, {term})" if op == "xor" else f"({out} + {term})"
             return out
 
-        masks, lams, cls, com = ([c[i] for c in cols] for i in (1, 2, 3, 4))
+        masks, cls, com = ([c[i] for c in cols] for i in (1, 3, 4))
+        lams = [_units(c[2]) for c in cols]
 
         def listed(only=None):
             return "list_filter([" + ", ".join(f"CASE WHEN (s >> {i}) & 1 = 1 THEN {c[0]} END" for i, c in enumerate(cols) if only is None or only[i]) + "], lambda v: v IS NOT NULL)"
 
         size = "" if max_size is None else f" WHERE bit_count(s) <= {max_size}"
-        self.parts.append(f"s{name} AS (SELECT s, {fold(masks)} AS key, {fold(lams, None, '+')} AS weight, {listed()} AS cols, {fold(masks, com)} AS flip, {fold(cls, com)} AS ccls, {listed(com)} AS ccols, {fold(lams, com, '+')} AS cweight FROM range({1 << n}) r(s){size})")
-        self.parts.append(f"{name} AS MATERIALIZED (SELECT key, weight, cols, flip, ccls, ccols, cweight, count(*) OVER (PARTITION BY key, weight) AS ties FROM s{name} QUALIFY row_number() OVER (PARTITION BY key ORDER BY weight, cols) = 1)")
+        self.parts.append(f"s{name} AS (SELECT s, {fold(masks)} AS key, {fold(lams, None, '+')} AS units, {listed()} AS cols, {fold(masks, com)} AS flip, {fold(cls, com)} AS ccls, {listed(com)} AS ccols, {fold(lams, com, '+')} AS cweight FROM range({1 << n}) r(s){size})")
+        self.parts.append(f"{name} AS MATERIALIZED (SELECT key, units / {UNIT}::DOUBLE AS weight, cols, flip, ccls, ccols, cweight / {UNIT}::DOUBLE AS cweight, count(*) OVER (PARTITION BY key, units) AS ties FROM s{name} QUALIFY row_number() OVER (PARTITION BY key ORDER BY units, cols) = 1)")
         return name
 
     def sql(self, tail: str) -> str:

@@ -21,6 +21,8 @@ from paritas.session import cut_lineage
 
 # Columns that one step of the pass unrolls, and steps after which the table is written.
 STEP, STEPS = 4, 3
+# Weights are compared in whole units of this part of one: 63 columns of up to 2^16 each fit a long.
+UNIT = 1 << 40
 
 
 @dataclass(frozen=True)
@@ -45,6 +47,11 @@ class SmallProblem:
     def bound(self) -> int:
         return min(1 << self.columns, 1 << self.rows)
 
+    @property
+    def units(self) -> list[int]:
+        """The log ratios in whole units, so that equal weights are equal in any order of adding them; unbounded ones weigh nothing."""
+        return [round(v * UNIT) if abs(v) < float("inf") else 0 for v in self.lam]
+
 
 def small_problem(inc: Incidence, num_dets: int) -> SmallProblem:
     """The whole incidence as one small problem (at most 63 columns are read)."""
@@ -77,10 +84,6 @@ def xor(a: Column, b: Column) -> Column:
     return a.bitwiseXOR(b)
 
 
-def finite_lam(problem: SmallProblem) -> list[float]:
-    return [v if abs(v) < float("inf") else 0.0 for v in problem.lam]
-
-
 def over_columns(spark: SparkSession, problem: SmallProblem, start: dict[str, Column], keep, **folds) -> DataFrame:
     """Passes over the columns: ``start`` is the entry of no column, ``keep`` reduces a step's rows.
 
@@ -105,19 +108,20 @@ def over_columns(spark: SparkSession, problem: SmallProblem, start: dict[str, Co
 
 
 def lightest(spark: SparkSession, problem: SmallProblem, max_size: int | None = None) -> DataFrame:
-    """(key, weight, subset, cls, ties): the lightest correction of every syndrome.
+    """(key, units, subset, cls, ties): the lightest correction of every syndrome, weighed in whole units.
 
-    Among equal weights the lexicographically smallest support wins and ties counts all of them.
+    Among equal weights the lexicographically smallest support wins and ties counts all of them. As the
+    weights are whole numbers, neither depends on the order in which columns are added.
     ``max_size`` asks for corrections of at most so many columns instead, as a decoder that is meant to
     fail on others.
     """
     n = problem.columns
 
     def keep(rows: DataFrame) -> DataFrame:
-        least = F.min("weight").over(Window.partitionBy("key"))  # as many rows as a step has choices, or fewer
-        rivals = rows.withColumn("_least", least).where(F.col("weight") == F.col("_least"))
-        best = F.min(F.struct(members(F.col("subset"), n).alias("cols"), "subset", "cls", "weight"))
-        return rivals.groupBy("key").agg(best.alias("b"), F.sum("ties").alias("ties")).select("key", "b.weight", "b.subset", "b.cls", "ties")
+        least = F.min("units").over(Window.partitionBy("key"))  # as many rows as a step has choices, or fewer
+        rivals = rows.withColumn("_least", least).where(F.col("units") == F.col("_least"))
+        best = F.min(F.struct(members(F.col("subset"), n).alias("cols"), "subset", "cls", "units"))
+        return rivals.groupBy("key").agg(best.alias("b"), F.sum("ties").alias("ties")).select("key", "b.units", "b.subset", "b.cls", "ties")
 
     def plus(a: Column, b: Column) -> Column:
         return a + b
@@ -125,10 +129,10 @@ def lightest(spark: SparkSession, problem: SmallProblem, max_size: int | None =
     if max_size is not None:
         s = F.col("subset")
         return keep(small_subsets(spark, n, max_size).select(
-            "subset", _fold(s, problem.masks, xor, 0).cast("bigint").alias("key"), _fold(s, finite_lam(problem), plus, 0.0).alias("weight"),
+            "subset", _fold(s, problem.masks, xor, 0).cast("bigint").alias("key"), _fold(s, problem.units, plus, 0).cast("bigint").alias("units"),
             _fold(s, problem.cls, xor, 0).cast("bigint").alias("cls"), F.lit(1).cast("bigint").alias("ties")))
-    start = {"weight": F.lit(0.0), "cls": F.lit(0).cast("bigint"), "ties": F.lit(1).cast("bigint")}
-    return over_columns(spark, problem, start, keep, weight=(finite_lam(problem), plus), cls=(problem.cls, xor))
+    start = {"units": F.lit(0).cast("bigint"), "cls": F.lit(0).cast("bigint"), "ties": F.lit(1).cast("bigint")}
+    return over_columns(spark, problem, start, keep, units=(problem.units, plus), cls=(problem.cls, xor))
 
 
 def members(subset: Column, n: int) -> Column:
@@ -147,9 +151,9 @@ def lookup_table(spark: SparkSession, problem: SmallProblem, max_size: int | Non
     commit = sum(1 << i for i, c in enumerate(problem.commit) if c)
     kept = F.col("subset").bitwiseAND(F.lit(commit))
     return best.select(
-        "key", "weight", members(F.col("subset"), n).alias("cols"), "ties", "cls",
+        "key", (F.col("units") / UNIT).alias("weight"), members(F.col("subset"), n).alias("cols"), "ties", "cls",
         _fold(kept, problem.masks, xor, 0).cast("bigint").alias("flip"), _fold(kept, problem.cls, xor, 0).cast("bigint").alias("commit_cls"),
-        members(kept, n).alias("commit_cols"), _fold(kept, finite_lam(problem), lambda a, b: a + b, 0.0).alias("committed_weight"))
+        members(kept, n).alias("commit_cols"), (_fold(kept, problem.units, lambda a, b: a + b, 0).cast("bigint") / UNIT).alias("committed_weight"))
 
 
 def syndrome_keys(fired: DataFrame, shots: DataFrame) -> DataFrame:

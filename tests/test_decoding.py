@@ -156,3 +156,29 @@ def test_components_have_no_limit_on_length(spark):
     support = spark.range(n).select(F.lit(1).cast("bigint").alias("shot"), F.col("id").alias("fault"))
     edges = spark.range(n).select(F.explode(F.array(F.col("id"), F.col("id") + 1)).alias("det"), F.col("id").alias("fault"))
     assert support_components(support, edges).select("component").distinct().collect()[0][0] == 0
+
+
+def test_lookup_of_the_toy_counts_all_ties(spark, toy):
+    """Every key of the whole toy: supports and ties of the lightest corrections, weighed as pairs of counts."""
+    problem = lookup.small_problem(toy, 14)
+    kinds = sorted(set(problem.units))
+    best = {0: ((0,) * len(kinds), (), 1)}
+
+    def weight(counts):
+        return sum(n * u for n, u in zip(counts, kinds))
+
+    for j, (mask, unit) in enumerate(zip(problem.masks, problem.units)):
+        new = dict(best)
+        for key, (counts, cols, ties) in best.items():
+            more = tuple(n + (u == unit) for n, u in zip(counts, kinds))
+            here = (more, (*cols, j), ties)
+            old = new.get(key ^ mask)
+            if old is None or weight(more) < weight(old[0]):
+                new[key ^ mask] = here
+            elif more == old[0]:
+                new[key ^ mask] = (more, min(old[1], here[1]), old[2] + ties)
+            else:
+                assert weight(more) != weight(old[0])
+        best = new
+    got = {r.key: (tuple(r.cols), r.ties) for r in lookup.lookup_table(spark, problem).collect()}
+    assert got == {key: (cols, ties) for key, (_, cols, ties) in best.items()}
