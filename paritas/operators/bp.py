@@ -15,10 +15,13 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paritas.functions import fixedpoint
+from paritas.functions.hashing import gamma_draw
+from paritas.operators import messages
 from paritas.operators.incidence import Incidence
 from paritas.plans.spec import RelaySpec
 from paritas.session import cut_lineage
@@ -147,26 +150,43 @@ def iterate(msg: DataFrame, spec: RelaySpec, t: int, memory: bool, ar) -> DataFr
 
 # ---- legs ------------------------------------------------------------------------------------------
 
-Gammas = Callable[[int], Column]
+class ExplicitGammas:
+    """Memory strengths from gammas(t, fault, g): leg r reads row r mod sets."""
 
+    def __init__(self, table: DataFrame, sets: int):
+        self.table, self.sets = table, sets
 
-def explicit_gammas(table: DataFrame, sets: int) -> Callable[[DataFrame, int], DataFrame]:
-    """Memory strengths from gammas(t, fault, g): leg r reads row r mod sets."""
-    def attach(msg: DataFrame, leg: int) -> DataFrame:
-        row = table.where(F.col("t") == leg % sets).select("fault", F.col("g").alias("_g"))
-        return msg.join(F.broadcast(row), "fault", "left")  # at most one row per fault of the incidence
+    def row(self, leg: int) -> DataFrame:
+        return self.table.where(F.col("t") == leg % self.sets).select("fault", F.col("g").alias("_g"))
 
-    return attach
+    def __call__(self, msg: DataFrame, leg: int) -> DataFrame:
+        row = self.row(leg)
+        return msg.join(counted_broadcast(row), "fault", "left")  # at most one row per fault of the incidence
 
+    def strengths(self, leg: int, faults: np.ndarray) -> messages.Strengths:
+        known = {r["fault"]: r["_g"] for r in self.row(leg).collect()}  # one number per fault of a graph that fits a task
+        return messages.same_for_all(np.array([known.get(f, np.nan) for f in faults.tolist()], np.float64))
 
-def drawn_gammas(seed: int, low: float, high: float) -> Callable[[DataFrame, int], DataFrame]:
+
+class DrawnGammas:
     """Memory strengths drawn from (seed, shot stream, leg, fault), whatever the partitioning."""
-    from paritas.functions.hashing import gamma_draw
 
-    def attach(msg: DataFrame, leg: int) -> DataFrame:
-        return msg.withColumn("_g", gamma_draw(seed, F.col("sid"), F.lit(leg), F.col("fault"), low, high))
+    def __init__(self, seed: int, low: float, high: float):
+        self.seed, self.low, self.high = seed, low, high
+
+    def __call__(self, msg: DataFrame, leg: int) -> DataFrame:
+        return msg.withColumn("_g", gamma_draw(self.seed, F.col("sid"), F.lit(leg), F.col("fault"), self.low, self.high))
+
+    def strengths(self, leg: int, faults: np.ndarray) -> messages.Strengths:
+        return messages.drawn_for_each(self.seed, leg, self.low, self.high)
+
+
+def counted_broadcast(df: DataFrame, limit: int = 1_000_000) -> DataFrame:
+    """A broadcast hint only after a count has shown that the table is small."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
 
-    return attach
+explicit_gammas, drawn_gammas = ExplicitGammas, DrawnGammas
 
 
 def lost_syndromes(edges: DataFrame, fired: DataFrame, dets: DataFrame | None = None) -> DataFrame:
@@ -230,6 +250,76 @@ def _leg_rows(msg: DataFrame, leg: int, ar) -> DataFrame:
         F.max("cap_hit").alias("cap_hit"))
 
 
+class EdgeRows:
+    """The layout for graphs that no task should hold: a row per edge and syndrome."""
+
+    def __init__(self, edges: DataFrame, faults: DataFrame, spec: RelaySpec, ar, block: int):
+        self.edges, self.faults, self.spec, self.ar, self.block = edges, faults, spec, ar, block
+
+    def start(self, fired: DataFrame, sids: DataFrame, dets: DataFrame | None) -> DataFrame:
+        memory = self.spec.gamma0 is not None
+        state = edge_messages(self.edges, self.faults, fired, sids, self.ar, dets).withColumn("marg", F.col("lam")).withColumn(
+            "strength", self.ar.strength(F.lit(self.spec.gamma0 if memory else 0.0)))
+        return self._fresh(state)
+
+    def _fresh(self, state: DataFrame) -> DataFrame:
+        return state.withColumn("nu", F.col("lam")).withColumn("done", F.lit(False)).withColumn("it", F.lit(0)).withColumn("hard", F.lit(False))
+
+    def run(self, state: DataFrame, leg: int) -> DataFrame:
+        return _run_leg(state, self.spec, leg, self.spec.gamma0 is not None or leg > 0, self.ar, self.block)
+
+    def leg_rows(self, state: DataFrame, leg: int) -> DataFrame:
+        return _leg_rows(state, leg, self.ar)
+
+    def supports(self, state: DataFrame, leg: int) -> DataFrame:
+        kept = state.where(F.col("lead") & F.col("hard") & (F.col("done") | F.lit(leg == 0)))
+        return kept.select("sid", F.lit(leg).alias("leg"), "fault", F.col("done").alias("converged"))
+
+    def dealt(self, state: DataFrame) -> DataFrame:
+        return state.repartition("sid")
+
+    def restart(self, state: DataFrame, gammas, leg: int) -> DataFrame:
+        drawn = gammas(state, leg).repartition("sid").withColumn("strength", self.ar.strength(F.col("_g"))).drop("_g")
+        return self._fresh(drawn)
+
+
+class SyndromeRows:
+    """The layout for graphs that fit a task: a row per syndrome (see ``messages``)."""
+
+    def __init__(self, graph: messages.Graph, edges: DataFrame, spec: RelaySpec, ar):
+        self.graph, self.edges, self.spec, self.ar = graph, edges, spec, ar
+        self.sent = edges.sparkSession.sparkContext.broadcast(graph)
+        self.strengths = None if spec.gamma0 is None else messages.same_for_all(np.full(len(graph.faults), spec.gamma0))
+
+    def start(self, fired: DataFrame, sids: DataFrame, dets: DataFrame | None) -> DataFrame:
+        return messages.start(self.edges, fired, sids, lost_syndromes(self.edges, fired, dets))
+
+    def run(self, state: DataFrame, leg: int) -> DataFrame:
+        limit = self.spec.pre_iter if leg == 0 else self.spec.set_max_iter
+        return messages.run_leg(state, self.sent, self.spec, limit, self.strengths, self.ar)
+
+    def leg_rows(self, state: DataFrame, leg: int) -> DataFrame:
+        return state.select("sid", F.lit(leg).alias("leg"), F.col("it").alias("iterations"), F.col("done").alias("converged"), "weight", "cap_hit")
+
+    def supports(self, state: DataFrame, leg: int) -> DataFrame:
+        kept = state.where(F.col("done") | F.lit(leg == 0))
+        return kept.select("sid", F.lit(leg).alias("leg"), F.explode("support").alias("fault"), F.col("done").alias("converged"))
+
+    def dealt(self, state: DataFrame) -> DataFrame:
+        return state
+
+    def restart(self, state: DataFrame, gammas, leg: int) -> DataFrame:
+        self.strengths = gammas.strengths(leg, self.graph.faults)
+        return state.drop("it", "done", "weight", "support")
+
+
+def layout_of(edges: DataFrame, faults: DataFrame, dets: DataFrame | None, spec: RelaySpec, ar, gammas, block: int) -> EdgeRows | SyndromeRows:
+    """A row per syndrome where the graph was counted to fit a task and the strengths can be drawn there, else a row per edge."""
+    own = gammas is None or hasattr(gammas, "strengths")
+    graph = messages.read_graph(edges, faults, ar, dets) if own else None
+    return EdgeRows(edges, faults, spec, ar, block) if graph is None or not graph.edges else SyndromeRows(graph, edges, spec, ar)
+
+
 def relay_decode(edges: DataFrame, faults: DataFrame, fired: DataFrame, sids: DataFrame, spec: RelaySpec,
                  gammas: Callable[[DataFrame, int], DataFrame] | None = None, dets: DataFrame | None = None,
                  block: int = 5, keep_going: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
@@ -239,20 +329,16 @@ def relay_decode(edges: DataFrame, faults: DataFrame, fired: DataFrame, sids: Da
     fired(sid, det), sids(sid). ``keep_going`` (legs so far, supports so far) -> (sid) of decodes
     whose confidence is low; they run up to ``extra_legs`` more legs after the stopping rule is met.
     """
-    ar = arithmetic(spec.arithmetic)
-    state = edge_messages(edges, faults, fired, sids, ar, dets)
+    layout = layout_of(edges, faults, dets, spec, arithmetic(spec.arithmetic), gammas, block)
     cap = spec.cap
-    memory0 = spec.gamma0 is not None
     first_budget = spec.pre_iter if cap is None else min(spec.pre_iter, cap)
-    state = state.withColumn("nu", F.col("lam")).withColumn("marg", F.col("lam")).withColumn("hard", F.lit(False)).withColumn(
-        "done", F.lit(False)).withColumn("it", F.lit(0)).withColumn("budget", F.lit(first_budget)).withColumn(
-        "strength", ar.strength(F.lit(spec.gamma0 if memory0 else 0.0))).withColumn("used", F.lit(0)).withColumn(
+    state = layout.start(fired, sids, dets).withColumn("budget", F.lit(first_budget)).withColumn("used", F.lit(0).cast("bigint")).withColumn(
         "nconv", F.lit(0)).withColumn("extra", F.lit(-1))
     legs: list[DataFrame] = []
     supports: list[DataFrame] = []
     for leg in range(spec.num_sets + 1):
         limit = spec.pre_iter if leg == 0 else spec.set_max_iter
-        state = _run_leg(state, spec, leg, memory0 or leg > 0, ar, block)
+        state = layout.run(state, leg)
         cut_short = ~F.col("done") & (F.col("budget") < limit)
         state = state.withColumn("used", F.col("used") + F.col("it")).withColumn("nconv", F.col("nconv") + F.col("done").cast("int"))
         met = {"after_leg0": F.lit(leg == 0) & F.col("done"), "all_legs": F.lit(False),
@@ -262,15 +348,14 @@ def relay_decode(edges: DataFrame, faults: DataFrame, fired: DataFrame, sids: Da
         stop = cut_short | met
         state = state.withColumn("cap_hit", (cut_short | (spent & ~met)) & (F.col("extra") < 0)).withColumn("stop", stop | spent)
         state = cut_lineage(state)
-        legs.append(_leg_rows(state, leg, ar))
-        kept = state.where(F.col("lead") & F.col("hard") & (F.col("done") | F.lit(leg == 0)))
-        supports.append(kept.select("sid", F.lit(leg).alias("leg"), "fault", F.col("done").alias("converged")))
+        legs.append(layout.leg_rows(state, leg))
+        supports.append(layout.supports(state, leg))
         if last:
             break
         if keep_going is not None and extra_legs:
             table = reduce(DataFrame.unionByName, legs)
             low = keep_going(table, reduce(DataFrame.unionByName, supports)).select("sid", F.lit(True).alias("_low"))
-            state = state.join(low, "sid", "left").repartition("sid")
+            state = layout.dealt(state.join(low, "sid", "left"))
             ready = met & ~cut_short & ~spent
             begin = ready & F.coalesce("_low", F.lit(False)) & (F.col("extra") < 0)
             going = (F.col("extra") > 0) & (~F.col("done") | F.coalesce("_low", F.lit(False))) & ~cut_short & ~spent
@@ -283,8 +368,7 @@ def relay_decode(edges: DataFrame, faults: DataFrame, fired: DataFrame, sids: Da
         if gammas is None:
             raise ValueError("no strengths given for the legs after the first")
         budget = F.lit(spec.set_max_iter) if cap is None else F.least(F.lit(spec.set_max_iter), F.lit(cap) - F.col("used"))
-        state = gammas(state, leg + 1).repartition("sid").withColumn("strength", ar.strength(F.col("_g"))).drop("_g", "stop", "cap_hit").withColumn(
-            "nu", F.col("lam")).withColumn("done", F.lit(False)).withColumn("it", F.lit(0)).withColumn("hard", F.lit(False)).withColumn("budget", budget)
+        state = layout.restart(state.drop("stop", "cap_hit"), gammas, leg + 1).withColumn("budget", budget.cast("int"))
     trace = reduce(DataFrame.unionByName, legs)
     found = reduce(DataFrame.unionByName, supports)
     trace = cut_lineage(trace)
