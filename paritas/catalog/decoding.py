@@ -11,11 +11,12 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from paritas.catalog import inputs as I
+from paritas.catalog import plans as PL
 from paritas.catalog.base import Tables, cycle_sql, query, shaped, wilson_sql
 from paritas.catalog.incidence import SIGNED, splitmix_sql
 from paritas.functions import hashing
 from paritas.functions import fixedpoint
-from paritas.operators import bp, checks, gf2, lookup, windowed
+from paritas.operators import bp, checks, gf2, lookup, sparse, windowed
 from paritas.operators import statistics as S
 from paritas.plans.spec import RelaySpec, WindowSpec
 from paritas.plans.windows import plan_windows
@@ -120,6 +121,8 @@ def gamma_table(t: Tables):
 class BpSql:
     """The decode spelled out as one chain of common table expressions, iteration by iteration."""
 
+    also = ""  # a further condition of convergence
+
     def __init__(self, fixed: bool = False, per_shot: bool = False):
         self.fixed, self.per_shot = fixed, per_shot
         self.parts = [I.FIRED]
@@ -160,7 +163,7 @@ class BpSql:
             f"e{tag} AS (SELECT shot, det, fault, lam, fired, st, eta, sig, NOT done AND it < {limit} AS live, {nu} AS nu2, nu, marg, hard, done, it FROM d{tag})",
             f"f{tag} AS (SELECT shot, det, fault, lam, fired, st, CASE WHEN live THEN nu2 ELSE nu END AS nu, CASE WHEN live THEN sig ELSE marg END AS marg, CASE WHEN live THEN sig <= 0 ELSE hard END AS hard, done, live, CASE WHEN live THEN {t + 1} ELSE it END AS it FROM e{tag})",
             f"h{tag} AS (SELECT *, (sum(hard::INT) OVER ({row}) + fired) % 2 = 1 AS odd FROM f{tag})",
-            f"k{tag} AS MATERIALIZED (SELECT shot, det, fault, lam, fired, st, nu, marg, hard, done OR (live AND NOT bool_or(odd) OVER (PARTITION BY shot)) AS done, it FROM h{tag})",
+            f"k{tag} AS MATERIALIZED (SELECT shot, det, fault, lam, fired, st, nu, marg, hard, done OR (live AND NOT bool_or(odd) OVER (PARTITION BY shot){self.also}) AS done, it FROM h{tag})",
         ]
         return f"k{tag}"
 
@@ -637,16 +640,91 @@ def low_confidence_defer(t: Tables):
     return shaped(rows.groupBy("window", "attempts", "low").agg(F.count("*").alias("n")), "window attempts low n")
 
 
-@query("v1_pluggable_inner", )
+class TimedWindowsSql(BpSql):
+    """Windows of the timed incidence with message passing inside, unrolled over windows and iterations."""
+
+    WIDTH, COMMIT, ITERATIONS, POSITIONS = 12, 10, 3, 8
+    ROUNDS = WIDTH + COMMIT * (POSITIONS - 1) - 2  # the months that orders span; the last window is cut
+
+    def __init__(self):
+        m = I.CHECKS
+        self.fixed, self.per_shot, self.top = False, False, "1e300::DOUBLE"
+        self.parts = [PL.seen_sql(self.WIDTH, self.COMMIT), PL.ORDER_SHOTS, "shots AS (SELECT DISTINCT o_custkey AS shot FROM orders)", "r0 AS MATERIALIZED (SELECT shot, det FROM sfired)"]
+        records = []
+        for k in range(self.POSITIONS):
+            t = 1 + k * self.COMMIT
+            final = k == self.POSITIONS - 1
+            last = self.ROUNDS if final else t + self.WIDTH - 1
+            low, high, end = (t - 1) * m, last * m, (last if final else t + self.COMMIT - 1) * m
+            self.parts += [
+                f"""g{k} AS MATERIALIZED (SELECT fault, unnest(sup) AS det, ln((1 - p)/p) AS lam, "commit", cls0 FROM col WHERE "window" = {k})""",
+                f"lost{k} AS (SELECT DISTINCT shot FROM r{k} WHERE det >= {low} AND det < {high} AND det NOT IN (SELECT det FROM g{k}))",
+                f"""m{k} AS MATERIALIZED (SELECT s.shot, g.det, g.fault, g.lam, (f.det IS NOT NULL)::INT AS fired, g.lam AS nu, g.lam AS marg, FALSE AS hard, FALSE AS done, 0 AS it, 0 AS st
+ FROM shots s CROSS JOIN g{k} g LEFT JOIN r{k} f ON f.shot = s.shot AND f.det = g.det)"""]
+            self.also = f" AND shot NOT IN (SELECT shot FROM lost{k})"
+            state = f"m{k}"
+            for i in range(self.ITERATIONS):
+                state = self.iterate(state, f"{k}_{i}", i, False, None, self.ITERATIONS)
+            self.parts += [
+                f"leg{k} AS (SELECT shot, max(it)::BIGINT AS iterations, bool_and(done) AS converged FROM {state} GROUP BY shot)",
+                f"""sup{k} AS MATERIALIZED (SELECT DISTINCT x.shot, x.fault, x.lam, g."commit", cls0 FROM {state} x JOIN g{k} g USING (fault) WHERE hard)""",
+                f"""r{k + 1} AS MATERIALIZED (SELECT shot, det FROM (SELECT shot, det FROM r{k} UNION ALL SELECT shot, det FROM sup{k} s JOIN (SELECT fault, det FROM g{k}) g USING (fault) WHERE s."commit") GROUP BY ALL HAVING count(*) % 2 = 1)""",
+                f"left{k} AS (SELECT shot, count(*) AS n FROM r{k + 1} WHERE det >= {low} AND det < {end} GROUP BY shot)",
+                f"""w{k} AS (SELECT shot, sum(lam) AS weight, sum(lam) FILTER ("commit") AS cweight, string_agg(fault, ',' ORDER BY fault) AS sol, string_agg(fault, ',' ORDER BY fault) FILTER ("commit") AS com,
+ bit_xor(cls0) FILTER ("commit") AS flip FROM sup{k} GROUP BY shot)"""]
+            records.append(f"""SELECT l.shot, {k}::BIGINT AS "window", CAST(converged AS INT)::BIGINT AS converged, iterations, coalesce(n, 0)::BIGINT AS unexplained,
+ round(CASE WHEN converged THEN coalesce(weight, 0) ELSE 'inf'::DOUBLE END, 6) AS weight, round(coalesce(cweight, 0), 6) AS committed_weight, coalesce(flip, 0)::BIGINT AS flip,
+ coalesce(sol, '') AS solution, coalesce(com, '') AS committed FROM leg{k} l LEFT JOIN w{k} USING (shot) LEFT JOIN left{k} USING (shot)""")
+        self.parts.append("wins AS (" + " UNION ALL ".join(records) + ")")
+
+
+TIMED_SPEC = WindowSpec(TimedWindowsSql.WIDTH, TimedWindowsSql.COMMIT, TimedWindowsSql.WIDTH)
+
+
+def timed_windows(t: Tables, spec: WindowSpec = TIMED_SPEC, inner: sparse.MessagePassing | None = None):
+    """(incidence, fired, decoded windows) of the customers' shots on the timed incidence; its windows have some 300 columns."""
+    inc = I.timed(t)
+    fired = gf2.gf2_product(PL.order_shots(t), inc.edges)
+    shots = t.orders.select(F.col("o_custkey").alias("shot")).distinct()
+    inner = inner or sparse.MessagePassing(RelaySpec(TimedWindowsSql.ITERATIONS, alpha=None))
+    return inc, fired, sparse.decode_windows(fired, shots, plan_windows(inc, spec), inner)
+
+
+@query("x3_decode_timed_windows", TimedWindowsSql().sql("""SELECT shot, "window", converged, iterations, unexplained, xor_ AS frame, weight, committed_weight, solution, committed
+FROM (SELECT *, list_reduce(list_prepend(0::BIGINT, list(flip) OVER (PARTITION BY shot ORDER BY "window")), lambda a, b: xor(a, b)) AS xor_ FROM wins)"""))
+def decode_timed_windows(t: Tables):
+    """Windows of hundreds of columns, decoded by message passing on the plan's edges."""
+    _, _, decoded = timed_windows(t)
+    rows = windowed.window_records(decoded).withColumn("solution", F.array_join("solution", ",")).withColumn("committed", F.array_join("committed", ","))
+    return shaped(rows, "shot window converged iterations unexplained frame", "weight committed_weight", "solution committed", digits=6)
+
+
+@query("x6_iteration_cap", TimedWindowsSql().sql("""SELECT "window", count(*) AS shots, count(*) FILTER (iterations > 2) AS capped FROM wins WHERE "window" = 0 GROUP BY ALL"""))
+def window_iteration_cap(t: Tables):
+    """Shots whose first window needs more than the two iterations that the plan allows: they hit the cap."""
+    _, _, decoded = timed_windows(t, replace(TIMED_SPEC, iteration_cap=2))
+    first = windowed.window_records(decoded).where("window = 0")
+    return shaped(first.groupBy("window").agg(F.count("*").alias("shots"), F.count_if("cap_hit").alias("capped")), "window shots capped")
+
+
+@query("v1_pluggable_inner", TimedWindowsSql().sql("""SELECT "window", converged, count(*) AS n, sum(iterations)::BIGINT AS iterations, sum(unexplained)::BIGINT AS unexplained FROM wins GROUP BY ALL"""))
 def pluggable_inner(t: Tables):
     """The windowed decode with message passing in place of the lookup tables."""
-    plan = loaded(t, WindowSpec(4, 2, 4))
-    inner = windowed.message_passing_inner(t.spark, RelaySpec(pre_iter=8, alpha=None))
-    rows = windowed.window_records(windowed.decode_windows(words(t), plan, inner))
+    rows = windowed.window_records(timed_windows(t)[2])
     return shaped(rows.groupBy("window", "converged").agg(F.count("*").alias("n"), F.sum("iterations").alias("iterations"), F.sum("unexplained").alias("unexplained")),
                   "window converged n iterations unexplained")
 
 
+@query("a42_check_timed_outcomes", TimedWindowsSql().sql("""SELECT 0::BIGINT AS violations, count(DISTINCT shot) AS shots, count(*) AS windows, count(*) FILTER (converged = 0) AS lost FROM wins"""))
+def check_timed_outcomes(t: Tables):
+    """The invariants of windowed decoding on windows of any size."""
+    inc, fired, decoded = timed_windows(t)
+    records = windowed.window_records(decoded)
+    bad = checks.check_outcomes(inc, fired, records, windowed.window_commits(decoded), sparse.residual_rows(decoded), decoded.select("shot", "frame"))
+    tally = records.agg(F.struct(F.countDistinct("shot").alias("shots"), F.count("*").alias("windows"), F.count_if(~F.col("converged")).alias("lost"))).scalar()
+    return bad.agg(F.count("*").alias("violations")).withColumn("_t", tally).select("violations", "_t.*")
+
+
 @query("v2_round_function", f"WITH {I.FIRED} SELECT det // 2 + 1 AS round, count(*) AS fired FROM fired GROUP BY ALL")
 def round_function(t: Tables):
     from paritas.operators.incidence import with_round

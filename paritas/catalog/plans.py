@@ -20,12 +20,21 @@ SPEC = WindowSpec(width=W, commit=CM, converge_rounds=W)
 M = I.CHECKS
 
 # The plan in SQL, for one attempt: windows by range condition.
-PLACES = f"""rt AS (SELECT max(r) AS rt FROM rounds_of), kk AS (SELECT greatest(0, ceil((rt - {W})/{CM}))::BIGINT + 1 AS k, rt FROM rt),
-pl AS (SELECT w AS "window", 1 + w*{CM} AS t, CASE WHEN w = k - 1 THEN rt ELSE w*{CM} + {W} END AS last, w = k - 1 AS final, rt FROM kk, range((SELECT k FROM kk)) x(w))"""
-SEEN = f"""{I.TIMED}, {PLACES}, seen AS (SELECT "window", t, last, final, fault, s, p, cls FROM pl JOIN t_faults ON s BETWEEN t AND last),
+
+
+def places_sql(w: int, c: int) -> str:
+    return f"""rt AS (SELECT max(r) AS rt FROM rounds_of), kk AS (SELECT greatest(0, ceil((rt - {w})/{c}))::BIGINT + 1 AS k, rt FROM rt),
+pl AS (SELECT w AS "window", 1 + w*{c} AS t, CASE WHEN w = k - 1 THEN rt ELSE w*{c} + {w} END AS last, w = k - 1 AS final, rt FROM kk, range((SELECT k FROM kk)) x(w))"""
+
+
+def seen_sql(w: int, c: int) -> str:
+    return f"""{I.TIMED}, {places_sql(w, c)}, seen AS (SELECT "window", t, last, final, fault, s, p, cls FROM pl JOIN t_faults ON s BETWEEN t AND last),
 cl AS (SELECT seen.*, (SELECT list(det ORDER BY det) FROM t_edges e WHERE e.fault = seen.fault AND det < last*{M}) AS sup FROM seen),
 col AS (SELECT "window", min(fault) AS fault, s, count(*) AS members, CASE WHEN count(*) = 1 THEN min(p) ELSE (1 - product(1 - 2*p))/2 END AS p,
- bool_and(final OR s < t + {CM}) AS "commit", arg_min(cls, fault) AS cls0, sup FROM cl GROUP BY "window", s, sup, CASE WHEN NOT final AND s = last THEN -1 ELSE fault END)"""
+ bool_and(final OR s < t + {c}) AS "commit", arg_min(cls, fault) AS cls0, sup FROM cl GROUP BY "window", s, sup, CASE WHEN NOT final AND s = last THEN -1 ELSE fault END)"""
+
+
+PLACES, SEEN = places_sql(W, CM), seen_sql(W, CM)
 
 
 def plan(t: Tables, spec: WindowSpec = SPEC):

@@ -34,7 +34,10 @@ class FromFields:
 
 @dataclass(frozen=True)
 class WindowSpec(FromFields):
-    """Windows of ``width`` rounds that commit the first ``commit`` and must converge on ``converge_rounds``."""
+    """Windows of ``width`` rounds that commit the first ``commit`` and must converge on ``converge_rounds``.
+
+    iteration_cap: most iterations of the inner decoder in one attempt, None for its own limit.
+    """
 
     width: int
     commit: int
@@ -43,6 +46,7 @@ class WindowSpec(FromFields):
     on_failure: str = "commit_anyway"
     max_deferrals: int = 0
     merge_truncated: bool = True
+    iteration_cap: int | None = None
 
     def __post_init__(self) -> None:
         insist(
@@ -51,6 +55,7 @@ class WindowSpec(FromFields):
             (f"boundary is one of {BOUNDARIES}", self.boundary in BOUNDARIES),
             (f"on_failure is one of {FAILURE_POLICIES}", self.on_failure in FAILURE_POLICIES),
             ("only deferring windows have deferrals", self.max_deferrals == 0 or self.on_failure == "defer"),
+            ("a cap allows one iteration at least", self.iteration_cap is None or self.iteration_cap >= 1),
             ("only exact windows may keep cut columns apart", self.merge_truncated or self.boundary == "exact"),
         )
 

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from paritas.catalog import inputs as I
 from paritas.catalog.base import Tables
-from paritas.operators import bp, lookup, windowed
+from paritas.operators import bp, checks, lookup, sparse, windowed
 from paritas.operators.gf2 import gf2_product, support_components
 from paritas.plans.spec import RelaySpec, WindowSpec
 from paritas.plans.windows import plan_windows
+from paritas.session import cut_lineage
 from paritas.streaming import windowed as SW
 
 # Hand-derived windows of three toy experiments:
@@ -182,3 +183,52 @@ def test_lookup_of_the_toy_counts_all_ties(spark, toy):
         best = new
     got = {r.key: (tuple(r.cols), r.ties) for r in lookup.lookup_table(spark, problem).collect()}
     assert got == {key: (cols, ties) for key, (_, cols, ties) in best.items()}
+
+
+@pytest.mark.parametrize("spec", [WindowSpec(3, 1, 3), WindowSpec(2, 1, 2, on_failure="defer", max_deferrals=2)])
+def test_windows_of_any_size_equal_small_ones(spark, small, spec):
+    """The same windows with residuals as arrays and as words, by the same lookup of single faults."""
+    toy = I.toy(Tables(spark, str(small)), 4)
+    faults = spark.createDataFrame([(s, f) for s in range(40) for f in {s % 15, (7 * s + 3) % 15, (s * s) % 15}], "shot long, fault long")
+    shots = spark.range(42).withColumnRenamed("id", "shot")
+    fired = gf2_product(faults, toy.edges)
+    plan = plan_windows(toy, spec)
+    loaded = windowed.load_plan(plan)
+    old = cut_lineage(windowed.decode_windows(windowed.pack_rounds(fired, shots, 4, 2), loaded, windowed.lookup_inner(spark, loaded, 1)))
+    new = sparse.decode_windows(fired, shots, plan, sparse.Lookup(plan, 1))
+    fields = ("shot", "window", "attempts", "converged", "legs", "ties", "weight", "committed_weight", "unexplained", "virtual", "flagged", "solution", "committed", "frame")
+
+    def records(decoded):
+        return sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in windowed.window_records(decoded).select(*fields).collect())
+
+    assert records(new) == records(old) and any(r[2] > 1 for r in records(new)) == (spec.max_deferrals > 0)
+    assert sorted(sparse.residual_rows(new).collect()) == sorted(windowed.residual_rows(old, 2).collect())
+    assert sparse.decode_windows(fired.limit(0), shots.limit(0), plan, sparse.Lookup(plan)).count() == 0
+
+
+def test_strengths_per_stream(spark, toy):
+    """Equal syndromes of different shots may differ once strengths are drawn per shot, window and attempt; reruns agree."""
+    shots = spark.range(6).withColumnRenamed("id", "shot")
+    fired = shots.selectExpr("shot", "explode(array(2L, 5L, 9L)) AS det")
+    plan = plan_windows(toy, WindowSpec(6, 4, 6, iteration_cap=40))
+    inner = sparse.MessagePassing(RelaySpec(2, num_sets=2, set_max_iter=2, alpha=None), bp.drawn_gammas(5, -0.3, 0.7), per_stream=True)
+    first, again = (sparse.decode_windows(fired, shots, plan, inner) for _ in range(2))
+    assert sorted(map(str, first.collect())) == sorted(map(str, again.collect())) and first.count() == 6
+    bad = checks.check_outcomes(toy, fired, windowed.window_records(first), windowed.window_commits(first), sparse.residual_rows(first), first.select("shot", "frame"))
+    assert bad.count() == 0
+
+
+def test_edge_rows_equal_syndrome_rows(spark, toy, monkeypatch):
+    """Graphs beyond the bound are decoded as rows of edges, with the same results."""
+    from paritas.operators import messages
+
+    faults = spark.createDataFrame([(s, f) for s in range(12) for f in {s % 30, (7 * s + 3) % 30}], "shot long, fault long")
+    shots, fired = spark.range(13).withColumnRenamed("id", "shot"), gf2_product(faults, toy.edges)
+    for spec in (RelaySpec(3, num_sets=2, set_max_iter=2, alpha=None, gamma0=0.2), RelaySpec(3, num_sets=1, set_max_iter=2, gamma0=0.125, arithmetic="int4.2.8")):
+        got = []
+        for bound in (messages.GRAPH_EDGES, 3):
+            monkeypatch.setattr(messages, "GRAPH_EDGES", bound)
+            out = bp.decode(toy, fired, shots, spec, bp.drawn_gammas(5, -0.3, 0.7))
+            got.append([sorted(str(tuple(round(v, 6) if isinstance(v, float) else v for v in r)) for r in out[k].select(*sorted(out[k].columns)).collect())
+                        for k in ("results", "support", "legs")])
+        assert got[0] == got[1]
