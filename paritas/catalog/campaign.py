@@ -155,9 +155,11 @@ def run_summary(t: Tables):
 SELECT count(*) AS decoded, count(*) FILTER (converged) AS converged, count(*) FILTER (cap_hit) AS cap_hit, count(*) FILTER (attempts > 1) AS deferred, sum(attempts - 1)::BIGINT AS deferral_attempts,
 count(*) FILTER (flagged) AS flagged_windows, count(*) FILTER (unexplained <> 0) AS with_unexplained, sum(unexplained)::BIGINT AS unexplained, sum(virtual)::BIGINT AS virtual_commits,
 round(avg(iterations), 6) AS mean_iterations, max(iterations) AS max_iterations, count(DISTINCT shot) AS shots, count(DISTINCT shot) FILTER (flagged) AS flagged_shots,
-round((SELECT avg(top) FROM tops), 6) AS mean_top, count(DISTINCT shot)*30 - count(*) AS skipped, count(*) - count(*) FILTER (converged) AS limit_reached FROM windows""")
+round((SELECT avg(top) FROM tops), 6) AS mean_top, count(DISTINCT shot)*(max("window") - min("window") + 1) - count(*) AS skipped, count(*) - count(*) FILTER (converged) AS limit_reached FROM windows""")
 def window_summary(t: Tables):
-    return shaped(C.window_summary(I.windows(t), 30), "decoded converged cap_hit deferred deferral_attempts flagged_windows with_unexplained unexplained virtual_commits max_iterations shots flagged_shots skipped limit_reached",
+    windows = I.windows(t)
+    positions = windows.agg(F.max("window") - F.min("window") + 1).scalar()
+    return shaped(C.window_summary(windows, positions), "decoded converged cap_hit deferred deferral_attempts flagged_windows with_unexplained unexplained virtual_commits max_iterations shots flagged_shots skipped limit_reached",
                   "mean_iterations mean_top", digits=6)
 
 

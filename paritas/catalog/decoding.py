@@ -348,14 +348,19 @@ def check_legs(t: Tables):
     return bad.agg(F.count("*").alias("violations")).withColumn("shots", out["results"].agg(F.count("*")).scalar())
 
 
-@query("a43_broken_legs", """SELECT 'leg_limit' AS code, l_orderkey::VARCHAR AS detail FROM lineitem GROUP BY l_orderkey HAVING bool_or(l_quantity > 40 OR (l_returnflag <> 'R' AND l_quantity <> 40))
-UNION ALL SELECT 'too_many_legs', l_orderkey::VARCHAR FROM lineitem GROUP BY l_orderkey HAVING count(*) > 5""")
+@query("a43_broken_legs", """WITH t AS (SELECT l_orderkey AS shot, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS conv, count(*) FILTER (l_quantity > 40 OR (l_returnflag <> 'R' AND l_quantity <> 40)) AS wrong,
+ count(*) FILTER (l_linestatus = 'O' AND l_returnflag <> 'R') AS bad FROM lineitem GROUP BY l_orderkey),
+j AS (SELECT t.*, o_orderstatus = 'F' AS success FROM t JOIN orders ON o_orderkey = shot)
+SELECT 'iterations_do_not_add_up' AS code, shot::VARCHAR AS detail FROM j WHERE shot % 3 = 0 UNION ALL SELECT 'success_disagrees', shot::VARCHAR FROM j WHERE (conv > 0) <> success
+UNION ALL SELECT 'too_many_legs', shot::VARCHAR FROM j WHERE n > 5 UNION ALL SELECT 'leg_limit', shot::VARCHAR FROM j WHERE wrong > 0
+UNION ALL SELECT 'best_not_converged', shot::VARCHAR FROM j WHERE bad > 0 UNION ALL SELECT 'stopping', shot::VARCHAR FROM j WHERE n <> 5""")
 def broken_legs(t: Tables):
-    """Leg traces that break the rules: an order's lines as legs of a schedule of at most five legs of 40 iterations."""
+    """Leg traces that break every rule: an order's lines as legs of a schedule of five legs of 40 iterations, all of which must run."""
     legs = t.lineitem.select(F.col("l_orderkey").alias("shot"), F.col("l_linenumber").cast("bigint").alias("leg"), F.col("l_quantity").cast("bigint").alias("iterations"),
-                             (F.col("l_returnflag") == "R").alias("converged"), F.lit(False).alias("became_best"))
-    shots = legs.groupBy("shot").agg(F.bool_or("converged").alias("success"), F.sum("iterations").alias("iterations"))
-    return checks.check_legs(legs, shots, 40, 4, 40, "all_legs").where("code in ('leg_limit', 'too_many_legs')")
+                             (F.col("l_returnflag") == "R").alias("converged"), (F.col("l_linestatus") == "O").alias("became_best"))
+    told = t.orders.select(F.col("o_orderkey").alias("shot"), (F.col("o_orderstatus") == "F").alias("success"), (F.col("o_orderkey") % 3 == 0).cast("bigint").alias("extra"))
+    shots = legs.groupBy("shot").agg(F.sum("iterations").alias("sum")).join(told, "shot").select("shot", "success", (F.col("sum") + F.col("extra")).alias("iterations"))
+    return checks.check_legs(legs, shots, 40, 4, 40, "all_legs")
 
 
 # Two iterations of leg 0 leave one for leg 1, which is then cut short.
@@ -367,13 +372,33 @@ def iteration_cap(t: Tables):
     return shaped(out.groupBy("success", "iterations", "cap_hit").agg(F.count("*").alias("n")), "success iterations cap_hit n")
 
 
-@query("b12_low_confidence_legs")
+EXTRA_LEGS, LOW_WEIGHT = 2, 6.0
+
+
+def low_confidence_sql() -> str:
+    """All legs run; how many a decode keeps follows from which converged and from the lightest weight so far."""
+    running = ", ".join(f"least({', '.join(f'd{j}' for j in range(i + 1))}) AS r{i}" for i in range(4))
+
+    def after(i: int) -> str:  # legs of a decode that first converged at leg i
+        if i == 3:
+            return "4"
+        if i == 2:
+            return f"CASE WHEN r2 > {LOW_WEIGHT} THEN 4 ELSE 3 END"
+        return f"CASE WHEN r{i} <= {LOW_WEIGHT} THEN {i + 1} WHEN isinf(d{i + 1}) OR r{i + 1} > {LOW_WEIGHT} THEN {i + 3} ELSE {i + 2} END"
+
+    weights = ", ".join(f"max(CASE WHEN leg = {i} THEN CASE WHEN converged THEN weight ELSE 'inf'::DOUBLE END END) AS d{i}" for i in range(4))
+    return relay_sql("all_legs", True, legs=3).sql(f"""SELECT CAST(NOT isinf(r3) AS INT)::BIGINT AS success, legs::BIGINT AS legs, count(*) AS n
+FROM (SELECT *, CASE WHEN NOT isinf(d0) THEN {after(0)} WHEN NOT isinf(d1) THEN {after(1)} WHEN NOT isinf(d2) THEN {after(2)} ELSE 4 END AS legs
+FROM (SELECT *, {running} FROM (SELECT shot, {weights} FROM legs GROUP BY shot))) GROUP BY ALL""")
+
+
+@query("b12_low_confidence_legs", low_confidence_sql())
 def low_confidence_legs(t: Tables):
     """Decodes of heavy solutions run up to two more legs after the stopping rule is met."""
     inc, shots, fired, _ = toy_shots(t)
     spec = replace(RELAY, num_sets=3)
-    low = bp.low_confidence(inc.column_class(), "weight", 6.0)
-    out = bp.decode(inc, fired, shots, spec, explicit(t), keep_going=low, extra_legs=2)["results"]
+    low = bp.low_confidence(inc.column_class(), "weight", LOW_WEIGHT)
+    out = bp.decode(inc, fired, shots, spec, explicit(t), keep_going=low, extra_legs=EXTRA_LEGS)["results"]
     return shaped(out.groupBy("success", "legs").agg(F.count("*").alias("n")), "success legs n")
 
 

@@ -231,17 +231,21 @@ def confidence_summary(t: Tables):
 
 # ---- history ------------------------------------------------------------------------------------
 
-DAYS = 30
+# The positions of a shot: every day from the first event to the last.
+POSITIONS = """pos AS (SELECT DISTINCT user_id AS shot, d AS "window" FROM events,
+ (SELECT unnest(range(lo, hi + 1)) AS d FROM (SELECT min("window") AS lo, max("window") AS hi FROM ev)))"""
 HISTORY = f"""{I.WINDOWS},
 cw AS (SELECT shot, "window", CASE WHEN bool_and(event_type = 'error') THEN 'none' WHEN count(DISTINCT event_type) = 1 THEN 'single_class' ELSE 'defined' END AS gap_state,
  CASE WHEN count(DISTINCT event_type) > 1 THEN (max(k) - min(k))::DOUBLE END AS gap, (1.0 + count(*) FILTER (k < 50))/(1.0 + count(*)) AS agreement, min(k)::DOUBLE AS weight, count(*) AS first_legs,
  sum(iterations)::BIGINT AS first_iterations, sum(k*k)::DOUBLE AS q_sum_sq, (sum(k) + 1)::DOUBLE AS q_total, count(*) FILTER (k % 2 = 1) AS ones, count(*) AS "rows" FROM ev GROUP BY ALL),
-pos AS (SELECT DISTINCT user_id AS shot, d AS "window" FROM events, range({DAYS}) r(d)),
+{POSITIONS},
 hw AS (SELECT pos.shot, pos."window", cw.shot IS NOT NULL AS decoded, cw.* EXCLUDE (shot, "window") FROM pos LEFT JOIN cw ON cw.shot = pos.shot AND cw."window" = pos."window")"""
 
 
 def positions(t: Tables):
-    return t.events.select(F.col("user_id").alias("shot")).distinct().withColumn("window", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(DAYS - 1).cast("bigint"))))
+    day = F.datediff(F.to_date("ts"), F.to_date(F.lit("2024-01-01"))).cast("bigint")
+    days = t.events.agg(F.sequence(F.min(day), F.max(day))).scalar()
+    return t.events.select(F.col("user_id").alias("shot")).distinct().withColumn("_days", days).select("shot", F.explode("_days").alias("window"))
 
 
 def history_windows(t: Tables):
@@ -277,7 +281,7 @@ def signal_history(t: Tables):
 
 COMMITS = f"""{I.WINDOWS}, commits AS (SELECT shot, k AS fault, min("window") AS "window" FROM ev GROUP BY ALL),
 c_edges AS (SELECT k AS fault, k // 3 AS det FROM range(100) r(k) UNION SELECT k, k * 7 % 20 FROM range(100) r(k)), c_lam AS (SELECT k AS fault, (k + 1)/10.0 AS lam FROM range(100) r(k)),
-pos AS (SELECT DISTINCT user_id AS shot, d AS "window" FROM events, range({DAYS}) r(d))"""
+{POSITIONS}"""
 
 
 def commits(t: Tables):
@@ -303,7 +307,7 @@ def commit_history(t: Tables):
 @query("u4_commit_union", f"WITH {COMMITS} SELECT shot, count(*) AS faults, sum(fault)::BIGINT AS fault_sum FROM commits GROUP BY shot")
 def commit_union(t: Tables):
     c, _, _ = commits(t)
-    early, late = c.where("window < 15"), c.where("window >= 15")
+    early, late = c.where("window % 2 = 0"), c.where("window % 2 = 1")
     return early.unionByName(late).groupBy("shot").agg(F.count("*").alias("faults"), F.sum("fault").alias("fault_sum"))
 
 

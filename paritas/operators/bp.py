@@ -463,7 +463,7 @@ def low_confidence(column_class: DataFrame, signal: str, threshold: float):
     def low(legs: DataFrame, supports: DataFrame) -> DataFrame:
         found = supports.where("converged").select(F.col("sid").alias("shot"), "leg", "fault")
         table = solutions(legs.withColumnRenamed("sid", "shot"), found, column_class)
-        kept = selection.slots(table, ["leg"], selection.MAX_CAPACITY)
+        kept = selection.slots(table, ["leg"], None)  # as many as the schedule has legs
         return selection.signal(selection.confidence(kept), signal, threshold).where("low").select(F.col("decode").alias("sid"))
 
     return low

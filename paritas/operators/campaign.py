@@ -104,8 +104,8 @@ def rollup_windows(windows: DataFrame) -> DataFrame:
         F.sum("legs").alias("legs"), F.sum("weight").alias("weight"), F.count("*").alias("windows"))
 
 
-def window_summary(windows: DataFrame, positions: int) -> DataFrame:
-    """One row over the decoded positions (attempts > 0); absent positions count as skipped."""
+def window_summary(windows: DataFrame, positions: int | Column) -> DataFrame:
+    """One row over the decoded positions (attempts > 0); absent ones of a shot's ``positions`` count as skipped."""
     ran = windows.where("attempts > 0")
     n = F.count("*")
     per = ran.agg(

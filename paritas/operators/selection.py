@@ -21,16 +21,16 @@ STOPS = ("fixed", "agree", "agree_distinct", "gap", "gap_extend")
 SIGNALS = ("gap", "agreement", "weight", "first_legs", "first_iterations", "q_supp")
 
 
-def slots(solutions: DataFrame, order: Sequence[str], capacity: int) -> DataFrame:
-    """solutions(decode, order..., iterations, weight, cls, hash) -> the first ``capacity`` per decode.
+def slots(solutions: DataFrame, order: Sequence[str], capacity: int | None) -> DataFrame:
+    """solutions(decode, order..., iterations, weight, cls, hash) -> the first ``capacity`` per decode, None for all.
 
     Adds slot (from 0), found (converged legs, also beyond the capacity), cumulative iterations up
     to the slot, is_new (first slot with its hash) and klass (class of that first slot).
     """
-    if not 1 <= capacity <= MAX_CAPACITY:
+    if capacity is not None and not 1 <= capacity <= MAX_CAPACITY:
         raise ValueError(f"capacity must be in [1, {MAX_CAPACITY}], got {capacity}")
     ranked = solutions.withColumn("_rn", F.row_number().over(Window.partitionBy("decode").orderBy(*order)))
-    first = ranked.where(F.col("_rn") <= capacity).withColumn("slot", F.col("_rn") - 1).drop("_rn")
+    first = (ranked if capacity is None else ranked.where(F.col("_rn") <= capacity)).withColumn("slot", F.col("_rn") - 1).drop("_rn")
     counts = solutions.groupBy("decode").agg(F.count("*").alias("found"))
     running = Window.partitionBy("decode").orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
     kept = first.join(counts, "decode").withColumn("cumulative", F.sum("iterations").over(running))
