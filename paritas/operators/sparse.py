@@ -13,7 +13,7 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from paritas.functions.bits import bit
@@ -142,53 +142,104 @@ def answered(state: DataFrame, local: Local, inner: Inner, cap: int | None) -> D
     return joined.select(*state.columns, *[F.when(F.col("_open"), F.col(f"_a.{f}")).alias(f"_{f}") for f in FIELDS])
 
 
+@dataclass(frozen=True)
+class Windows:
+    """A plan's tables, written once, and its placements: one small row per window and attempt."""
+
+    plan: WindowPlan
+    columns: DataFrame
+    edges: DataFrame
+    rows: DataFrame
+    placed: dict[tuple[int, int], Row]
+
+    def local(self, window: int, attempt: int) -> Local:
+        here = (F.col("window") == window) & (F.col("attempt") == attempt)
+        return Local(window, attempt, self.columns.where(here).drop(*PLACE), self.edges.where(here).select("det", "fault"),
+                     self.rows.where(here & F.col("converge")).select("det"))
+
+    def attempts(self, window: int) -> list[int]:
+        return sorted(a for w, a in self.placed if w == window)
+
+    def rounds(self, window: int, attempt: int) -> tuple[int, int]:
+        place = self.placed[window, attempt]
+        return place["first_round"], min(place["last_round"], self.plan.rounds_total)
+
+
+def open_plan(plan: WindowPlan) -> Windows:
+    placed = {(r["window"], r["attempt"]): r for r in plan.placements.collect()}
+    return Windows(plan, cut_lineage(plan.columns), cut_lineage(plan.edges), cut_lineage(plan.rows), placed)
+
+
+STATE = {"frame": "bigint", "over": "boolean", "window": "bigint", "attempt": "int", "iter": "bigint", "all_legs": "bigint", "first": "array<bigint>", "records": f"array<{RECORD}>"}
+
+
+def unbegun() -> dict[str, Column]:
+    """The state of a decode that has not begun."""
+    return {name: (F.array() if kind.startswith("array") else F.lit(0)).cast(kind) for name, kind in STATE.items()}
+
+
+def fresh(shots: DataFrame) -> DataFrame:
+    return shots.withColumns(unbegun())
+
+
+def attempt_step(state: DataFrame, windows: Windows, window: int, attempt: int, inner: Inner, on_low: str, ready: Column) -> DataFrame:
+    """One attempt of one window for the shots whose turn it is and that are ``ready``; other columns of state stay.
+
+    A solution is committed, or the shot waits for a wider attempt. A window commits what its decoder returned, also where
+    that does not satisfy the syndrome. Without a solution it is flagged where either policy asks for action.
+    """
+    spec, m, zero = windows.plan.spec, windows.plan.per_round, F.lit(0).cast("bigint")
+    place, (first_round, last) = windows.placed[window, attempt], windows.rounds(window, attempt)
+    low, end = (first_round - 1) * m, last if place["final"] else min(first_round + place["commit_rounds"] - 1, last)
+    state = state.withColumn("_open", ~F.col("over") & (F.col("window") == window) & (F.col("attempt") == attempt) & ready)
+    if attempt == 0:
+        state = state.withColumn("first", F.when(F.col("_open"), F.transform(_between("left", low, low + m), lambda d: d - low)).otherwise(F.col("first")))
+    keyed = state.withColumn("_key", F.when(F.col("_open"), _between("left", low, last * m)).otherwise(_none()))
+    found = answered(keyed, windows.local(window, attempt), inner, spec.iteration_cap)
+    ok, doubtful = F.coalesce("_converged", F.lit(False)), F.coalesce("_low", F.lit(False))
+    more = attempt + 1 in windows.attempts(window)
+    retry = F.col("_open") & ((~ok & F.lit(more and spec.on_failure == "defer")) | (ok & doubtful & F.lit(more and on_low == "defer")))
+    flagged = (~ok & F.lit(spec.on_failure != "commit_anyway" or on_low != "none")) | (ok & doubtful & F.lit(on_low != "none"))
+    flips = F.coalesce("_flips", _none())
+    found = found.withColumns({
+        "iter": F.col("iter") + F.coalesce("_iterations", zero), "all_legs": F.col("all_legs") + F.coalesce("_legs", zero), "_retry": retry,
+        "_done": F.col("_open") & ~retry, "_left": F.array_sort(F.concat(F.array_except("left", flips), F.array_except(flips, F.col("left")))),
+        "_frame": F.col("frame").bitwiseXOR(F.coalesce("_cls", zero))})
+    record = F.struct(
+        F.lit(window).cast("bigint").alias("window"), F.lit(attempt + 1).alias("attempts"), ok.alias("converged"), F.coalesce("_cap_hit", F.lit(False)).alias("cap_hit"),
+        F.col("iter").alias("iterations"), F.col("all_legs").alias("legs"), F.coalesce("_ties", zero).alias("ties"),
+        F.when(ok, F.col("_weight")).otherwise(F.lit(float("inf"))).alias("weight"), F.coalesce("_committed_weight", F.lit(0.0)).alias("committed_weight"),
+        F.size(_between("_left", low, end * m)).cast("bigint").alias("unexplained"), F.coalesce("_virtual", zero).alias("virtual"), flagged.alias("flagged"),
+        doubtful.alias("low"), F.col("first").alias("residual_first"), F.coalesce("_solution", _none()).alias("solution"),
+        F.coalesce("_committed", _none()).alias("committed"), F.col("_frame").alias("frame")).cast(RECORD)
+    done = F.col("_done")
+    new = {
+        "left": F.when(done, F.col("_left")).otherwise(F.col("left")), "frame": F.when(done, F.col("_frame")).otherwise(F.col("frame")),
+        "over": F.col("over") | (done & F.lit(place["final"])), "records": F.when(done, F.array_append("records", record)).otherwise(F.col("records")),
+        "window": F.when(done, F.col("window") + 1).otherwise(F.col("window")),
+        "attempt": F.when(done, F.lit(0)).when(F.col("_retry"), F.col("attempt") + 1).otherwise(F.col("attempt")),
+        "iter": F.when(done, zero).otherwise(F.col("iter")), "all_legs": F.when(done, zero).otherwise(F.col("all_legs"))}
+    return found.select(*[new[c].alias(c) if c in new else F.col(c) for c in state.columns if c != "_open"])
+
+
+def check_action(on_low: str) -> None:
+    if on_low not in ("none", "flag", "defer"):
+        raise ValueError(f"unknown low-confidence action {on_low!r}")
+
+
 def decode_windows(fired: DataFrame, shots: DataFrame, plan: WindowPlan, inner: Inner, on_low: str = "none") -> DataFrame:
     """(shot, left, frame, records): every window of every shot, decoded in order.
 
     on_failure of the plan's specification: commit_anyway, flag, or defer (retry on wider placements). on_low: none,
-    flag, or defer for solutions the inner decoder marks low. Windows after a final attempt have no record. A window
-    commits what its decoder returned, also where that does not satisfy the syndrome.
+    flag, or defer for solutions the inner decoder marks low. Windows after a final attempt have no record.
     """
-    if on_low not in ("none", "flag", "defer"):
-        raise ValueError(f"unknown low-confidence action {on_low!r}")
-    spec, m = plan.spec, plan.per_round
-    columns, edges, rows = cut_lineage(plan.columns), cut_lineage(plan.edges), cut_lineage(plan.rows)
-    placed = sorted(plan.placements.collect(), key=lambda r: (r["window"], r["attempt"]))  # one row per window and attempt
-    zero = F.lit(0).cast("bigint")
-    state = shot_rows(fired, shots).select("shot", "left", zero.alias("frame"), F.lit(False).alias("over"), F.array().cast(f"array<{RECORD}>").alias("records"))
+    check_action(on_low)
+    windows = open_plan(plan)
+    state = fresh(shot_rows(fired, shots))
     for window in range(plan.positions):
-        attempts = [r for r in placed if r["window"] == window]
-        low = (attempts[0]["first_round"] - 1) * m
-        state = state.withColumn("_open", ~F.col("over")).withColumn("_iter", zero).withColumn("_all_legs", zero).withColumn("_first", _between("left", low, low + m))
-        for place in attempts:
-            attempt, final, last = place["attempt"], place["final"], min(place["last_round"], plan.rounds_total)
-            end = last if final else min(place["first_round"] + place["commit_rounds"] - 1, last)
-            here = (F.col("window") == window) & (F.col("attempt") == attempt)
-            local = Local(window, attempt, columns.where(here).drop(*PLACE), edges.where(here).select("det", "fault"), rows.where(here & F.col("converge")).select("det"))
-            key = F.when(F.col("_open"), _between("left", low, last * m)).otherwise(_none())
-            found = answered(state.withColumn("_key", key), local, inner, spec.iteration_cap)
-            ok, doubtful = F.coalesce("_converged", F.lit(False)), F.coalesce("_low", F.lit(False))
-            more = place is not attempts[-1]
-            retry = (~ok & F.lit(more and spec.on_failure == "defer")) | (ok & doubtful & F.lit(more and on_low == "defer"))
-            done = F.col("_open") & ~retry
-            flagged = (~ok & F.lit(spec.on_failure != "commit_anyway")) | (doubtful & F.lit(on_low == "flag"))
-            flips = F.coalesce("_flips", _none())
-            left = F.array_sort(F.concat(F.array_except("left", flips), F.array_except(flips, F.col("left"))))
-            found = found.withColumn("_iter", F.col("_iter") + F.coalesce("_iterations", zero)).withColumn("_all_legs", F.col("_all_legs") + F.coalesce("_legs", zero)).withColumn(
-                "_left", left).withColumn("_frame", F.col("frame").bitwiseXOR(F.coalesce("_cls", zero))).withColumn("_done", done)
-            record = F.struct(
-                F.lit(window).cast("bigint").alias("window"), F.lit(attempt + 1).alias("attempts"), ok.alias("converged"), F.coalesce("_cap_hit", F.lit(False)).alias("cap_hit"),
-                F.col("_iter").alias("iterations"), F.col("_all_legs").alias("legs"), F.coalesce("_ties", zero).alias("ties"),
-                F.when(ok, F.col("_weight")).otherwise(F.lit(float("inf"))).alias("weight"), F.coalesce("_committed_weight", F.lit(0.0)).alias("committed_weight"),
-                F.size(_between("_left", low, end * m)).cast("bigint").alias("unexplained"), F.coalesce("_virtual", zero).alias("virtual"), flagged.alias("flagged"),
-                doubtful.alias("low"), F.transform("_first", lambda d: d - low).alias("residual_first"), F.coalesce("_solution", _none()).alias("solution"),
-                F.coalesce("_committed", _none()).alias("committed"), F.col("_frame").alias("frame")).cast(RECORD)
-            state = found.select(
-                "shot", F.when(F.col("_done"), F.col("_left")).otherwise(F.col("left")).alias("left"), F.when(F.col("_done"), F.col("_frame")).otherwise(F.col("frame")).alias("frame"),
-                (F.col("over") | (F.col("_done") & F.lit(final))).alias("over"), F.when(F.col("_done"), F.array_append("records", record)).otherwise(F.col("records")).alias("records"),
-                (F.col("_open") & ~F.col("_done")).alias("_open"), "_iter", "_all_legs", "_first")
-        state = state.drop("_open", "_iter", "_all_legs", "_first")
-    return cut_lineage(state).drop("over")
+        for attempt in windows.attempts(window):
+            state = attempt_step(state, windows, window, attempt, inner, on_low, F.lit(True))
+    return cut_lineage(state).select("shot", "left", "frame", "records")
 
 
 def residual_rows(decoded: DataFrame) -> DataFrame:

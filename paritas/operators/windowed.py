@@ -217,7 +217,7 @@ def decode_windows(words: DataFrame, plan: LoadedPlan, inner: Inner, on_low: str
             if more and on_low == "defer":
                 retry = retry | (ok & low)
             done = F.col("_open") & ~retry
-            flagged = (~ok & F.lit(spec.on_failure != "commit_anyway")) | (low & F.lit(on_low == "flag"))
+            flagged = (~ok & F.lit(spec.on_failure != "commit_anyway" or on_low != "none")) | (ok & low & F.lit(on_low != "none"))
             zero = F.lit(0).cast("bigint")
             joined = joined.withColumn("_flip", F.coalesce("_flip", zero)).withColumn(
                 "_iter", F.when(F.col("_open"), F.col("_iter") + F.coalesce("_iterations", zero)).otherwise(F.col("_iter"))).withColumn(
