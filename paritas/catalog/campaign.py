@@ -228,6 +228,55 @@ def summary_pairs(t: Tables):
     return shaped(out, "shots n11 n10 n01", "value", "reference test")
 
 
+LEVELS = """lv AS (SELECT arm, half, chunk, shot, flagged, iterations, legs FROM run UNION ALL
+ SELECT arm, 'combined', chunk, shot, bool_or(flagged), sum(iterations)::BIGINT, sum(legs)::BIGINT FROM run GROUP BY arm, chunk, shot)"""
+WF = wilson_sql("flagged", "shots")
+
+
+@query("a30_flagged_block", f"""WITH {RUN}, {LEVELS}, c AS (SELECT arm, half, count(*) AS shots, count(*) FILTER (flagged) AS flagged FROM lv GROUP BY ALL)
+SELECT arm, half, shots, flagged, round({WF['rate']}, 6) AS rate, round({WF['lo']}, 6) AS lo, round({WF['hi']}, 6) AS hi FROM c""")
+def flagged_block(t: Tables):
+    return shaped(C.flagged_fractions(run(t)), "shots flagged", "rate lo hi", "arm half", digits=6)
+
+
+def _cost_sql(cost: str) -> str:
+    ranked = ", ".join(f"max(v) FILTER (r = ceil({q}::DECIMAL(18,9)*n)) AS {name}" for name, q in ranks.COST_LEVELS.items())
+    return f"""SELECT arm, half, '{cost}' AS cost, count(*) AS n, round(avg(v), 6) AS mean, min(v) AS min, max(v) AS max, {ranked} FROM
+(SELECT arm, half, {cost} AS v, row_number() OVER (PARTITION BY arm, half ORDER BY {cost}) AS r, count(*) OVER (PARTITION BY arm, half) AS n FROM lv) GROUP BY arm, half"""
+
+
+@query("a30_cost_blocks", f"WITH {RUN}, {LEVELS} {_cost_sql('iterations')} UNION ALL {_cost_sql('legs')}")
+def cost_blocks(t: Tables):
+    return shaped(C.cost_blocks(run(t), ["iterations", "legs"]), "n min max p50 p90 p99 p999", "mean", "arm half cost", digits=6)
+
+
+WC = wilson_sql("(decoded - converged)", "decoded")
+
+
+@query("a30_window_blocks", f"""WITH {I.WINDOWS}, c AS (SELECT shot % 2 AS half, count(*) AS decoded, count(*) FILTER (converged) AS converged, count(*) FILTER (cap_hit) AS cap_hit, count(*) FILTER (attempts > 1) AS deferred,
+count(*) FILTER (flagged) AS flagged, count(*) FILTER (unexplained <> 0) AS with_unexplained, sum(unexplained)::BIGINT AS unexplained, avg(iterations) AS mean_iterations, max(iterations) AS max_iterations FROM windows GROUP BY ALL)
+SELECT half, decoded, converged, cap_hit, deferred, flagged, with_unexplained, unexplained, max_iterations, round(mean_iterations, 6) AS mean_iterations, round({WC['rate']}, 6) AS rate, round({WC['lo']}, 6) AS lo, round({WC['hi']}, 6) AS hi FROM c""")
+def window_blocks(t: Tables):
+    """Windows per half; odd and even users stand for the halves."""
+    windows = I.windows(t).withColumn("half", F.col("shot") % 2)
+    return shaped(C.window_blocks(windows, ["half"]), "half decoded converged cap_hit deferred flagged with_unexplained unexplained max_iterations", "mean_iterations rate lo hi", digits=6)
+
+
+@query("s10_schema_agreement", """WITH p AS (SELECT DISTINCT o_orderkey // 1000 AS chunk, arm, half FROM orders, (VALUES ('a'), ('b')) x(arm), (VALUES ('x'), ('z')) y(half))
+SELECT arm, chunk, half, 'legs' AS "column", 'lacking' AS problem FROM p WHERE arm = 'b' AND chunk % 4 = 1 UNION ALL
+SELECT arm, chunk, half, 'iterations', 'type' FROM p WHERE half = 'z' AND chunk % 4 = 2 UNION ALL SELECT arm, chunk, half, 'energy', 'extra' FROM p WHERE chunk % 4 = 3""")
+def schema_agreement(t: Tables):
+    """A run in which some chunks lack a column, have one more, or hold another type, found from file footers alone."""
+    path = scratch_path(t.spark, "run")
+    rows = run(t)
+    kind, z = F.col("chunk") % 4, F.col("half") == "z"
+    lacks, typed, more = (kind == 1) & (F.col("arm") == "b"), (kind == 2) & z, kind == 3
+    for part, table in ((~lacks & ~typed & ~more, rows), (lacks, rows.drop("legs")), (typed, rows.withColumn("iterations", F.col("iterations").cast("double"))),
+                        (more, rows.withColumn("energy", F.col("weight") * 2))):
+        table.where(part).write.mode("append").partitionBy(*runs.RUN_KEYS).parquet(f"{path}/shots")
+    return shaped(runs.check_schemas(runs.partition_schemas(t.spark, path)), "chunk", "", "arm half column problem")
+
+
 COLS = ["shot", "half", "iterations"]
 HASH = "('0x' || substr(md5(shot || '|' || half || '|' || iterations), 1, 15))::BIGINT"
 

@@ -84,6 +84,37 @@ def summarize(shots: DataFrame, rounds: int, qubits: int | None = None) -> DataF
     return rates.join(costs, by)
 
 
+def flagged_fractions(shots: DataFrame) -> DataFrame:
+    """(arm, half, shots, flagged, rate, lo, hi): flagged shots with their interval, per half and, as half 'combined', in any half."""
+    levels = shots.groupingSets([[F.col(c) for c in (*SHOT, "half")], [F.col(c) for c in SHOT]], *SHOT, "half").agg(
+        F.grouping("half").alias("_all"), F.bool_or("flagged").alias("flagged"))
+    named = levels.withColumn("half", F.when(F.col("_all") == 1, "combined").otherwise(F.col("half")))
+    counts = named.groupBy("arm", "half").agg(F.count("*").alias("shots"), F.count_if("flagged").alias("flagged"))
+    rate, lo, hi = wilson(F.col("flagged"), F.col("shots"))
+    return counts.select("*", rate.alias("rate"), lo.alias("lo"), hi.alias("hi"))
+
+
+def cost_blocks(shots: DataFrame, values: Sequence[str]) -> DataFrame:
+    """(arm, half, cost, n, mean, min, p50, p90, p99, p999, max): the distribution of every cost, per half and over the halves' sums."""
+    rows = half_costs(shots, values)
+    out = None
+    for value in values:
+        block = cost_block(rows, value, ["arm", "half"]).withColumn("cost", F.lit(value))
+        out = block if out is None else out.unionByName(block)
+    return out
+
+
+def window_blocks(windows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by..., decoded, converged, cap_hit, deferred, flagged, with_unexplained, unexplained, mean_iterations, max_iterations, rate, lo, hi):
+    the windows of every group, with the interval of those that did not converge."""
+    per = windows.where("attempts > 0").groupBy(*by).agg(
+        F.count("*").alias("decoded"), F.count_if("converged").alias("converged"), F.count_if("cap_hit").alias("cap_hit"), F.count_if(F.col("attempts") > 1).alias("deferred"),
+        F.count_if("flagged").alias("flagged"), F.count_if(F.col("unexplained") != 0).alias("with_unexplained"), F.sum("unexplained").alias("unexplained"),
+        F.avg("iterations").alias("mean_iterations"), F.max("iterations").alias("max_iterations"))
+    rate, lo, hi = wilson(F.col("decoded") - F.col("converged"), F.col("decoded"))
+    return per.select("*", rate.alias("rate"), lo.alias("lo"), hi.alias("hi"))
+
+
 def run_summary(shots: DataFrame, wall_seconds: float, by: Sequence[str] = ()) -> DataFrame:
     """Block errors, non-convergence, costs and throughput of a run in one aggregate."""
     n = F.count("*")

@@ -110,6 +110,32 @@ def load_campaign(spark: SparkSession, path: str, arm: str, names: Sequence[str]
     return shot_in_chunk(run.withColumn("chunk", F.col("chunk").cast("bigint")).join(chunks.select("chunk"), "chunk", "left_semi"))
 
 
+def partition_schemas(spark: SparkSession, path: str, table: str = "shots") -> DataFrame:
+    """(arm, chunk, half, column, type) of every partition of a run table, from one file's footer each; no rows are read.
+
+    The driver asks for as many footers as the campaign has chunks and halves.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(f"{path}/{table}").select("path")
+    parts = [F.regexp_extract("path", f"/{k}=([^/]*)/", 1).alias(k) for k in RUN_KEYS]
+    found = []
+    for r in files.select("path", *parts).groupBy(*RUN_KEYS).agg(F.min("path").alias("path")).collect():
+        found += [(r["arm"], int(r["chunk"]), r["half"], name, kind) for name, kind in spark.read.parquet(r["path"]).dtypes]
+    return spark.createDataFrame(found, "arm string, chunk bigint, half string, column string, type string")
+
+
+def check_schemas(schemas: DataFrame) -> DataFrame:
+    """(arm, chunk, half, column, problem): how partitions differ from the first of their arm and half: lacking, extra or type.
+
+    Chunks that were decoded with different options cannot be joined; halves may hold columns of their own.
+    """
+    first = schemas.groupBy("arm", "half").agg(F.min("chunk").alias("chunk"))
+    model = schemas.join(first, ["arm", "half", "chunk"], "left_semi").select("arm", "half", "column", F.col("type").alias("wanted"))
+    every = schemas.select("arm", "half", "chunk").distinct().join(model, ["arm", "half"])
+    both = every.join(schemas, ["arm", "half", "chunk", "column"], "full_outer")
+    problem = F.when(F.col("type").isNull(), "lacking").when(F.col("wanted").isNull(), "extra").when(F.col("type") != F.col("wanted"), "type")
+    return both.select("arm", "chunk", "half", "column", problem.alias("problem")).where("problem IS NOT NULL")
+
+
 # ---- markers ----------------------------------------------------------------------------------------
 
 CHUNK_MARKER = "chunk bigint, shots bigint, seed bigint, sample_seconds double"

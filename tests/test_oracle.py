@@ -8,10 +8,10 @@ from oracle import compare
 # One query per family; tests/oracle.py runs them all.
 CHOSEN = [
     "a1_odd_multiplicity", "a11_pair_table", "a16_nearest_rank", "a20_logistic_slope", "a3_merge_identical", "a30_summarize", "a33_support_hash",
-    "a34_support_components", "a38_dedup_shapes", "a44_verify_chunks", "b14_decode_rates", "b5_min_sum", "b7_relay_decode", "f4_gamma_draws",
+    "a34_support_components", "a38_dedup_shapes", "a43_broken_legs", "a44_verify_chunks", "b12_low_confidence_legs", "b13_lookup_decode", "b14_decode_rates", "b5_min_sum", "b7_relay_decode", "f4_gamma_draws",
     "j11_combine_halves", "j13_detector_rule_sets", "j5_residual", "p1_prune_decided", "p9_check_incidence", "r1_confidence",
     "r3_replay_gap_extend", "r6_rate_by_capacity", "s1_read_mechanisms", "s10_load_campaign", "s4_edges_to_csr", "s6_unpack_bits",
-    "u5_missing_chunks", "w7_signal_history", "w9_risk_coverage", "x2_uniform_plan", "x5_defer_unconverged", "x11_stream_history", "x7_stream_decode",
+    "u5_missing_chunks", "w7_signal_history", "w9_risk_coverage", "x2_uniform_plan", "x5_defer_unconverged", "x11_stream_history", "x7_stream_decode", "x9_contract_kinds",
 ]
 
 
