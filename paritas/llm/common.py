@@ -48,13 +48,19 @@ def counted_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return bounded_broadcast(df, df.limit(limit + 1).count(), limit)
 
 
+#: Bytes that a Python worker gets at once, about.
+BATCH_BYTES = 8 << 20
+
+
 @contextmanager
 def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
-    """What runs inside sends Python workers at most ``rows`` rows at once, which bounds their memory."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+    """What runs inside sends Python workers at most ``rows`` rows and about BATCH_BYTES at once, which bounds their memory."""
+    settings = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}
+    before = {key: spark.conf.get(key) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .common import arrow_batches, counted_broadcast, text_or_empty
-from .neardup import BATCH_ROWS, NULL_DOC, Rule, Words, components, confirmed, grouped, stirred, text_bytes
+from .neardup import BATCH_ROWS, NARROW_ROWS, NULL_DOC, Rule, Words, components, confirmed, grouped, one_each_class, repeated_rows, stirred, text_bytes, texts_of
 
 LINK = 80
 #: A shingle in the prefixes of more sets than this goes to the end of the order, with all that share its slot of 2^24.
@@ -61,13 +61,18 @@ def bitmap(shingles: np.ndarray) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def ordered_prefix(shingles: np.ndarray, frequent: np.ndarray | None, threshold: int) -> np.ndarray:
-    """The first shingles by hash, those in frequent slots last."""
-    size = prefix_length(len(shingles), threshold)
-    if frequent is not None:
-        late = in_slots(shingles, frequent)
-        shingles = np.concatenate([shingles[~late], shingles[late]])
-    return shingles[:size].view(np.int64)
+def ordered_prefix(shingles: np.ndarray, frequent: np.ndarray, threshold: int) -> np.ndarray:
+    """The prefix in the order by hash, shingles in frequent slots last."""
+    late = in_slots(shingles, frequent)
+    return np.concatenate([shingles[~late], shingles[late]])[:prefix_length(len(shingles), threshold)].view(np.int64)
+
+
+def reordered_prefix(lowest: np.ndarray, n: int, frequent: np.ndarray, threshold: int) -> np.ndarray | None:
+    """The same from the lowest hashes of a set of n; None if they do not reach far enough."""
+    late, size = in_slots(lowest, frequent), prefix_length(n, threshold)
+    if len(lowest) == n or len(late) - late.sum() >= size:
+        return np.concatenate([lowest[~late], lowest[late]])[:size].view(np.int64)
+    return None
 
 
 def in_slots(shingles: np.ndarray, frequent: np.ndarray) -> np.ndarray:
@@ -81,7 +86,10 @@ def long_lists(parts: list[np.ndarray]) -> pa.Array:
 
 
 def read_sets(docs: DataFrame, threshold: int) -> DataFrame:
-    """doc_id, text_key, n_shingles, set_key (equal for equal sets, null without) and prefix, written."""
+    """doc_id, text_key, n_shingles, set_key (equal for equal sets, null without) and lowest, written.
+
+    lowest holds the lowest hashes of a set, twice as many as its prefix has, in order.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
@@ -90,41 +98,44 @@ def read_sets(docs: DataFrame, threshold: int) -> DataFrame:
                 s = words.shingles(text)
                 sizes.append(len(s))
                 keys.append(int(stirred(stirred(s + np.uint64(1)).sum(keepdims=True)).view(np.int64)[0]) if len(s) else None)
-                prefixes.append(ordered_prefix(s, None, threshold) if len(s) else np.zeros(0, np.int64))
+                prefixes.append(s[:2 * prefix_length(len(s), threshold)].view(np.int64) if len(s) else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), long_lists(prefixes)],
-                                             names=["doc_id", "text_key", "n_shingles", "set_key", "prefix"])
+                                             names=["doc_id", "text_key", "n_shingles", "set_key", "lowest"])
 
     text = text_or_empty()
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
-    return cut_lineage(picked.mapInArrow(run, "doc_id long, text_key long, n_shingles long, set_key long, prefix array<long>"))
+    return cut_lineage(picked.mapInArrow(run, "doc_id long, text_key long, n_shingles long, set_key long, lowest array<long>"))
 
 
 def classes(read: DataFrame) -> DataFrame:
-    """One row per distinct set: cls, label (smallest doc_id), text_key of one such row, n and prefix."""
+    """One row per distinct set: cls, label (smallest doc_id), text_key of one such row, and n."""
     doc = F.coalesce("doc_id", F.lit(NULL_DOC))
     return cut_lineage(read.filter("set_key IS NOT NULL").groupBy(F.col("set_key").alias("cls")).agg(
-        F.min(F.struct(doc.alias("doc"), "text_key")).alias("rep"), F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix")
-    ).select("cls", F.col("rep.doc").alias("label"), F.col("rep.text_key").alias("text_key"), "n", "prefix"))
+        F.min(F.struct(doc.alias("doc"), "text_key")).alias("rep"), F.first("n_shingles").alias("n")
+    ).select("cls", F.col("rep.doc").alias("label"), F.col("rep.text_key").alias("text_key"), "n"))
 
 
-def texts_of(kinds: DataFrame, docs: DataFrame) -> DataFrame:
-    """cls and a text of every given class."""
-    text = text_or_empty()
-    wanted = cut_lineage(kinds.select("cls", F.col("label").alias("_doc"), F.col("text_key").alias("_key")))
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_DOC)).alias("_doc"), F.xxhash64(text).alias("_key"), text.alias("text"))
-    return rows.join(counted_broadcast(wanted), ["_doc", "_key"]).select("cls", "text")
+def lowest_of(read: DataFrame, kinds: DataFrame, repeated: DataFrame) -> DataFrame:
+    """cls, label, text_key, n and lowest of every class, from the row that stands for it."""
+    doc = F.coalesce("doc_id", F.lit(NULL_DOC)).alias("label")
+    rows = read.select(F.col("set_key").alias("cls"), doc, "text_key", "lowest").join(counted_broadcast(kinds, NARROW_ROWS), ["cls", "label", "text_key"])
+    rows = rows.select("cls", "label", "text_key", "n", "lowest")
+    if repeated.isEmpty():
+        return rows
+    several = cut_lineage(kinds.join(repeated, ["label", "text_key"], "left_semi").select("cls"))
+    return rows.join(several, "cls", "left_anti").union(rows.join(several, "cls", "left_semi").dropDuplicates(["cls"]))
 
 
-def shared_keys(kinds: DataFrame) -> DataFrame:
-    """key and held: the prefix shingles of several classes."""
-    return kinds.select(F.explode("prefix").alias("key")).groupBy("key").agg(F.count("*").alias("held")).filter("held > 1")
+def frequent_keys(kinds: DataFrame) -> DataFrame:
+    """key and held: the prefix shingles of many classes."""
+    return kinds.select(F.explode("prefix").alias("key")).groupBy("key").agg(F.count("*").alias("held")).filter(F.col("held") > FREQUENT)
 
 
 def frequent_slots(shared: DataFrame) -> np.ndarray | None:
     """A bit per slot that holds a frequent shingle: 2^24 bits however large the table is; none if no shingle is frequent."""
     slot = F.shiftrightunsigned("key", 64 - SLOT_BITS)
     bit = F.expr(f"shiftleft(1L, int(shiftrightunsigned(key, {64 - SLOT_BITS}) & 63))")
-    found = shared.filter(F.col("held") > FREQUENT).groupBy(F.shiftrightunsigned(slot, 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toPandas()
+    found = shared.groupBy(F.shiftrightunsigned(slot, 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toPandas()
     if found.empty:
         return None
     slots = np.zeros(1 << (SLOT_BITS - 6), np.int64)
@@ -132,14 +143,25 @@ def frequent_slots(shared: DataFrame) -> np.ndarray | None:
     return slots.view(np.uint64)
 
 
-def reordered(kinds: DataFrame, docs: DataFrame, frequent: np.ndarray, threshold: int) -> DataFrame:
-    """The classes with prefixes in the order that puts frequent shingles last; only prefixes that hold some change."""
+def plain_prefixes(kinds: DataFrame, threshold: int) -> DataFrame:
+    """The classes with prefixes in the order by hash alone."""
+    size = F.expr(f"cast(n - ({threshold} * n + 99) div 100 + 1 as int)")
+    return kinds.select("cls", "label", "text_key", "n", F.slice("lowest", F.lit(1), size).alias("prefix"))
+
+
+def reordered(kinds: DataFrame, docs: DataFrame, repeated: DataFrame, frequent: np.ndarray, threshold: int) -> DataFrame:
+    """The classes with prefixes in the order that puts frequent shingles last, written.
+
+    The lowest hashes of a set nearly always hold enough others; the few sets that consist of frequent
+    shingles are read again.
+    """
     sent = kinds.sparkSession.sparkContext.broadcast(frequent)
 
-    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            late = [bool(in_slots(p.values.to_numpy().view(np.uint64), sent.value).any()) for p in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(late, pa.bool_())], names=["cls", "late"])
+            parts = [reordered_prefix(x.values.to_numpy().view(np.uint64), n.as_py(), sent.value, threshold) for n, x in zip(batch.column(3), batch.column(4))]
+            lists = long_lists([np.zeros(0, np.int64) if p is None else p for p in parts])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], lists], names=["cls", "label", "text_key", "n", "prefix"])
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
@@ -147,20 +169,33 @@ def reordered(kinds: DataFrame, docs: DataFrame, frequent: np.ndarray, threshold
             parts = [ordered_prefix(words.shingles(t), sent.value, threshold) for t in text_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), long_lists(parts)], names=["cls", "prefix"])
 
-    late = cut_lineage(kinds.select("cls", "prefix").mapInArrow(marked, "cls long, late boolean").filter("late").select("cls"))
-    moved = kinds.join(late, "cls", "left_semi")
-    fresh = texts_of(moved, docs).mapInArrow(again, "cls long, prefix array<long>").dropDuplicates(["cls"])
-    return cut_lineage(kinds.join(late, "cls", "left_anti").union(moved.drop("prefix").join(fresh, "cls").select(kinds.columns)))
+    done = cut_lineage(kinds.select("cls", "label", "text_key", "n", "lowest").mapInArrow(moved, "cls long, label long, text_key long, n long, prefix array<long>"))
+    rest = cut_lineage(done.filter(F.size("prefix") == 0).drop("prefix"))
+    if rest.isEmpty():
+        return done
+    fresh = one_each_class(texts_of(rest, docs).mapInArrow(again, "cls long, prefix array<long>"), rest, repeated)
+    return cut_lineage(done.filter(F.size("prefix") > 0).union(rest.join(fresh, "cls").select(done.columns)))
 
 
-def tiles(kinds: DataFrame, shared: DataFrame, threshold: int) -> DataFrame:
-    """key, tile, cls, n, guest and held: the rows of tiles that hold several classes, one of them at home."""
+def tiles(kinds: DataFrame, threshold: int) -> DataFrame:
+    """key, tile, cls, n, guest, held and times: the rows of tiles that hold several classes, one of them at home.
+
+    Of tiles of a band that hold the same classes, as those of a common passage do, one stands for all;
+    times is their number. Two xors of 64-bit hashes tell them apart. One exchange on the key serves
+    all counts.
+    """
     band = F.floor(F.log("n") / F.lit(math.log(100 / threshold))).cast("int")
-    rows = kinds.select("cls", "n", F.explode("prefix").alias("key")).join(shared.select("key"), "key")
+    rows = kinds.select("cls", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("key"))
+    shared = rows.withColumn("rows", F.count("*").over(W.partitionBy("key"))).filter("rows > 1")
     both = F.explode(F.array(F.struct(band.alias("tile"), F.lit(False).alias("guest")), F.struct((band - 1).alias("tile"), F.lit(True).alias("guest"))))
-    placed = cut_lineage(rows.select("key", "cls", "n", both.alias("t")).select("key", "cls", "n", "t.tile", "t.guest"))
-    full = placed.groupBy("key", "tile").agg(F.count("*").alias("held"), F.bool_and("guest").alias("empty")).filter("held > 1 AND NOT empty").drop("empty")
-    return cut_lineage(placed.join(full, ["key", "tile"]))
+    placed = shared.select("key", "cls", "n", both.alias("t")).select("key", "cls", "n", "t.tile", "t.guest")
+    one = W.partitionBy("key", "tile")
+    counted = placed.select(
+        "key", "tile", "cls", "n", "guest", F.count("*").over(one).alias("held"), F.bool_and("guest").over(one).alias("empty"), (F.min("cls").over(one) == F.col("cls")).alias("lead"),
+        *[F.bit_xor(F.xxhash64("cls", "guest", F.lit(salt))).over(one).alias(f"x{salt}") for salt in (1, 2)])
+    full = cut_lineage(counted.filter("held > 1 AND NOT empty").drop("empty"))
+    kept = full.filter("lead").groupBy("tile", "held", "x1", "x2").agg(F.min("key").alias("key"), F.count("*").alias("times")).select("key", "tile", "times")
+    return cut_lineage(full.drop("lead", "x1", "x2").join(counted_broadcast(cut_lineage(kept), NARROW_ROWS), ["key", "tile"]))
 
 
 def first_pairs(live: DataFrame, threshold: int) -> DataFrame:
@@ -168,15 +203,15 @@ def first_pairs(live: DataFrame, threshold: int) -> DataFrame:
     part = F.pmod(F.xxhash64("cls"), F.ceil(F.col("held") / BLOCK_ROWS))
     order = W.partitionBy("key", "tile", "part").orderBy("n", F.xxhash64("cls"))
     ahead = F.array(*[F.lead(F.struct("cls", "n", "guest"), k).over(order) for k in range(1, AHEAD + 1)])
-    met = live.withColumn("part", part).select("cls", "n", "guest", ahead.alias("ahead")).select("cls", "n", "guest", F.explode("ahead").alias("o")).filter(F.col("o").isNotNull() & ~(F.col("guest") & F.col("o.guest")))
-    fit = met.filter(100 * F.least("n", "o.n") >= threshold * F.greatest("n", "o.n"))
-    counted = fit.groupBy(F.least("cls", "o.cls").alias("a"), F.greatest("cls", "o.cls").alias("b")).agg(F.count("*").alias("times"), F.min(F.least("n", "o.n")).alias("least"))
+    met = live.withColumn("part", part).select("cls", "n", "guest", "times", ahead.alias("ahead")).select("cls", "n", "guest", "times", F.explode("ahead").alias("o")).filter(F.col("o").isNotNull() & ~(F.col("guest") & F.col("o.guest")))
+    fit = met.filter(F.lit(100).cast("long") * F.least("n", "o.n") >= F.lit(threshold).cast("long") * F.greatest("n", "o.n"))
+    counted = fit.groupBy(F.least("cls", "o.cls").alias("a"), F.greatest("cls", "o.cls").alias("b")).agg(F.sum("times").alias("times"), F.min(F.least("n", "o.n")).alias("least"))
     likely = counted.filter(F.col("times") >= LIKELY * (100 - threshold) / 100 * F.col("least"))
     rank = F.row_number().over(W.partitionBy("a").orderBy(F.desc("times"), "b"))
     return likely.withColumn("rank", rank).filter(F.col("rank") <= NEAREST).select("a", "b")
 
 
-def full_sets(live: DataFrame, kinds: DataFrame, docs: DataFrame) -> DataFrame:
+def full_sets(live: DataFrame, kinds: DataFrame, docs: DataFrame, repeated: DataFrame) -> DataFrame:
     """cls, shingles (sorted, 8 bytes each) and bits of every class in a tile."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
@@ -187,7 +222,7 @@ def full_sets(live: DataFrame, kinds: DataFrame, docs: DataFrame) -> DataFrame:
                 names=["cls", "shingles", "bits"])
 
     wanted = kinds.join(live.select("cls").distinct(), "cls", "left_semi")
-    return cut_lineage(texts_of(wanted, docs).mapInArrow(run, "cls long, shingles binary, bits binary").dropDuplicates(["cls"]))
+    return one_each_class(texts_of(wanted, docs).mapInArrow(run, "cls long, shingles binary, bits binary"), wanted, repeated)
 
 
 def folded(bits: list[bytes]) -> np.ndarray:
@@ -202,7 +237,8 @@ def folded(bits: list[bytes]) -> np.ndarray:
 def beyond_bound(batch: pd.DataFrame, rule: Rule, one_each: bool) -> np.ndarray:
     """Pairs of a block's rows that the bitmaps don't rule out; with one_each the likeliest of each two components."""
     batch = batch.sort_values(["n", "cls"], kind="stable")
-    cls, root, n, block, guest = (batch[c].to_numpy() for c in ("cls", "root", "n", "block", "guest"))
+    cls, root, block, guest = (batch[c].to_numpy() for c in ("cls", "root", "block", "guest"))
+    n = batch["n"].to_numpy().astype(np.int64)
     low, high, inner = (batch[c].iloc[0] for c in ("low", "high", "inner"))
     bits = folded(list(batch["bits"]))
     found = []
@@ -272,14 +308,12 @@ def linked_documents(docs: DataFrame, threshold: int = LINK) -> DataFrame:
     rule = Rule(threshold)
     with arrow_batches(docs.sparkSession, BATCH_ROWS):
         read = read_sets(docs, threshold)
-        kinds = classes(read)
-        shared = cut_lineage(shared_keys(kinds))
-        frequent = frequent_slots(shared)
-        if frequent is not None:
-            kinds = reordered(kinds, docs, frequent, threshold)
-            shared = cut_lineage(shared_keys(kinds))
-        live = tiles(kinds, shared, threshold)
-        sets = full_sets(live, kinds, docs)
+        named, repeated = classes(read), repeated_rows(read)
+        found = lowest_of(read, named, repeated)
+        frequent = frequent_slots(frequent_keys(plain_prefixes(found, threshold)))
+        kinds = plain_prefixes(found, threshold) if frequent is None else reordered(found, docs, repeated, frequent, threshold)
+        live = tiles(kinds, threshold)
+        sets = full_sets(live, kinds, docs, repeated)
         links = cut_lineage(confirmed(cut_lineage(first_pairs(live, threshold)), sets, rule))
         roots = cut_lineage(components(links))
         for one_each in (True, False):
@@ -287,7 +321,7 @@ def linked_documents(docs: DataFrame, threshold: int = LINK) -> DataFrame:
             if more.limit(1).count():
                 links = links.union(more)
                 roots = cut_lineage(components(links))
-    named = kinds.select("cls", "label").join(roots, F.col("cls") == F.col("node"), "left").select("cls", "label", F.coalesce("root", "cls").alias("root"))
+    named = named.select("cls", "label").join(roots, F.col("cls") == F.col("node"), "left").select("cls", "label", F.coalesce("root", "cls").alias("root"))
     least = named.groupBy("root").agg(F.min("label").alias("component_id"))
     labels = named.join(least, "root").select(F.col("cls").alias("set_key"), F.when(F.col("component_id") < NULL_DOC, F.col("component_id")).alias("component_id"))
     component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))

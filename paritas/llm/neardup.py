@@ -8,10 +8,14 @@ in turn, and every such pair meets in a bucket. The link rule's threshold decide
 that may differ, so that a pair at the threshold is out of reach with a probability under ``MISSED``.
 
 Buckets are never expanded into all their pairs. First every class is compared with a few others of
-its bucket, the likeliest pairs are confirmed, and components are made. Then, in blocks of bounded
-size, only pairs between different components are compared; each close pair is given out once, in
-the first bucket that it shares, and confirmed. So a link between components can be missing only where
-the signatures are out of reach.
+its bucket, the likeliest pairs are confirmed, and components are made. Then only buckets with several
+components are compared, in blocks of bounded size: the largest component with the other rows, and
+those among themselves. In a bucket with a large component every class knows which shingles of the
+component's anchor it lacks, and has a bitmap of those that it has beside them; both bound the overlap
+of two classes from above, so closely that hardly a pair is given out in vain. Of each pair of
+components in a block the closest pair is given out and confirmed; once components are merged, all
+that are left follow. So a link between components can be missing only where the signatures are out
+of reach.
 """
 
 from __future__ import annotations
@@ -44,7 +48,13 @@ AHEAD, NEAREST = 3, 6
 LIKELY_DISTANCE = 34
 #: Rows of one component in a bucket from which its anchor is used.
 ANCHORED_ROWS = 16
+#: Bits per shingle beside an anchor, and the widest bitmap of them.
+BESIDE_BITS, WIDEST_BITS = 8, 1 << 14
 NULL_DOC = 1 << 62
+#: Stands for the anchor of buckets without one; a class of that number would only lose a bound on its overlaps.
+NO_ANCHOR = -(1 << 63)
+#: Tables of up to so many rows of one to three numbers are broadcast, once they have been counted.
+NARROW_ROWS = 1_000_000
 #: Rows that a Python worker gets at once: texts, or pairs with both sets.
 BATCH_ROWS = 1_000
 
@@ -115,7 +125,7 @@ class Words:
 
     def hashes(self, words: list[bytes]) -> np.ndarray:
         memory = self.memory
-        if len(memory) > 300_000:
+        if len(memory) > 100_000:
             memory.clear()
         for w in set(words):
             if w not in memory:
@@ -218,38 +228,70 @@ def grouped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield rest
 
 
-def anchor_of(lacking: bytes | None, others: float, size: float) -> tuple[int, int, int] | None:
-    return None if lacking is None else (int.from_bytes(lacking, "big"), int(others), int(size))
+@dataclass(frozen=True)
+class Beside:
+    """What a class lacks of an anchor (a bit per shingle of it) and has beside it (their number, and a bitmap)."""
+
+    lacking: int
+    others: int
+    bits: int
+    width: int
+    size: int
+
+    def folded(self, width: int) -> int:
+        bits, now = self.bits, self.width
+        while now > width:
+            now //= 2
+            bits = (bits >> now) | (bits & ((1 << now) - 1))
+        return bits
+
+
+def beside_of(lacking: bytes | None, others: float, bits: bytes, size: float) -> Beside | None:
+    return None if lacking is None else Beside(int.from_bytes(lacking, "big"), int(others), int.from_bytes(bits, "little"), 8 * len(bits), int(size))
+
 
+def other_bits(others: np.ndarray) -> bytes:
+    """A bit per shingle, named by its hash, in a bitmap that grows with their number up to a bound."""
+    width = min(WIDEST_BITS, max(64, 1 << (BESIDE_BITS * len(others)).bit_length()))
+    bits = np.zeros(width, np.uint8)
+    bits[(stirred(others) & np.uint64(width - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
 
-def possible(x: tuple[int, int, int] | None, y: tuple[int, int, int] | None, n: int, m: int, rule: Rule) -> bool:
-    """Whether two sets of sizes n and m can be linked, by what they lack and have beside one anchor."""
+
+def possible(x: Beside | None, y: Beside | None, n: int, m: int, rule: Rule) -> bool:
+    """Whether two sets of sizes n and m can be linked, by what they lack and have beside one anchor.
+
+    A bit that only one of the two bitmaps has stands for a shingle at least that the other lacks.
+    """
     if x is None or y is None:
         return True
-    most = x[2] - (x[0] | y[0]).bit_count() + min(x[1], y[1])
+    width = min(x.width, y.width)
+    p, q = x.folded(width), y.folded(width)
+    shared = min(x.others - (p & ~q).bit_count(), y.others - (q & ~p).bit_count())
+    most = x.size - (x.lacking | y.lacking).bit_count() + shared
     return bool(rule.linked(most, n + m - most))
 
 
-def compared(batch: pd.DataFrame, ahead: int | None, rule: Rule) -> pd.DataFrame:
+def compared(batch: pd.DataFrame, ahead: int | None, rule: Rule, one_each: bool = False) -> pd.DataFrame:
     """Close pairs of the rows of each group: each row with the next ones, all or ``ahead`` of them.
 
-    Of two blocks only pairs across are taken. All of them are given out only where their first
-    shared key is the group's own.
+    Of two blocks only pairs across are taken, and those within the lower one where ``inner`` says so.
+    All of them are given out only where their first shared key is the group's own; ``one_each`` then
+    keeps the closest pair of each two components of a group.
     """
     indexed, further = symbols(batch["sig"])
-    cls, root, n, side, place = (batch[c].to_numpy() for c in ("cls", "root", "n", "side", "place"))
-    lacks = [] if ahead else [anchor_of(*row) for row in batch[["lacking", "others", "anchor_size"]].itertuples(index=False)]
+    cls, root, n, block, low, high, inner, place = (batch[c].to_numpy() for c in ("cls", "root", "n", "block", "low", "high", "inner", "place"))
+    beside = [] if ahead else [beside_of(*row) for row in batch[["lacking", "others", "bits", "anchor_size"]].itertuples(index=False)]
     group = batch[["key", "part"]].to_numpy()
     starts = np.concatenate([[0], np.flatnonzero((group[1:] != group[:-1]).any(1)) + 1, [len(batch)]])
     end = np.repeat(starts[1:], np.diff(starts))
-    both = np.repeat(np.add.reduceat(side, starts[:-1]) > 0, np.diff(starts))  # the group holds two blocks
     found, rows, step = [], np.arange(len(batch)), 0
     while len(rows) and (ahead is None or step < ahead):
         step += 1
         rows = rows[rows + step < end[rows]]
         x, y = rows, rows + step
         keep = (root[x] != root[y]) & (cls[x] != cls[y]) & rule.linked(np.minimum(n[x], n[y]), np.maximum(n[x], n[y]))
-        keep &= ~both[x] | (side[x] != side[y])
+        keep &= (block[x] != block[y]) | (low[x] == high[x]) | (inner[x] & (block[x] == low[x]))
         x, y = x[keep], y[keep]
         for at in range(0, len(x), 16_384):
             i, j = x[at:at + 16_384], y[at:at + 16_384]
@@ -266,27 +308,32 @@ def compared(batch: pd.DataFrame, ahead: int | None, rule: Rule) -> pd.DataFrame
                 first = np.where(inside.any(1), inside.argmax(1), rule.bounds[chunk])
                 close &= first == place[i]
             if not ahead:
-                close[close] = [possible(lacks[p], lacks[q], n[p], n[q], rule) for p, q in zip(i[close], j[close])]
+                close[close] = [possible(beside[p], beside[q], n[p], n[q], rule) for p, q in zip(i[close], j[close])]
             i, j = i[close], j[close]
-            found.append(np.stack([np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j]), apart[close]], 1))
-    out = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
-    return pd.DataFrame(out.astype(np.int64), columns=["a", "b", "apart"])
+            ends = [np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j]), apart[close]]
+            found.append(np.stack([*ends, np.minimum(root[i], root[j]), np.maximum(root[i], root[j]), np.searchsorted(starts, i, side="right")], 1))
+    out = np.concatenate(found).astype(np.int64) if found else np.zeros((0, 6), np.int64)
+    if one_each and len(out):
+        out = out[np.lexsort((out[:, 1], out[:, 0], out[:, 2], out[:, 4], out[:, 3], out[:, 5]))]
+        out = out[np.concatenate([[True], (out[1:, 3:] != out[:-1, 3:]).any(1)])]
+    return pd.DataFrame(out[:, :3], columns=["a", "b", "apart"])
 
 
-def candidates(rows: DataFrame, ahead: int | None, rule: Rule) -> DataFrame:
+def candidates(rows: DataFrame, ahead: int | None, rule: Rule, one_each: bool = False) -> DataFrame:
     """Close pairs of rows that share (key, part)."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in grouped(batches):
-            yield compared(batch, ahead, rule)
+            yield compared(batch, ahead, rule, one_each)
 
-    return rows.repartition("key", "part").sortWithinPartitions("key", "part", "side", F.xxhash64("cls", "key")).mapInPandas(run, PAIRS)
+    return rows.repartition("key", "part").sortWithinPartitions("key", "part", "block", F.xxhash64("cls", "key")).mapInPandas(run, PAIRS)
 
 
 def first_pairs(live: DataFrame, kinds: DataFrame, rule: Rule) -> DataFrame:
     """Each class with a few likely partners: rows close by in its buckets, the nearest of them."""
     parts = F.ceil(F.col("held") / BLOCK_ROWS)
     rows = live.join(kinds.select("cls", "n", "sig"), "cls").select(
-        "key", "place", "cls", "n", "sig", F.col("cls").alias("root"), F.pmod(F.xxhash64("cls"), parts).alias("part"), F.lit(0).alias("side"))
+        "key", "place", "cls", "n", "sig", F.col("cls").alias("root"), F.pmod(F.xxhash64("cls"), parts).alias("part"),
+        *[F.lit(0).cast("long").alias(c) for c in ("block", "low", "high")], F.lit(False).alias("inner"))
     pairs = candidates(rows, AHEAD, rule).dropDuplicates(["a", "b"])
     rank = F.row_number().over(W.partitionBy("a").orderBy("apart", "b"))
     return pairs.withColumn("rank", rank).filter(F.col("rank") <= NEAREST).select("a", "b")
@@ -308,46 +355,88 @@ def bucket_anchors(rooted: DataFrame, links: DataFrame, roots: DataFrame) -> Dat
 
 
 def against_anchors(rooted: DataFrame, anchors: DataFrame, sets: DataFrame) -> DataFrame:
-    """anchor, cls, lacking (a bit per shingle of the anchor), others and anchor_size, once per pair."""
+    """anchor, cls, lacking (a bit per shingle of the anchor), others, their bits and anchor_size, once per pair."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lacking, others, sizes = [], [], []
+            lacking, others, bits, sizes = [], [], [], []
             for x, y in zip(batch.column(2), batch.column(3)):
                 x, y = as_set(x), as_set(y)
                 at = np.minimum(np.searchsorted(y, x), len(y) - 1)
                 has = y[at] == x
+                beside = np.delete(y, at[has])
                 lacking.append(np.packbits(~has).tobytes())
-                others.append(len(y) - int(has.sum()))
+                others.append(len(beside))
+                bits.append(other_bits(beside))
                 sizes.append(len(x))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(lacking, pa.binary()), pa.array(others, pa.int64()), pa.array(sizes, pa.int64())],
-                names=["anchor", "cls", "lacking", "others", "anchor_size"])
+                [batch.column(0), batch.column(1), pa.array(lacking, pa.binary()), pa.array(others, pa.int64()), pa.array(bits, pa.binary()), pa.array(sizes, pa.int64())],
+                names=["anchor", "cls", "lacking", "others", "bits", "anchor_size"])
 
-    wanted = rooted.join(anchors, "key").select(F.col("anchor").alias("a"), F.col("cls").alias("b")).distinct()
-    return cut_lineage(beside_sets(wanted, sets).mapInArrow(run, "anchor long, cls long, lacking binary, others long, anchor_size long"))
+    wanted = cut_lineage(rooted.join(anchors, "key").select(F.col("anchor").alias("a"), F.col("cls").alias("b")).distinct())
+    return cut_lineage(beside_sets(wanted, sets).mapInArrow(run, "anchor long, cls long, lacking binary, others long, bits binary, anchor_size long"))
 
 
-def open_pairs(live: DataFrame, kinds: DataFrame, roots: DataFrame, links: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """All close pairs between different components, each once; buckets within one are left out.
+def dealt_blocks(rooted: DataFrame) -> DataFrame:
+    """The rows of each bucket in blocks, sent once to every block that they are compared with.
 
-    A bucket of many rows is compared block with block.
+    The rows of a bucket's largest component are not compared with each other; a block of other rows is
+    compared within itself beside the first block of the largest component, or on its own without one.
+    """
+    counts = rooted.groupBy("key", "root").agg(F.count("*").alias("rows")).groupBy("key").agg(F.sum("rows").alias("all"), F.max(F.struct("rows", "root")).alias("main"))
+    mains = F.when(F.col("main.rows") > 1, F.col("main.rows")).otherwise(0)
+    cut = cut_lineage(counts.select("key", F.when(F.col("main.rows") > 1, F.col("main.root")).alias("main"),
+                                    F.ceil((F.col("all") - mains) / BLOCK_ROWS).alias("others"), F.ceil(mains / BLOCK_ROWS).alias("mains")))
+    is_main, spread = F.coalesce(F.col("root") == F.col("main"), F.lit(False)), F.xxhash64("cls")
+    block = F.when(is_main, F.col("others") + F.pmod(spread, F.greatest("mains", F.lit(1)))).otherwise(F.pmod(spread, "others"))
+    meets = F.sequence(F.lit(0).cast("long"), F.when(is_main, F.col("others") - 1).otherwise(F.col("others") + F.col("mains") - 1))
+    meets = F.when(is_main | (F.col("mains") == 0), meets).otherwise(F.filter(meets, lambda o: o != F.col("block")))
+    placed = rooted.join(cut, "key").withColumn("block", block).withColumn("other", F.explode(meets))
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    return placed.select("key", "place", "cls", "root", "block", F.xxhash64(low, high).alias("part"), low.alias("low"), high.alias("high"),
+                         (high == F.col("others")).alias("inner"))
+
+
+def open_pairs(live: DataFrame, kinds: DataFrame, roots: DataFrame, links: DataFrame, sets: DataFrame, rule: Rule, one_each: bool) -> DataFrame:
+    """The close pairs between different components, each once; buckets within one are left out.
+
+    ``one_each``: of two components in a block only the closest pair.
     """
     rooted = rooted_rows(live, roots)
     anchors = cut_lineage(bucket_anchors(rooted, links, roots))
     against = against_anchors(rooted, anchors, sets)
-    blocks = F.ceil(F.col("held") / BLOCK_ROWS)
-    rows = (
-        rooted.join(anchors, "key", "left").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")))
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        .withColumn("part", F.least("block", "other") * F.col("blocks") + F.greatest("block", "other"))
-        .withColumn("side", (F.col("block") > F.col("other")).cast("int"))
-    )
-    joined = rows.join(kinds.select("cls", "n", "sig"), "cls").join(against, ["anchor", "cls"], "left").select(
-        "key", "place", "cls", "n", "sig", "root", "part", "side", "lacking", "others", "anchor_size")
-    return candidates(joined, None, rule).select("a", "b")
-
-
-def full_sets(docs: DataFrame, kinds: DataFrame, live: DataFrame) -> DataFrame:
+    # what a row carries is put together once per class and anchor; rows of buckets without one carry only their signature
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("lacking", "binary"), ("others", "long"), ("bits", "binary"), ("anchor_size", "long"))]
+    free = rooted.join(anchors, "key", "left_anti").select(F.lit(NO_ANCHOR).alias("anchor"), "cls", *nothing).distinct()
+    carried = against.union(free).join(kinds.select("cls", "n", "sig"), "cls")
+    joined = dealt_blocks(rooted).join(anchors, "key", "left").withColumn("anchor", F.coalesce("anchor", F.lit(NO_ANCHOR))).join(carried, ["anchor", "cls"]).select(
+        "key", "place", "cls", "n", "sig", "root", "part", "block", "low", "high", "inner", "lacking", "others", "bits", "anchor_size")
+    return candidates(joined, None, rule, one_each).select("a", "b").distinct()
+
+
+def repeated_rows(signed: DataFrame) -> DataFrame:
+    """label and text_key of rows that stand in the table several times; few rows of two numbers are shuffled for it."""
+    doc = F.coalesce("doc_id", F.lit(NULL_DOC)).alias("label")
+    return cut_lineage(signed.filter("set_key IS NOT NULL").groupBy(doc, "text_key").agg(F.count("*").alias("rows")).filter("rows > 1").drop("rows"))
+
+
+def one_each_class(found: DataFrame, kinds: DataFrame, repeated: DataFrame) -> DataFrame:
+    """One row per class of what was made from `texts_of`, written; only classes named by a repeated row can have several."""
+    found = cut_lineage(found)
+    if repeated.isEmpty():
+        return found
+    several = cut_lineage(kinds.join(repeated, ["label", "text_key"], "left_semi").select("cls"))
+    return cut_lineage(found.join(several, "cls", "left_anti").union(found.join(several, "cls", "left_semi").dropDuplicates(["cls"])))
+
+
+def texts_of(kinds: DataFrame, docs: DataFrame) -> DataFrame:
+    """cls and a text of every given class, as often as its row stands in the table."""
+    text = text_or_empty()
+    wanted = cut_lineage(kinds.select("cls", F.col("label").alias("_doc"), F.col("text_key").alias("_key")))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_DOC)).alias("_doc"), F.xxhash64(text).alias("_key"), text.alias("text"))
+    return rows.join(counted_broadcast(wanted, NARROW_ROWS), ["_doc", "_key"]).select("cls", "text")
+
+
+def full_sets(docs: DataFrame, kinds: DataFrame, live: DataFrame, repeated: DataFrame) -> DataFrame:
     """The whole shingle set of every class that shares a bucket: cls and shingles (sorted, 8 bytes each)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
@@ -355,11 +444,8 @@ def full_sets(docs: DataFrame, kinds: DataFrame, live: DataFrame) -> DataFrame:
             sets = [words.shingles(t).tobytes() for t in text_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["cls", "shingles"])
 
-    text = text_or_empty()
-    wanted = cut_lineage(kinds.join(live.select("cls").distinct(), "cls").select("cls", F.col("label").alias("_doc"), F.col("text_key").alias("_key")))
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_DOC)).alias("_doc"), F.xxhash64(text).alias("_key"), text.alias("text"))
-    found = rows.join(counted_broadcast(wanted), ["_doc", "_key"]).select("cls", "text")
-    return cut_lineage(found.mapInArrow(run, "cls long, shingles binary").dropDuplicates(["cls"]))
+    wanted = kinds.join(live.select("cls").distinct(), "cls", "left_semi")
+    return one_each_class(texts_of(wanted, docs).mapInArrow(run, "cls long, shingles binary"), wanted, repeated)
 
 
 def as_set(value: pa.Scalar) -> np.ndarray:
@@ -373,9 +459,11 @@ def common(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def beside_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs a, b with both sets as x and y."""
-    left = pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), "a")
-    return left.join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
+    """The pairs a, b (a written table) with both sets as x and y; sets without a pair are left where they are."""
+    ends = cut_lineage(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct())
+    held = sets.join(counted_broadcast(ends, NARROW_ROWS), "cls", "left_semi")
+    left = pairs.join(held.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), "a")
+    return left.join(held.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
@@ -438,12 +526,14 @@ def linked_documents(docs: DataFrame, threshold: int) -> DataFrame:
         signed = signed_documents(docs)
         kinds = classes(signed)
         live = filed(kinds, rule)
-        sets = full_sets(docs, kinds, live)
+        sets = full_sets(docs, kinds, live, repeated_rows(signed))
         links = cut_lineage(confirmed(cut_lineage(first_pairs(live, kinds, rule)), sets, rule))
         roots = cut_lineage(components(links))
-        more = cut_lineage(confirmed(cut_lineage(open_pairs(live, kinds, roots, links, sets, rule)), sets, rule))
-        if more.limit(1).count():
-            roots = cut_lineage(components(links.union(more)))
+        for one_each in (True, False):
+            more = cut_lineage(confirmed(cut_lineage(open_pairs(live, kinds, roots, links, sets, rule, one_each)), sets, rule))
+            if more.limit(1).count():
+                links = links.union(more)
+                roots = cut_lineage(components(links))
     named = kinds.select("cls", "label").join(roots, F.col("cls") == F.col("node"), "left").select("cls", "label", F.coalesce("root", "cls").alias("root"))
     least = named.groupBy("root").agg(F.min("label").alias("component_id"))
     labels = named.join(least, "root").select(F.col("cls").alias("set_key"), F.when(F.col("component_id") < NULL_DOC, F.col("component_id")).alias("component_id"))
