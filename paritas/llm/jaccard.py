@@ -180,18 +180,21 @@ def reordered(kinds: DataFrame, docs: DataFrame, repeated: DataFrame, frequent:
 def tiles(kinds: DataFrame, threshold: int) -> DataFrame:
     """key, tile, cls, n, guest, held and times: the rows of tiles that hold several classes, one of them at home.
 
-    Of tiles of a band that hold the same classes, as those of a common passage do, one stands for all;
+    At the first shingle that two linked sets share, the smaller one has enough of its shingles left for the
+    overlap; tiles in which no set has as many are left out. Of tiles of a band that hold the same classes, as those of a common passage do, one stands for all;
     times is their number. Two xors of 64-bit hashes tell them apart. One exchange on the key serves
     all counts.
     """
     band = F.floor(F.log("n") / F.lit(math.log(100 / threshold))).cast("int")
-    rows = kinds.select("cls", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("key"))
-    shared = rows.withColumn("rows", F.count("*").over(W.partitionBy("key"))).filter("rows > 1")
+    early = F.expr(f"pos < n + 1 - (2 * {threshold} * n + {99 + threshold}) div {100 + threshold}")  # pos from 0
+    rows = kinds.select("cls", "n", F.posexplode("prefix").alias("pos", "key")).select("cls", F.col("n").cast("int").alias("n"), "key", early.alias("early"))
+    every = W.partitionBy("key")
+    shared = rows.withColumn("rows", F.count("*").over(every)).withColumn("useful", F.bool_or("early").over(every)).filter("rows > 1 AND useful")
     both = F.explode(F.array(F.struct(band.alias("tile"), F.lit(False).alias("guest")), F.struct((band - 1).alias("tile"), F.lit(True).alias("guest"))))
-    placed = shared.select("key", "cls", "n", both.alias("t")).select("key", "cls", "n", "t.tile", "t.guest")
+    placed = shared.select("key", "cls", "n", "early", both.alias("t")).select("key", "cls", "n", "early", "t.tile", "t.guest")
     one = W.partitionBy("key", "tile")
     counted = placed.select(
-        "key", "tile", "cls", "n", "guest", F.count("*").over(one).alias("held"), F.bool_and("guest").over(one).alias("empty"), (F.min("cls").over(one) == F.col("cls")).alias("lead"),
+        "key", "tile", "cls", "n", "guest", F.count("*").over(one).alias("held"), (F.bool_and("guest").over(one) | ~F.bool_or("early").over(one)).alias("empty"), (F.min("cls").over(one) == F.col("cls")).alias("lead"),
         *[F.bit_xor(F.xxhash64("cls", "guest", F.lit(salt))).over(one).alias(f"x{salt}") for salt in (1, 2)])
     full = cut_lineage(counted.filter("held > 1 AND NOT empty").drop("empty"))
     kept = full.filter("lead").groupBy("tile", "held", "x1", "x2").agg(F.min("key").alias("key"), F.count("*").alias("times")).select("key", "tile", "times")
