@@ -12,10 +12,8 @@ its bucket, the likeliest pairs are confirmed, and components are made. Then onl
 components are compared, in blocks of bounded size: the largest component with the other rows, and
 those among themselves. In a bucket with a large component every class knows which shingles of the
 component's anchor it lacks, and has a bitmap of those that it has beside them; both bound the overlap
-of two classes from above, so closely that hardly a pair is given out in vain. Of each pair of
-components in a block the closest pair is given out and confirmed; once components are merged, all
-that are left follow. So a link between components can be missing only where the signatures are out
-of reach.
+of two classes from above, so closely that hardly a pair is given out in vain. So a link between
+components can be missing only where the signatures are out of reach.
 """
 
 from __future__ import annotations
@@ -396,7 +394,7 @@ def dealt_blocks(rooted: DataFrame) -> DataFrame:
                          (high == F.col("others")).alias("inner"))
 
 
-def open_pairs(live: DataFrame, kinds: DataFrame, roots: DataFrame, links: DataFrame, sets: DataFrame, rule: Rule, one_each: bool) -> DataFrame:
+def open_pairs(live: DataFrame, kinds: DataFrame, roots: DataFrame, links: DataFrame, sets: DataFrame, rule: Rule, one_each: bool = False) -> DataFrame:
     """The close pairs between different components, each once; buckets within one are left out.
 
     ``one_each``: of two components in a block only the closest pair.
@@ -529,11 +527,9 @@ def linked_documents(docs: DataFrame, threshold: int) -> DataFrame:
         sets = full_sets(docs, kinds, live, repeated_rows(signed))
         links = cut_lineage(confirmed(cut_lineage(first_pairs(live, kinds, rule)), sets, rule))
         roots = cut_lineage(components(links))
-        for one_each in (True, False):
-            more = cut_lineage(confirmed(cut_lineage(open_pairs(live, kinds, roots, links, sets, rule, one_each)), sets, rule))
-            if more.limit(1).count():
-                links = links.union(more)
-                roots = cut_lineage(components(links))
+        more = cut_lineage(confirmed(cut_lineage(open_pairs(live, kinds, roots, links, sets, rule)), sets, rule))
+        if more.limit(1).count():
+            roots = cut_lineage(components(links.union(more)))
     named = kinds.select("cls", "label").join(roots, F.col("cls") == F.col("node"), "left").select("cls", "label", F.coalesce("root", "cls").alias("root"))
     least = named.groupBy("root").agg(F.min("label").alias("component_id"))
     labels = named.join(least, "root").select(F.col("cls").alias("set_key"), F.when(F.col("component_id") < NULL_DOC, F.col("component_id")).alias("component_id"))
