@@ -147,3 +147,12 @@ def test_bootstrap_of_one_hot_value(spark):
     x = spark.range(20_000).select(F.when(F.col("id") < 15_000, 1.0).otherwise(F.col("id")).alias("v"))
     got = bootstrap.bootstrap_quantiles(x, "v", ["0.5", "0.7"], 20, 1)
     assert {(r.level, r.lo, r.hi, r.resamples) for r in got.collect()} == {("0.5", 1.0, 1.0, 20), ("0.7", 1.0, 1.0, 20)}
+
+
+def test_rounding_is_that_of_the_sql(spark, duck):
+    from paritas.catalog.base import num
+
+    values = [-0.0, 0.0, 0.0643125, 0.0021874999999999998, 1.0000005, -1.0000005, 2.5e-06, -1e-10, 0.49999999999999994e-6, 1e300, -1e303, 4503599627.370497, float("inf"), float("-inf"), float("nan"), None]
+    got = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").select("i", num("v", 6).alias("r")).orderBy("i").collect()
+    want = [duck.execute("SELECT round(?::DOUBLE, 6)", [v]).fetchone()[0] for v in values]
+    assert [repr(r.r) for r in got] == [repr(v) for v in want]
