@@ -111,16 +111,32 @@ def load_campaign(spark: SparkSession, path: str, arm: str, names: Sequence[str]
 
 
 def partition_schemas(spark: SparkSession, path: str, table: str = "shots") -> DataFrame:
-    """(arm, chunk, half, column, type) of every partition of a run table, from one file's footer each; no rows are read.
+    """(arm, chunk, half, column, type) of every partition of a run table, from one file's footer each; no rows are decoded.
 
-    The driver asks for as many footers as the campaign has chunks and halves.
+    The tasks cut the footers out of the files, so the driver asks for none however many chunks there are. A file's bytes
+    pass through a task as one value.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(f"{path}/{table}").select("path")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(f"{path}/{table}")
     parts = [F.regexp_extract("path", f"/{k}=([^/]*)/", 1).alias(k) for k in RUN_KEYS]
-    found = []
-    for r in files.select("path", *parts).groupBy(*RUN_KEYS).agg(F.min("path").alias("path")).collect():
-        found += [(r["arm"], int(r["chunk"]), r["half"], name, kind) for name, kind in spark.read.parquet(r["path"]).dtypes]
-    return spark.createDataFrame(found, "arm string, chunk bigint, half string, column string, type string")
+    # The last eight bytes of a file are its footer's length, the lowest byte first, and the mark PAR1.
+    size = F.expr("CAST(conv(regexp_replace(hex(substring(content, -8, 4)), '(..)(..)(..)(..)', '$4$3$2$1'), 16, 10) AS INT)")
+    footers = files.select("path", *parts, size.alias("_size"), "content").select(
+        "path", *RUN_KEYS, F.expr("substring(content, -(_size + 8), _size + 8)").alias("footer"))
+    one = footers.groupBy(*RUN_KEYS).agg(F.min_by("footer", "path").alias("footer"))
+    fields = F.udf(footer_fields, "array<struct<column:string,type:string>>")
+    return one.select("arm", F.col("chunk").cast("bigint").alias("chunk"), "half", F.explode(fields("footer")).alias("f")).select("arm", "chunk", "half", "f.*")
+
+
+def footer_fields(footer: bytes) -> list[tuple[str, str]]:
+    """(name, type) of the columns that a Parquet footer declares, its length and mark included."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from pyspark.sql.pandas.types import from_arrow_schema
+
+    meta = pq.read_metadata(pa.BufferReader(b"PAR1" + footer))
+    spark_schema = (meta.metadata or {}).get(b"org.apache.spark.sql.parquet.row.metadata")
+    schema = T.StructType.fromJson(json.loads(spark_schema)) if spark_schema else from_arrow_schema(meta.schema.to_arrow_schema())
+    return [(f.name, f.dataType.simpleString()) for f in schema.fields]
 
 
 def check_schemas(schemas: DataFrame) -> DataFrame:
@@ -166,10 +182,10 @@ def rows_to_ragged(rows: DataFrame, keys: Sequence[str], values: str) -> tuple[D
 
 
 def ragged_to_rows(pointers: DataFrame, data: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys..., position, value) of every entry, by equi-join on the positions."""
+    """(keys..., position, value) of every entry, by equi-join on the positions; no broadcast, as the unrolled rows are as many as the data."""
     spread = pointers.where(F.col("end") > F.col("begin")).select(
         *keys, F.explode(F.sequence("begin", F.col("end") - 1)).alias("position"))
-    return spread.join(data, "position").select(*keys, "position", "value")
+    return spread.hint("merge").join(data, "position").select(*keys, "position", "value")
 
 
 # ---- summaries --------------------------------------------------------------------------------------

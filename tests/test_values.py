@@ -156,3 +156,46 @@ def test_rounding_is_that_of_the_sql(spark, duck):
     got = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").select("i", num("v", 6).alias("r")).orderBy("i").collect()
     want = [duck.execute("SELECT round(?::DOUBLE, 6)", [v]).fetchone()[0] for v in values]
     assert [repr(r.r) for r in got] == [repr(v) for v in want]
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_unrolled_positions_are_not_broadcast(spark):
+    from paritas.operators.incidence import csr_to_edges, edges_to_csr
+    from paritas.sources.runs import ragged_to_rows
+
+    edges = spark.range(60).select((F.col("id") % 7).alias("det"), F.col("id").alias("fault"))
+    pointers, indices = edges_to_csr(edges, spark.range(9).withColumnRenamed("id", "det"))
+    back = csr_to_edges(pointers, indices)
+    assert back.exceptAll(edges).isEmpty() and back.count() == 60 and "SortMergeJoin [position" in plan_of(back)
+    ragged = spark.createDataFrame([(1, 0, 2), (2, 2, 3)], "shot bigint, begin bigint, end bigint")
+    rows = ragged_to_rows(ragged, spark.createDataFrame([(0, 5), (1, 6), (2, 7)], "position bigint, value int"), ["shot"])
+    assert sorted(map(tuple, rows.collect())) == [(1, 0, 5), (1, 1, 6), (2, 2, 7)] and "SortMergeJoin [position" in plan_of(rows)
+
+
+def test_totals_after_a_bias_need_no_row_per_shot_and_position(spark):
+    from paritas.operators import gf2
+
+    rows = gf2.odd(spark.range(300).select((F.col("id") % 23).alias("shot"), (F.col("id") * 7 % 19).alias("det")), ["shot", "det"])
+    rows = rows.unionByName(spark.createDataFrame([(99, 4), (None, 3), (30, None)], "shot bigint, det bigint"))
+    shots = spark.range(40).withColumnRenamed("id", "shot").unionByName(spark.createDataFrame([(5,), (7,), (7,)], "shot bigint"))
+    bias = spark.createDataFrame([(1,), (3,), (4,), (18,), (77,)], "det bigint")
+    want = gf2.apply_bias(rows, shots, bias).groupBy("shot").agg(F.count("*"), F.sum("det"))
+    got = gf2.biased_totals(rows, shots, bias)
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, want.collect())))
+    assert "Generate" not in plan_of(got)
+
+
+def test_schemas_of_many_partitions_are_read_by_the_tasks(spark, tmp_path):
+    from paritas.sources import runs
+
+    rows = spark.range(60).selectExpr("id AS shot", "id % 20 AS chunk", "'a' AS arm", "'x' AS half", "1 AS n")
+    rows.where("chunk <> 3").write.partitionBy(*runs.RUN_KEYS).parquet(f"{tmp_path}/shots")
+    rows.where("chunk = 3").withColumn("n", F.lit(1.5)).write.mode("append").partitionBy(*runs.RUN_KEYS).parquet(f"{tmp_path}/shots")
+    spark.sparkContext.setJobGroup("schemas", "schemas")
+    schemas = runs.partition_schemas(spark, str(tmp_path))
+    assert schemas.count() == 40
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("schemas")) < 10  # not one per partition
+    assert [tuple(r) for r in runs.check_schemas(schemas).collect()] == [("a", 3, "x", "n", "type")]
