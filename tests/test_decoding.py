@@ -232,3 +232,18 @@ def test_edge_rows_equal_syndrome_rows(spark, toy, monkeypatch):
             got.append([sorted(str(tuple(round(v, 6) if isinstance(v, float) else v for v in r)) for r in out[k].select(*sorted(out[k].columns)).collect())
                         for k in ("results", "support", "legs")])
         assert got[0] == got[1]
+
+
+def test_open_shots_of_a_stream_are_not_broadcast(spark, toy, tmp_path):
+    """However small they look, they grow with the stream."""
+    from paritas.operators import sparse
+    from paritas.streaming import batches
+
+    plan = plan_windows(toy, WindowSpec(4, 2, 4))
+    decoder = batches.BatchDecoder(plan, sparse.Lookup(plan), str(tmp_path))
+    arrived = spark.createDataFrame([(1, 2, [0], False, None)], batches.ROUND_SCHEMA)
+    held = sparse.fresh(spark.createDataFrame([(1, [0], [1], False, None)], "shot bigint, left array<bigint>, got array<int>, closed boolean, heard timestamp"))
+    held.write.parquet(f"{tmp_path}/held")
+    merged, _ = decoder.merged(spark.read.parquet(f"{tmp_path}/held"), arrived)
+    assert [(r.left, r.got) for r in merged.collect()] == [([0, 2], [1, 2])]
+    assert "BroadcastHashJoin" not in merged._jdf.queryExecution().executedPlan().toString()
