@@ -27,3 +27,14 @@ def test_every_oracle_has_a_query():
 
 def test_entry_runs(spark):
     assert entry.entry(spark).count() == 5
+
+
+def test_stream_decode_runs_no_shot_by_itself(spark, duck, small, monkeypatch):
+    from paritas.streaming import windowed
+
+    def refused(*_, **__):
+        raise AssertionError("decoded shot by shot")
+
+    monkeypatch.setattr(windowed, "stream_decode", refused)
+    verdict, _, _ = compare(spark, duck, "x10_out_of_order", small)
+    assert verdict.startswith("ok"), verdict
