@@ -247,3 +247,21 @@ def test_open_shots_of_a_stream_are_not_broadcast(spark, toy, tmp_path):
     merged, _ = decoder.merged(spark.read.parquet(f"{tmp_path}/held"), arrived)
     assert [(r.left, r.got) for r in merged.collect()] == [([0, 2], [1, 2])]
     assert "BroadcastHashJoin" not in merged._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["b1_check_update", "b2_variable_update", "b3_memory_bias", "b4_hard_decision"])
+def test_single_updates_give_rows_of_edges_to_distinct_syndromes_only(spark, small, duck, monkeypatch, name):
+    from oracle import compare
+
+    given = []
+    edge_messages = bp.edge_messages
+
+    def seen(edges, faults, fired, sids, ar, dets=None):
+        given.append((sids.count(), sids.distinct().count(), fired.groupBy("sid").agg(F.sort_array(F.collect_list("det")).alias("k")).groupBy("k").count().where("count > 1").count()))
+        return edge_messages(edges, faults, fired, sids, ar, dets)
+
+    monkeypatch.setattr(bp, "edge_messages", seen)
+    verdict, _, _ = compare(spark, duck, name, small)
+    assert verdict.startswith("ok"), verdict
+    (rows, sids, repeated), = given
+    assert rows == sids and not repeated
