@@ -257,3 +257,27 @@ def shuffled_rows(df) -> list[int]:
         children = node.children()
         seen += [children.apply(i) for i in range(children.size())]
     return list(found.values())
+
+
+def test_stars_of_odd_supports(spark, monkeypatch):
+    from paritas.operators import gf2
+
+    s, e, support, edges = odd_supports(spark)
+    touched = {(shot, fault, det) for shot, fault in support for det, other in edges if shot is not None and None not in (fault, det) and fault == other}
+    first = {}
+    for shot, fault, det in touched:
+        first[shot, det] = min(fault, first.get((shot, det), fault))
+    want = sorted({(shot, fault, first[shot, det]) for shot, fault, det in touched if fault != first[shot, det]})
+    for few in (64, 200, 1):
+        monkeypatch.setattr(gf2, "FEW_FAULTS", few)
+        assert sorted(tuple(r) for r in gf2.shared_detectors(s.where("shot is not null"), e).collect()) == want
+
+
+def test_stars_of_a_few_faults_shuffle_no_row_per_detector(spark):
+    from paritas.operators import gf2
+
+    s = spark.range(60).select((F.col("id") % 20).alias("shot"), (F.col("id") % 9).alias("fault"))
+    e = spark.range(900).select((F.col("id") % 100).alias("det"), (F.col("id") % 9).alias("fault"))
+    stars = gf2.shared_detectors(s, e)
+    stars.collect()
+    assert sum(shuffled_rows(stars)) < 2000, shuffled_rows(stars)
