@@ -3,8 +3,9 @@
 A resample draws as many positions as there are rows, and a position belongs to the value whose run of
 the sorted rows holds it. Draws come from one numbered range that Spark splits; positions are cut into
 cells of fixed width, and a value's run is listed in every cell that it touches. So neither a value that
-holds a third of all rows nor a resample is ever one row or one task. Bounds are order statistics of
-the resampled statistic.
+holds a third of all rows nor a resample is ever one row or one task. The runs of few distinct values
+are sent to the draws, which are then only counted; with more values draws and runs are sorted by cell.
+Bounds are order statistics of the resampled statistic.
 """
 
 from __future__ import annotations
@@ -18,9 +19,14 @@ from paritas.functions.hashing import index_draw
 from paritas.functions.intervals import ALPHA95
 from paritas.operators.ranks import exact, running_totals
 from paritas.operators.statistics import pair_counts
+from paritas.session import bounded_broadcast
 
 # Positions per cell in which draws meet the runs of values.
 CELL = 4096
+# Up to so many distinct values the runs are sent to the draws, in so many cells.
+FEW_VALUES, FEW_CELLS = 100_000, 200_000
+# Draws per task.
+TASK_DRAWS = 1 << 22
 
 
 def _bounds(stats: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
@@ -43,16 +49,28 @@ def _histogram(df: DataFrame, value: str) -> DataFrame:
 
 
 def _draws(spark, total: int, resamples: int, seed: int) -> DataFrame:
-    """(b, d): every draw of every resample, a position below total."""
-    b, i = F.floor(F.col("id") / F.lit(total)).cast("bigint"), F.col("id") % F.lit(total)
-    return spark.range(total * resamples).select(b.alias("b"), index_draw(F.lit(total), F.lit(seed), b, i).alias("d"))
+    """(b, d): every draw of every resample, a position below total.
+
+    No draw is null; saying so keeps Spark from computing each once more to test it.
+    """
+    b, i = F.expr(f"id div {max(total, 1)}L"), F.col("id") % F.lit(total)
+    parts = max(spark.sparkContext.defaultParallelism, -(-total * resamples // TASK_DRAWS))
+    return spark.range(0, total * resamples, 1, parts).select(b.alias("b"), F.coalesce(index_draw(F.lit(total), F.lit(seed), b, i), F.lit(0)).alias("d"))
 
 
 def _resamples(df: DataFrame, value: str, resamples: int, seed: int) -> DataFrame:
     """(b, v, m): multiplicity of each distinct value in each resample; none of an empty input."""
     hist = _histogram(df, value)
-    total = hist.agg(F.sum("c")).first()[0] or 0
+    total, values = hist.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     start = F.col("upto") - F.col("c")
+    if values <= FEW_VALUES:
+        width = max(1, -(-total // FEW_CELLS))
+        cells = F.sequence(F.expr(f"(upto - c) div {width}L"), F.expr(f"(upto - 1) div {width}L"))
+        runs = hist.select("v", start.alias("start"), "upto", F.explode(cells).alias("cell"))
+        drawn = _draws(df.sparkSession, total, resamples, seed).select("b", "d", F.coalesce(F.expr(f"d div {width}L"), F.lit(0)).alias("cell"))
+        held = (F.col("d") >= F.col("start")) & (F.col("d") < F.col("upto"))
+        placed = drawn.join(bounded_broadcast(runs, values + FEW_CELLS), "cell").where(held)  # a row per cell and one per value
+        return placed.groupBy("b", "v").agg(F.count("*").alias("m"))
     runs = hist.select("v", start.alias("start"), F.explode(F.sequence(
         F.floor(start / CELL), F.floor((F.col("upto") - 1) / CELL))).alias("cell"))
     runs = runs.select("cell", F.greatest("start", F.col("cell") * CELL).alias("d"), F.lit(-1).cast("bigint").alias("b"), "v")

@@ -281,3 +281,15 @@ def test_stars_of_a_few_faults_shuffle_no_row_per_detector(spark):
     stars = gf2.shared_detectors(s, e)
     stars.collect()
     assert sum(shuffled_rows(stars)) < 2000, shuffled_rows(stars)
+
+
+def test_few_values_meet_their_draws_without_a_shuffle_of_draws(spark, monkeypatch):
+    """Each draw is computed once and only counts are shuffled; more values than the bound go the way of sorted cells, with the same counts."""
+    from paritas.operators import bootstrap
+
+    x = spark.range(3000).select((F.col("id") * F.col("id") % 37).alias("v"))
+    table = bootstrap._resamples(x, "v", 20, 9)
+    got = sorted(map(tuple, table.collect()))
+    assert sum(shuffled_rows(table)) < 20_000 and plan_of(table).split("== Initial Plan ==")[0].count("md5(") == 1
+    monkeypatch.setattr(bootstrap, "FEW_VALUES", 0)
+    assert got == sorted(map(tuple, bootstrap._resamples(x, "v", 20, 9).collect()))
