@@ -265,3 +265,14 @@ def test_single_updates_give_rows_of_edges_to_distinct_syndromes_only(spark, sma
     assert verdict.startswith("ok"), verdict
     (rows, sids, repeated), = given
     assert rows == sids and not repeated
+
+
+def test_legs_are_checked_once_a_syndrome_and_counted_for_every_shot(spark, toy):
+    from paritas.catalog.decoding import _broken_shots
+
+    faults = spark.createDataFrame([(s, f) for s in range(12) for f in (s % 3, 7)], "shot long, fault long")
+    shots = spark.range(13).withColumnRenamed("id", "shot")
+    out = bp.decode(toy, gf2_product(faults, toy.edges), shots, RelaySpec(3, num_sets=1, set_max_iter=2, stopping="all_legs"), bp.drawn_gammas(5, -0.3, 0.7))
+    for rules in ((3, 1, 2, "all_legs"), (1, 0, 1, "all_legs"), (2, 2, 2, "after_n_converged", 1)):
+        plain = checks.check_legs(out["legs"], out["results"], *rules)
+        assert tuple(_broken_shots(out, *rules).first()) == (plain.count(), 13)
