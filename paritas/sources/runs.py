@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -77,15 +77,24 @@ def read_mechanisms(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
 RUN_KEYS = ["arm", "chunk", "half"]
 # The tables a run may hold.
 RUN_TABLES = ("shots", "windows", "solutions", "supports", "commits", "confidence", "history")
+# Fixed value: the neighbouring chunks that share a folder, and the name of its number.
+CHUNKS_PER_BLOCK, BLOCK = 128, "chunk_block"
 
 
 def write_run(tables: dict[str, DataFrame], path: str) -> None:
-    """Each table partitioned by arm, chunk and half. Rows are rebalanced on these keys, so a small
-    partition gets one file and one that holds much of the data is split over many tasks."""
+    """Each table partitioned by arm, half and block of chunks, its files in the order of the chunks.
+
+    A file per chunk costs far more than its few rows. Rows are rebalanced on the folders, so a small
+    one gets one file and one that holds much of the data is split over many tasks; inside a file the
+    statistics of its pages lead to a chunk.
+    """
+    folders = ["arm", "half", BLOCK]
     for name, table in tables.items():
         if name not in RUN_TABLES:
             raise ValueError(f"unknown run table {name!r}")
-        table.hint("rebalance", *[F.col(k) for k in RUN_KEYS]).write.mode("overwrite").partitionBy(*RUN_KEYS).parquet(f"{path}/{name}")
+        placed = table.withColumn(BLOCK, F.floor(F.col("chunk").cast("bigint") / CHUNKS_PER_BLOCK))
+        balanced = placed.hint("rebalance", *[F.col(k) for k in folders]).sortWithinPartitions(*folders, "chunk")
+        balanced.write.mode("overwrite").partitionBy(*folders).parquet(f"{path}/{name}")
 
 
 def read_run(spark: SparkSession, path: str, table: str, names: Iterable[str], optional: Iterable[str] = ()) -> DataFrame:
@@ -117,14 +126,37 @@ def partition_schemas(spark: SparkSession, path: str, table: str = "shots") -> D
     pass through a task as one value.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(f"{path}/{table}")
+    first = files.select("path").first()
+    if first and f"/{BLOCK}=" in first["path"]:
+        return _block_schemas(spark, path, table, files)
     parts = [F.regexp_extract("path", f"/{k}=([^/]*)/", 1).alias(k) for k in RUN_KEYS]
+    one = _footers(files, "path", *parts).groupBy(*RUN_KEYS).agg(F.min_by("footer", "path").alias("footer"))
+    fields = F.udf(footer_fields, FIELDS)
+    return one.select("arm", F.col("chunk").cast("bigint").alias("chunk"), "half", F.explode(fields("footer")).alias("f")).select("arm", "chunk", "half", "f.*")
+
+
+FIELDS = "array<struct<column:string,type:string>>"
+
+
+def _footers(files: DataFrame, *columns: Column | str) -> DataFrame:
+    """(columns..., footer) of files, with its length and mark."""
     # The last eight bytes of a file are its footer's length, the lowest byte first, and the mark PAR1.
     size = F.expr("CAST(conv(regexp_replace(hex(substring(content, -8, 4)), '(..)(..)(..)(..)', '$4$3$2$1'), 16, 10) AS INT)")
-    footers = files.select("path", *parts, size.alias("_size"), "content").select(
-        "path", *RUN_KEYS, F.expr("substring(content, -(_size + 8), _size + 8)").alias("footer"))
-    one = footers.groupBy(*RUN_KEYS).agg(F.min_by("footer", "path").alias("footer"))
-    fields = F.udf(footer_fields, "array<struct<column:string,type:string>>")
-    return one.select("arm", F.col("chunk").cast("bigint").alias("chunk"), "half", F.explode(fields("footer")).alias("f")).select("arm", "chunk", "half", "f.*")
+    sized = files.select(*columns, size.alias("_size"), "content")
+    return sized.select(*[c for c in sized.columns if c not in ("_size", "content")], F.expr("substring(content, -(_size + 8), _size + 8)").alias("footer"))
+
+
+def _block_schemas(spark: SparkSession, path: str, table: str, files: DataFrame) -> DataFrame:
+    """partition_schemas of a table that write_run wrote: its files hold many chunks, which only their chunk column tells.
+
+    The column itself is left out, as a folder per chunk would have it.
+    """
+    file = F.col("_metadata.file_path").alias("_file")
+    held = spark.read.schema("chunk bigint, arm string, half string").parquet(f"{path}/{table}").select("arm", "chunk", "half", file)
+    one = held.groupBy(*RUN_KEYS).agg(F.min("_file").alias("_file"))
+    fields = F.udf(footer_fields, FIELDS)
+    columns = _footers(files, file).select("_file", F.explode(fields("footer")).alias("f")).where("f.column <> 'chunk'")
+    return one.join(columns, "_file").select("arm", "chunk", "half", "f.*")
 
 
 def footer_fields(footer: bytes) -> list[tuple[str, str]]:

@@ -201,6 +201,24 @@ def test_schemas_of_many_partitions_are_read_by_the_tasks(spark, tmp_path):
     assert [tuple(r) for r in runs.check_schemas(schemas).collect()] == [("a", 3, "x", "n", "type")]
 
 
+def test_a_run_of_many_chunks_takes_few_files(spark, tmp_path):
+    from paritas.sources import runs
+
+    rows = spark.range(1200).selectExpr("id AS shot", "id % 400 - 100 AS chunk", "IF(id % 3 = 0, 'a', 'b') AS arm", "'x' AS half", "id * 2 AS n")
+    rows = rows.unionByName(spark.sql("SELECT 5000L AS shot, CAST(NULL AS bigint) AS chunk, 'a' AS arm, 'x' AS half, 1L AS n"))
+    runs.write_run({"shots": rows}, str(tmp_path))
+    assert len(list(tmp_path.glob("shots/**/*.parquet"))) <= 12  # not one per chunk and arm
+    back = runs.read_run(spark, str(tmp_path), "shots", ["shot", "n"])
+    assert back.columns == ["arm", "chunk", "half", "shot", "n"]
+    assert sorted(map(str, map(tuple, back.collect()))) == sorted(map(str, map(tuple, rows.select(*back.columns).collect())))
+    loaded = runs.load_campaign(spark, str(tmp_path), "b", ["n"], spark.createDataFrame([(7,), (-99,)], "chunk bigint"))
+    want = rows.where("arm = 'b' AND chunk IN (7, -99)").select("chunk", "shot", "n").collect()
+    assert sorted((r.chunk, r.shot, r.n) for r in loaded.collect()) == sorted(map(tuple, want))
+    schemas = runs.partition_schemas(spark, str(tmp_path))
+    want = rows.select("arm", "chunk", "half").distinct().count()
+    assert schemas.groupBy("arm", "chunk", "half").agg(F.sort_array(F.collect_list("column")).alias("c")).where("c = array('n', 'shot')").count() == want
+
+
 def odd_supports(spark):
     """Supports and edges with nulls, repeats, unknown faults and a shot of many faults, and their product and stars by hand."""
     edges = [(d, f) for f in range(100) for d in {f % 7, f * 3 % 11, 20 + f % 2}] + [(None, 1), (None, 2), (None, 3), (5, 4), (5, 4), (6, None)]
