@@ -5,14 +5,14 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paritas.operators.checks import check_incidence
-from paritas.operators.gf2 import odd
 from paritas.operators.incidence import Incidence, degree_stats, with_lambda
-from paritas.operators.ranks import dense_numbers, running_totals
+from paritas.operators.ranks import running_totals
+from paritas.session import cut_lineage
 
 # ---- incidence ------------------------------------------------------------------------------------
 
@@ -54,22 +54,34 @@ def read_mechanisms(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     A line's components (separated by ^) combine by symmetric difference. Mechanisms are numbered
     in file and line order. Lines that are not errors (declarations, blanks) are passed over;
     error lines without a probability in [0, 1] are returned as malformed.
+
+    Lines are neither sorted nor shuffled: a task numbers its good lines as it reads them, and one row per
+    split of the files, counted from what was read, shifts them to their place in the log.
     """
     text = spark.read.text(path).select(
-        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_line"))
+        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
     lines = text.where(F.ltrim("value").startswith("error"))
     p = F.expr("try_cast(regexp_extract(value, '^\\\\s*error\\\\(([^)]*)\\\\)', 1) as double)")
     parsed = lines.withColumn("p", p)
     good = F.coalesce((F.col("p") >= 0) & (F.col("p") <= 1), F.lit(False))
-    numbered = dense_numbers(parsed.where(good), ["_file", "_block", "_line"], "fault")
-
-    def targets(pattern: str, name: str) -> DataFrame:
-        found = F.regexp_extract_all("value", F.lit(pattern), F.lit(1))
-        return odd(numbered.select("fault", F.explode(found.cast("array<bigint>")).alias(name)), [name, "fault"])
-
-    return (numbered.select("fault", "p", F.col("value").contains("^").alias("decomposed")),
-            targets(DETECTOR, "det"), targets(OBSERVABLE, "obs"), parsed.where(~good).select("value"))
+    # After the filter the ids of a task's rows have no gaps.
+    named = parsed.where(good).select(
+        F.monotonically_increasing_id().alias("_id"), "_file", "_block", "p", F.col("value").contains("^").alias("decomposed"),
+        *[F.regexp_extract_all("value", F.lit(pattern), F.lit(1)).cast("array<bigint>").alias(c) for pattern, c in ((DETECTOR, "dets"), (OBSERVABLE, "obs"))])
+    read = cut_lineage(named.withColumns({c: _odd_ones(c) for c in ("dets", "obs")}))
+    splits = read.groupBy("_file", "_block").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = splits.select("_file", "_block", (before - F.col("_first")).alias("_shift"))
+    numbered = read.join(F.broadcast(shifts), ["_file", "_block"]).withColumn("fault", F.col("_id") + F.col("_shift"))
+    return (numbered.select("fault", "p", "decomposed"), numbered.select(F.explode("dets").alias("det"), "fault"),
+            numbered.select(F.explode("obs").alias("obs"), "fault"), parsed.where(~good).select("value"))
+
+
+def _odd_ones(name: str) -> Column:
+    """The values that an array holds an odd number of times; they are compared in pairs only where one repeats."""
+    values = F.array_distinct(name)
+    counted = F.filter(values, lambda x: F.size(F.filter(name, lambda y: y == x)) % 2 == 1)
+    return F.when(F.size(values) == F.size(name), F.col(name)).otherwise(counted)
 
 
 # ---- runs -------------------------------------------------------------------------------------------

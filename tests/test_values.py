@@ -201,6 +201,29 @@ def test_schemas_of_many_partitions_are_read_by_the_tasks(spark, tmp_path):
     assert [tuple(r) for r in runs.check_schemas(schemas).collect()] == [("a", 3, "x", "n", "type")]
 
 
+def test_mechanisms_are_numbered_without_a_shuffle_of_lines(spark, tmp_path, monkeypatch):
+    from collections import Counter
+
+    from paritas.sources import runs
+
+    lines = {"b": ["error(0.5) D1 ^ D2 D1 ^ D3 L0 ^ L0 L1", "", "error(2) D9", "  error(0) D7 D7"], "a": ["detector D1", "error(x) D1"],
+             "c": [f"error(0.25) D{i} D{i % 7} L{i % 3}" + " D5" * (i % 4) for i in range(900)] + ["error(1)"]}
+    for name, text in lines.items():
+        (tmp_path / f"{name}.txt").write_text("\n".join(text) + "\n")
+    monkeypatch.setattr(runs, "dense_numbers", None, raising=False)  # sorts whole lines
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")  # many splits of a file
+    try:
+        mech, edges, obs, bad = (df.collect() for df in runs.read_mechanisms(spark, str(tmp_path)))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(r.value for r in bad) == ["error(2) D9", "error(x) D1"]
+    kept = [line for name in "abc" for line in lines[name] if line.strip().startswith(("error(0", "error(1"))]
+    assert sorted((r.fault, r.p, r.decomposed) for r in mech) == [(i, float(s.split("(")[1].split(")")[0]), "^" in s) for i, s in enumerate(kept)]
+    for rows, letter in ((edges, "D"), (obs, "L")):
+        want = [(int(t[1:]), i) for i, s in enumerate(kept) for t, n in Counter(w for w in s.split() if w[0] == letter).items() if n % 2]
+        assert sorted(map(tuple, rows)) == sorted(want)
+
+
 def test_a_run_of_many_chunks_takes_few_files(spark, tmp_path):
     from paritas.sources import runs
 
