@@ -52,10 +52,21 @@ def counted_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 BATCH_BYTES = 8 << 20
 
 
-@contextmanager
-def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+def arrow_batches(spark: SparkSession, rows: int):
     """What runs inside sends Python workers at most ``rows`` rows and about BATCH_BYTES at once, which bounds their memory."""
-    settings = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}
+    return _with_settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)})
+
+
+def shuffles_dropped(spark: SparkSession):
+    """What runs inside drops its shuffle files when a query ends instead of when the driver's memory is collected.
+
+    For steps that write their tables and go on from those: no later query reads a shuffle of theirs.
+    """
+    return _with_settings(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"})
+
+
+@contextmanager
+def _with_settings(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
     before = {key: spark.conf.get(key) for key in settings}
     for key, value in settings.items():
         spark.conf.set(key, value)

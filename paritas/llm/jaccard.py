@@ -34,7 +34,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import arrow_batches, counted_broadcast, text_or_empty
+from .common import arrow_batches, counted_broadcast, shuffles_dropped, text_or_empty
 from .neardup import BATCH_ROWS, NARROW_ROWS, NULL_DOC, Rule, Words, components, confirmed, grouped, one_each_class, repeated_rows, stirred, text_bytes, texts_of
 
 LINK = 80
@@ -309,7 +309,7 @@ def linked_documents(docs: DataFrame, threshold: int = LINK) -> DataFrame:
     are not read.
     """
     rule = Rule(threshold)
-    with arrow_batches(docs.sparkSession, BATCH_ROWS):
+    with arrow_batches(docs.sparkSession, BATCH_ROWS), shuffles_dropped(docs.sparkSession):
         read = read_sets(docs, threshold)
         named, repeated = classes(read), repeated_rows(read)
         found = lowest_of(read, named, repeated)

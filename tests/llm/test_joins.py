@@ -3,6 +3,7 @@
 import collections
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -182,3 +183,23 @@ def test_bitmaps_bound_overlaps_from_above():
         most = (len(a) + len(b) - int(np.bitwise_count(bits[0] ^ bits[1]).sum())) // 2
         assert both <= most <= both + max(3, (n + m) // 10)
     assert [jaccard.prefix_length(n, 80) for n in (1, 4, 5, 10, 100)] == [1, 1, 2, 3, 21]
+
+
+def test_the_join_leaves_no_shuffle_files_of_its_steps(spark):
+    def held():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle")}
+
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i // 3) * 40 + k}" for k in range(30 + i % 3))) for i in range(60)], "doc_id long, text string")
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = held(), spark.conf.get(key)
+    rows = jaccard.linked_documents(docs)
+    left = held() - before
+    for _ in range(50):  # they are dropped in the background
+        if not left:
+            break
+        time.sleep(0.2)
+        left = held() - before
+    assert not left
+    assert spark.conf.get(key) == setting
+    assert rows.where("component_id <> doc_id - doc_id % 3").count() == 0
