@@ -8,17 +8,21 @@ prefixes. A prefix holds so many of a set's shingles, in an order that all sets
 sets must have one in common; the order puts shingles of many documents last, so that passages and lines
 that stand everywhere make no tiles.
 
-Within a tile sets are compared by bitmaps, in which every shingle sets the bit that its hash names: the
+Tiles of few sets give out their pairs, which are counted: the prefixes of two linked sets share not one
+shingle only but as many as their overlap must have beyond what stands behind a prefix, so pairs that
+meet by chance drop out before a set is read. A pair's count is whole unless it shares a larger tile too,
+where it is compared anyway.
+
+In larger tiles sets are compared by bitmaps, in which every shingle sets the bit that its hash names: the
 bits in which two bitmaps differ bound the overlap from above, by (n + m - differing) / 2. A bitmap has 8
-to 16 bits per shingle and is folded to the narrower one's width. Only pairs beyond the bound are
-intersected.
+to 16 bits per shingle and is folded to the narrower one's width. Only sets with a pair beyond the bound
+are sent whole, and their pairs intersected.
 
-Tiles are not expanded into all their pairs. First every set is intersected with a few likely partners,
+Larger tiles are not expanded into their pairs. First every set is intersected with a few likely partners,
 and components are made. Then only tiles with several components are compared, their largest component
-with the other rows and those among themselves, in blocks of bounded size; of each pair of components in a
-block only the likeliest pair is given out. After these are intersected and components merged, all pairs
-left beyond the bound follow. So no link between two components is lost, and where bitmaps tell
-nearly all pairs right, hardly a pair is given out in vain.
+with the other rows and those among themselves, in blocks of bounded size; a block gives out the links that
+join components, fewer than it has rows. So no link between two components is lost, and what is given out
+does not grow with the square of a group's size.
 """
 
 from __future__ import annotations
@@ -35,14 +39,16 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .common import arrow_batches, counted_broadcast, shuffles_dropped, text_or_empty
-from .neardup import BATCH_ROWS, NARROW_ROWS, NULL_DOC, Rule, Words, components, confirmed, grouped, one_each_class, repeated_rows, stirred, text_bytes, texts_of
+from .neardup import BATCH_ROWS, NARROW_ROWS, NULL_DOC, Rule, Words, as_set, components, confirmed, grouped, one_each_class, repeated_rows, stirred, text_bytes, texts_of
 
 LINK = 80
 #: A shingle in the prefixes of more sets than this goes to the end of the order, with all that share its slot of 2^24.
 FREQUENT, SLOT_BITS = 64, 24
+#: Tiles of at most so many sets give out their pairs.
+PAIRED_ROWS = 64
 #: First comparison: rows ahead in a tile, partners per set, and the share of a prefix that likely partners have in common.
 AHEAD, NEAREST, LIKELY = 3, 6, 0.25
-#: A block of a tile holds so many rows, or about so many bytes of bitmaps.
+#: A block of a tile holds so many rows, or sets of about so many bytes.
 BLOCK_ROWS, BLOCK_BYTES = 4_096, 1 << 24
 PAIRS = "a long, b long"
 
@@ -180,52 +186,78 @@ def reordered(kinds: DataFrame, docs: DataFrame, repeated: DataFrame, frequent:
 def tiles(kinds: DataFrame, threshold: int) -> DataFrame:
     """key, tile, cls, n, guest, held and times: the rows of tiles that hold several classes, one of them at home.
 
-    At the first shingle that two linked sets share, the smaller one has enough of its shingles left for the
-    overlap; tiles in which no set has as many are left out. Of tiles of a band that hold the same classes, as those of a common passage do, one stands for all;
+    Of tiles of a band that hold the same classes, as those of a common passage do, one stands for all;
     times is their number. Two xors of 64-bit hashes tell them apart. One exchange on the key serves
     all counts.
     """
     band = F.floor(F.log("n") / F.lit(math.log(100 / threshold))).cast("int")
-    early = F.expr(f"pos < n + 1 - (2 * {threshold} * n + {99 + threshold}) div {100 + threshold}")  # pos from 0
-    rows = kinds.select("cls", "n", F.posexplode("prefix").alias("pos", "key")).select("cls", F.col("n").cast("int").alias("n"), "key", early.alias("early"))
-    every = W.partitionBy("key")
-    shared = rows.withColumn("rows", F.count("*").over(every)).withColumn("useful", F.bool_or("early").over(every)).filter("rows > 1 AND useful")
+    rows = kinds.select("cls", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("key"))
+    shared = rows.withColumn("rows", F.count("*").over(W.partitionBy("key"))).filter("rows > 1")
     both = F.explode(F.array(F.struct(band.alias("tile"), F.lit(False).alias("guest")), F.struct((band - 1).alias("tile"), F.lit(True).alias("guest"))))
-    placed = shared.select("key", "cls", "n", "early", both.alias("t")).select("key", "cls", "n", "early", "t.tile", "t.guest")
+    placed = shared.select("key", "cls", "n", both.alias("t")).select("key", "cls", "n", "t.tile", "t.guest")
     one = W.partitionBy("key", "tile")
     counted = placed.select(
-        "key", "tile", "cls", "n", "guest", F.count("*").over(one).alias("held"), (F.bool_and("guest").over(one) | ~F.bool_or("early").over(one)).alias("empty"), (F.min("cls").over(one) == F.col("cls")).alias("lead"),
-        *[F.bit_xor(F.xxhash64("cls", "guest", F.lit(salt))).over(one).alias(f"x{salt}") for salt in (1, 2)])
-    full = cut_lineage(counted.filter("held > 1 AND NOT empty").drop("empty"))
-    kept = full.filter("lead").groupBy("tile", "held", "x1", "x2").agg(F.min("key").alias("key"), F.count("*").alias("times")).select("key", "tile", "times")
-    return cut_lineage(full.drop("lead", "x1", "x2").join(counted_broadcast(cut_lineage(kept), NARROW_ROWS), ["key", "tile"]))
+        "key", "tile", "cls", "n", "guest", F.count("*").over(one).alias("held"), F.bool_and("guest").over(one).alias("empty"), (F.min("cls").over(one) == F.col("cls")).alias("lead"),
+        *[F.bit_xor(F.xxhash64("cls", "guest", F.lit(salt))).over(one).alias(f"x{salt}") for salt in (1, 2)]).filter("held > 1 AND NOT empty")
+    full = cut_lineage(counted.select("key", "tile", "cls", "n", "guest", "held", *[F.when(F.col("lead"), F.col(x)).alias(x) for x in ("x1", "x2")]))
+    kept = full.filter("x1 IS NOT NULL").groupBy("tile", "held", "x1", "x2").agg(F.min("key").alias("key"), F.count("*").alias("times")).select("key", "tile", "times")
+    return cut_lineage(full.drop("x1", "x2").join(counted_broadcast(cut_lineage(kept), NARROW_ROWS), ["key", "tile"]))
+
 
+def counted_pairs(small: DataFrame, threshold: int) -> DataFrame:
+    """a, b and times, the prefix shingles that they share, of the pairs of small tiles that can be linked, written.
 
-def first_pairs(live: DataFrame, threshold: int) -> DataFrame:
-    """Each class with a few classes that follow it in many of its tiles."""
+    Of two linked sets let the prefix of x end first. Of the shingles that they share, those in the prefix
+    of x are in the other's too, and at most all behind it come on top. Which prefix ends first is not known
+    here, so the larger set's, which has more behind it, bounds both.
+    """
+    group = small.groupBy("key", "tile").agg(F.sort_array(F.collect_list(F.struct("n", "cls", "guest"))).alias("rows"), F.first("times").alias("times"))
+    each = group.select("times", "rows", F.posexplode("rows").alias("at", "x"))
+    fit = F.filter(F.slice("rows", F.col("at") + 2, F.size("rows")), lambda y: ~(y["guest"] & F.col("x.guest")) & (100 * F.col("x.n").cast("long") >= threshold * y["n"].cast("long")))
+    met = each.select("times", "x", F.explode(fit).alias("y"))
+    pairs = met.groupBy(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).agg(
+        F.sum("times").alias("times"), F.first(F.col("x.n").cast("long")).alias("n"), F.first(F.col("y.n").cast("long")).alias("m"))
+    behind = f"({threshold} * m + 99) div 100 - 1"  # n <= m
+    return cut_lineage(pairs.filter(f"times + {behind} >= ({threshold} * (n + m) + {99 + threshold}) div {100 + threshold}").select("a", "b", "times"))
+
+
+def near_rows(large: DataFrame, threshold: int) -> DataFrame:
+    """a, b and times: each class with a few classes that follow it in many of its larger tiles."""
     part = F.pmod(F.xxhash64("cls"), F.ceil(F.col("held") / BLOCK_ROWS))
     order = W.partitionBy("key", "tile", "part").orderBy("n", F.xxhash64("cls"))
     ahead = F.array(*[F.lead(F.struct("cls", "n", "guest"), k).over(order) for k in range(1, AHEAD + 1)])
-    met = live.withColumn("part", part).select("cls", "n", "guest", "times", ahead.alias("ahead")).select("cls", "n", "guest", "times", F.explode("ahead").alias("o")).filter(F.col("o").isNotNull() & ~(F.col("guest") & F.col("o.guest")))
+    met = large.withColumn("part", part).select("cls", "n", "guest", "times", ahead.alias("ahead")).select("cls", "n", "guest", "times", F.explode("ahead").alias("o")).filter(F.col("o").isNotNull() & ~(F.col("guest") & F.col("o.guest")))
     fit = met.filter(F.lit(100).cast("long") * F.least("n", "o.n") >= F.lit(threshold).cast("long") * F.greatest("n", "o.n"))
     counted = fit.groupBy(F.least("cls", "o.cls").alias("a"), F.greatest("cls", "o.cls").alias("b")).agg(F.sum("times").alias("times"), F.min(F.least("n", "o.n")).alias("least"))
-    likely = counted.filter(F.col("times") >= LIKELY * (100 - threshold) / 100 * F.col("least"))
+    return counted.filter(F.col("times") >= LIKELY * (100 - threshold) / 100 * F.col("least")).select("a", "b", "times")
+
+
+def first_pairs(counted: DataFrame, large: DataFrame, threshold: int) -> DataFrame:
+    """Each class with a few likely partners, those first that share most of its prefix."""
+    likely = counted.union(near_rows(large, threshold)).groupBy("a", "b").agg(F.sum("times").alias("times"))
     rank = F.row_number().over(W.partitionBy("a").orderBy(F.desc("times"), "b"))
     return likely.withColumn("rank", rank).filter(F.col("rank") <= NEAREST).select("a", "b")
 
 
-def full_sets(live: DataFrame, kinds: DataFrame, docs: DataFrame, repeated: DataFrame) -> DataFrame:
-    """cls, shingles (sorted, 8 bytes each) and bits of every class in a tile."""
+def full_sets(wanted: DataFrame, kinds: DataFrame, docs: DataFrame, repeated: DataFrame) -> DataFrame:
+    """cls and shingles (sorted, 8 bytes each) of the wanted classes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
-            sets = [words.shingles(t) for t in text_bytes(batch.column(1))]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([bitmap(s) for s in sets], pa.binary())],
-                names=["cls", "shingles", "bits"])
+            sets = [words.shingles(t).tobytes() for t in text_bytes(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["cls", "shingles"])
+
+    picked = kinds.join(wanted, "cls", "left_semi")
+    return one_each_class(texts_of(picked, docs).mapInArrow(run, "cls long, shingles binary"), picked, repeated)
+
+
+def bitmaps(sets: DataFrame) -> DataFrame:
+    """cls and bits."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([bitmap(as_set(s)) for s in batch.column(1)], pa.binary())], names=["cls", "bits"])
 
-    wanted = kinds.join(live.select("cls").distinct(), "cls", "left_semi")
-    return one_each_class(texts_of(wanted, docs).mapInArrow(run, "cls long, shingles binary, bits binary"), wanted, repeated)
+    return sets.select("cls", "shingles").mapInArrow(run, "cls long, bits binary")
 
 
 def folded(bits: list[bytes]) -> np.ndarray:
@@ -237,48 +269,81 @@ def folded(bits: list[bytes]) -> np.ndarray:
     return rows
 
 
-def beyond_bound(batch: pd.DataFrame, rule: Rule, one_each: bool) -> np.ndarray:
-    """Pairs of a block's rows that the bitmaps don't rule out; with one_each the likeliest of each two components."""
-    batch = batch.sort_values(["n", "cls"], kind="stable")
-    cls, root, block, guest = (batch[c].to_numpy() for c in ("cls", "root", "block", "guest"))
+def beyond_bound(batch: pd.DataFrame, bits: np.ndarray, root: np.ndarray, rule: Rule) -> Iterator[tuple[int, np.ndarray]]:
+    """Each row of a block, sorted by n, with the later rows of other roots that the bitmaps don't rule out.
+
+    root may change from row to row.
+    """
+    block, guest = batch["block"].to_numpy(), batch["guest"].to_numpy()
     n = batch["n"].to_numpy().astype(np.int64)
     low, high, inner = (batch[c].iloc[0] for c in ("low", "high", "inner"))
-    bits = folded(list(batch["bits"]))
-    found = []
-    for i in range(len(cls) - 1):
+    for i in range(len(n) - 1):
         end = np.searchsorted(n, 100 * n[i] // rule.threshold, side="right")
         j = np.arange(i + 1, end)
         j = j[(root[j] != root[i]) & ~(guest[j] & guest[i]) & ((block[j] != block[i]) | (low == high) | (inner & (block[i] == low)))]
-        if not len(j):
-            continue
-        differing = np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64)
-        most = np.minimum((n[i] + n[j] - differing) // 2, n[i])
-        keep = rule.linked(most, n[i] + n[j] - most)
-        if keep.any():
-            j, most = j[keep], most[keep]
-            swap = cls[j] < cls[i]
-            found.append(np.stack([np.where(swap, cls[j], cls[i]), np.where(swap, cls[i], cls[j]),
-                                   np.minimum(root[i], root[j]), np.maximum(root[i], root[j]), 1_000_000 * most // (n[i] + n[j] - most)], 1))
-    pairs = np.concatenate(found) if found else np.zeros((0, 5), np.int64)
-    if one_each and len(pairs):
-        pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0], -pairs[:, 4], pairs[:, 3], pairs[:, 2]))]
-        pairs = pairs[np.concatenate([[True], (pairs[1:, 2:4] != pairs[:-1, 2:4]).any(1)])]
-    return pairs[:, :2]
-
-
-def open_pairs(live: DataFrame, sets: DataFrame, roots: DataFrame, rule: Rule, one_each: bool) -> DataFrame:
-    """Pairs between different components that the bitmaps don't rule out, each once.
-
-    Tiles within one component are left out. The rows of a tile's largest component are not compared
-    with each other. Blocks are paired; a row is sent once per block that it is compared with.
+        if len(j):
+            differing = np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64)
+            most = np.minimum((n[i] + n[j] - differing) // 2, n[i])
+            j = j[rule.linked(most, n[i] + n[j] - most)]
+        if len(j):
+            yield i, j
+
+
+def open_rows(batch: pd.DataFrame, rule: Rule) -> np.ndarray:
+    """Which rows of a block have a pair that the bitmaps don't rule out."""
+    is_open = np.zeros(len(batch), bool)
+    for i, j in beyond_bound(batch, folded(list(batch["bits"])), batch["root"].to_numpy(), rule):
+        is_open[i] = is_open[j] = True
+    return is_open
+
+
+def joining_links(batch: pd.DataFrame, rule: Rule) -> np.ndarray:
+    """Of the links between the rows of a block, those that join components, fewer than rows."""
+    sets = [np.frombuffer(s, np.uint64) for s in batch["shingles"]]
+    cls, root = batch["cls"].to_numpy(), batch["root"].to_numpy().copy()
+    n = np.array([len(s) for s in sets])
+    starts = np.concatenate([[0], np.cumsum(n)])
+    names, at = np.unique(np.concatenate(sets), return_inverse=True)
+    at, has = at.astype(np.int32), np.zeros(len(names), bool)
+    found = []
+    for i, j in beyond_bound(batch, folded([bitmap(s) for s in sets]), root, rule):
+        own = at[starts[i]:starts[i + 1]]
+        has[own] = True
+        for k in j:
+            if root[k] != root[i]:
+                both = int(has[at[starts[k]:starts[k + 1]]].sum())
+                if rule.linked(both, n[i] + n[k] - both):
+                    found.append(sorted((cls[i], cls[k])))
+                    root[root == root[k]] = root[i]
+        has[own] = False
+    return np.array(found, np.int64).reshape(-1, 2)
+
+
+def blocks_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The blocks of rows sorted by key and part, each sorted by n."""
+    for batch in grouped(batches):
+        group = batch[["key", "part"]].to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]).any(1)]))
+        for s, e in zip(starts, [*starts[1:], len(batch)]):
+            yield batch.iloc[s:e].sort_values(["n", "cls"], kind="stable")
+
+
+DEALT = "key long, part long, cls long, n int, guest boolean, root long, block long, low long, high long, inner boolean"
+
+
+def dealt_blocks(large: DataFrame, roots: DataFrame, rule: Rule) -> DataFrame:
+    """The rows of tiles with several components, in blocks.
+
+    The rows of a tile's largest component are not compared with each other. Blocks are paired; a row is
+    sent once per block that it is compared with.
     """
     tile = ["key", "tile"]
-    rooted = live.join(roots, live["cls"] == roots["node"], "left").select(*tile, "cls", "n", "guest", F.coalesce("root", "cls").alias("root"))
+    rooted = large.join(roots, large["cls"] == roots["node"], "left").select(*tile, "cls", "n", "guest", F.coalesce("root", "cls").alias("root"))
     counts = rooted.groupBy(*tile, "root").agg(F.count("*").alias("rows")).groupBy(*tile).agg(
         F.sum("rows").alias("held"), F.max(F.struct("rows", "root")).alias("main")).filter("main.rows < held")
-    large = F.col("main.rows") > 1
-    size = F.greatest(F.lit(64), F.least(F.lit(BLOCK_ROWS), F.lit(BLOCK_BYTES) / (2 * F.pow(F.lit(100 / rule.threshold), F.col("tile") + 2)))).cast("long")
-    sized = counts.select(*tile, F.when(large, F.col("main.root")).alias("main"), size.alias("size"), F.when(large, F.col("main.rows")).otherwise(0).alias("mains"), "held")
+    several = F.col("main.rows") > 1
+    size = F.greatest(F.lit(64), F.least(F.lit(BLOCK_ROWS), F.lit(BLOCK_BYTES) / (8 * F.pow(F.lit(100 / rule.threshold), F.col("tile") + 2)))).cast("long")
+    sized = counts.select(*tile, F.when(several, F.col("main.root")).alias("main"), size.alias("size"), F.when(several, F.col("main.rows")).otherwise(0).alias("mains"), "held")
     cut = cut_lineage(sized.select(*tile, "main", F.ceil((F.col("held") - F.col("mains")) / F.col("size")).alias("others"), F.ceil(F.col("mains") / F.col("size")).alias("mains")))
     is_main, hash_ = F.coalesce(F.col("root") == F.col("main"), F.lit(False)), F.xxhash64("cls")
     block = F.when(is_main, F.col("others") + F.pmod(hash_, F.greatest("mains", F.lit(1)))).otherwise(F.pmod(hash_, "others"))
@@ -286,18 +351,39 @@ def open_pairs(live: DataFrame, sets: DataFrame, roots: DataFrame, rule: Rule, o
     # a block of other rows is compared within itself beside the first block of the largest component, or on its own if there is none
     meets = F.when(is_main | (F.col("mains") == 0), meets).otherwise(F.filter(meets, lambda o: o != F.col("block")))
     placed = rooted.join(cut, tile).withColumn("block", block).withColumn("other", F.explode(meets))
-    dealt = placed.select(
+    return placed.select(
         "key", F.xxhash64("tile", F.least("block", "other"), F.greatest("block", "other")).alias("part"), "cls", "n", "guest", "root", "block",
         F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), (F.greatest("block", "other") == F.col("others")).alias("inner"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in grouped(batches):
-            starts = np.flatnonzero(np.concatenate([[True], (batch[["key", "part"]].to_numpy()[1:] != batch[["key", "part"]].to_numpy()[:-1]).any(1)]))
-            parts = [beyond_bound(batch.iloc[s:e], rule, one_each) for s, e in zip(starts, [*starts[1:], len(batch)])]
-            yield pd.DataFrame(np.concatenate(parts), columns=["a", "b"])
 
-    joined = dealt.join(sets.select("cls", "bits"), "cls").repartition("key", "part").sortWithinPartitions("key", "part")
-    return joined.select("key", "part", "cls", "n", "guest", "root", "block", "low", "high", "inner", "bits").mapInPandas(run, PAIRS).distinct()
+def block_links(large: DataFrame, sets: DataFrame, roots: DataFrame, rule: Rule) -> DataFrame:
+    """Links of larger tiles that join different components, as many as it takes to join all that are linked."""
+    columns = [c.split()[0] for c in DEALT.split(", ")]
+
+    def left_open(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for block in blocks_of(batches):
+            yield block.loc[open_rows(block, rule), columns]
+
+    def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for block in blocks_of(batches):
+            yield pd.DataFrame(joining_links(block, rule), columns=["a", "b"])
+
+    def together(rows: DataFrame, held: DataFrame) -> DataFrame:
+        return rows.join(held, "cls").select(*columns, held.columns[1]).repartition("key", "part").sortWithinPartitions("key", "part")
+
+    wanted = cut_lineage(large.select("cls").distinct())
+    bits = bitmaps(sets.join(counted_broadcast(wanted, NARROW_ROWS), "cls", "left_semi"))
+    rest = cut_lineage(together(dealt_blocks(large, roots, rule), bits).mapInPandas(left_open, DEALT))
+    ends = cut_lineage(rest.select("cls").distinct())
+    held = sets.join(counted_broadcast(ends, NARROW_ROWS), "cls", "left_semi").select("cls", "shingles")
+    return together(rest, held).mapInPandas(linked, PAIRS).distinct()
+
+
+def across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose ends are not in one component."""
+    at = [roots.select(F.col("node").alias(c), F.col("root").alias(f"_{c}")) for c in ("a", "b")]
+    rooted = pairs.join(at[0], "a", "left").join(at[1], "b", "left")
+    return rooted.filter(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
 
 
 def linked_documents(docs: DataFrame, threshold: int = LINK) -> DataFrame:
@@ -316,14 +402,16 @@ def linked_documents(docs: DataFrame, threshold: int = LINK) -> DataFrame:
         frequent = frequent_slots(frequent_keys(plain_prefixes(found, threshold)))
         kinds = plain_prefixes(found, threshold) if frequent is None else reordered(found, docs, repeated, frequent, threshold)
         live = tiles(kinds, threshold)
-        sets = full_sets(live, kinds, docs, repeated)
-        links = cut_lineage(confirmed(cut_lineage(first_pairs(live, threshold)), sets, rule))
+        counted = counted_pairs(live.filter(F.col("held") <= PAIRED_ROWS), threshold)
+        large = cut_lineage(live.filter(F.col("held") > PAIRED_ROWS))
+        first = cut_lineage(first_pairs(counted, large, threshold))
+        wanted = large.select("cls").union(counted.select("a")).union(counted.select("b")).distinct()
+        sets = full_sets(wanted, kinds, docs, repeated)
+        links = cut_lineage(confirmed(first, sets, rule))
         roots = cut_lineage(components(links))
-        for one_each in (True, False):
-            more = cut_lineage(confirmed(cut_lineage(open_pairs(live, sets, roots, rule, one_each)), sets, rule))
-            if more.limit(1).count():
-                links = links.union(more)
-                roots = cut_lineage(components(links))
+        more = cut_lineage(confirmed(cut_lineage(across(counted, roots)), sets, rule).union(block_links(large, sets, roots, rule)))
+        if more.limit(1).count():
+            roots = cut_lineage(components(links.union(more)))
     named = named.select("cls", "label").join(roots, F.col("cls") == F.col("node"), "left").select("cls", "label", F.coalesce("root", "cls").alias("root"))
     least = named.groupBy("root").agg(F.min("label").alias("component_id"))
     labels = named.join(least, "root").select(F.col("cls").alias("set_key"), F.when(F.col("component_id") < NULL_DOC, F.col("component_id")).alias("component_id"))

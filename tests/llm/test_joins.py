@@ -7,6 +7,7 @@ import time
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from odd_rows import edited, prose
@@ -174,6 +175,47 @@ def test_join_matches_all_pairs(spark, odd_docs, no_docs, monkeypatch):
     assert joined(no_docs) == collections.Counter()
 
 
+def test_join_of_large_tiles_gives_out_fewer_links_than_rows(spark, monkeypatch):
+    """A group of near copies around the threshold, in blocks: links that join components, not all pairs."""
+    monkeypatch.setattr(jaccard, "PAIRED_ROWS", 3)
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(jaccard, "NEAREST", 1)
+    given, block_links = [], jaccard.block_links
+
+    def counted(large, *args):
+        links = jaccard.cut_lineage(block_links(large, *args))
+        given.append((links.count(), large.count()))
+        return links
+
+    monkeypatch.setattr(jaccard, "block_links", counted)
+    text = prose(31, 160)
+    rows = [(k, edited(text, k, 0.002 * (k % 12))) for k in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert joined(docs) == brute_join(rows, 80)
+    assert len(given) == 1 and 0 < given[0][0] < given[0][1]
+
+
+def test_joining_links_of_a_block():
+    rng = np.random.default_rng(8)
+    base, rule = np.sort(rng.integers(0, 1 << 63, 100, dtype=np.uint64)), jaccard.Rule(80)
+    sets = [np.sort(np.concatenate([np.delete(base, k), rng.integers(0, 1 << 63, 1, dtype=np.uint64)])) for k in range(40)]
+    sets.append(np.sort(np.concatenate([base[:60], rng.integers(0, 1 << 63, 40, dtype=np.uint64)])))  # linked with none
+    block = pd.DataFrame({"cls": range(41), "n": [len(s) for s in sets], "guest": False, "root": range(41), "block": 0, "low": 0, "high": 0, "inner": False,
+                          "shingles": [s.tobytes() for s in sets], "bits": [jaccard.bitmap(s) for s in sets]})
+    links = jaccard.joining_links(block, rule)
+    assert len(links) == 39 and links.max() < 40 and (links[:, 0] < links[:, 1]).all()
+    assert jaccard.open_rows(block, rule).tolist() == [True] * 40 + [False]
+    assert not len(jaccard.joining_links(block.assign(guest=True), rule)) and not len(jaccard.joining_links(block.assign(root=1), rule))
+
+
+def test_sets_that_meet_by_chance_give_out_no_pair(spark):
+    """Two sets share a few shingles of their prefixes, two others all but one; a set with few shingles needs only one."""
+    sets = [(1, 100, list(range(21))), (2, 100, [*range(100, 116), *range(5)]), (3, 100, [*range(1, 21), 300]), (4, 9, [100, 400]), (5, 9, [100, 401])]
+    kinds = spark.createDataFrame(sets, "cls long, n long, prefix array<long>")
+    pairs = jaccard.counted_pairs(jaccard.tiles(kinds, 80), 80).collect()
+    assert sorted(map(tuple, pairs)) == [(1, 3, 20), (4, 5, 1)]
+
+
 def test_bitmaps_bound_overlaps_from_above():
     rng = np.random.default_rng(2)
     for n, m, both in ((50, 60, 30), (100, 160, 90), (5, 7, 5), (1, 1, 0)):
