@@ -79,3 +79,21 @@ def test_late_window_changes_no_span():
     before = handle.value.held
     assert states(2) == ["late", "late"] and handle.value.held == before
     assert [r["window"] for r in json.loads(before[0])] == [1, 3]
+
+
+def test_rows_of_deliveries_are_made_once(spark, monkeypatch):
+    from paritas.catalog import streams
+    from paritas.catalog.base import Tables
+
+    made, sent = spark.sparkContext.accumulator(0), []
+
+    def counted(parts):
+        for part in parts:
+            made.add(len(part))
+            yield part
+
+    rows = spark.range(12).selectExpr("id AS shot", "int(id) AS round", "array(1) AS fired", "false AS is_final").mapInPandas(
+        counted, "shot long, round int, fired array<int>, is_final boolean")
+    monkeypatch.setattr(streams.batches, "run_decoder", lambda stream, decoder: sent.append(stream))
+    streams.delivered(Tables(spark, ""), rows, [("round < 4", "2024-01-01"), ("round > 6", "2024-01-02"), ("round between 4 and 6", "2024-01-03")], None)
+    assert made.value == 12 and len(sent) == 3
