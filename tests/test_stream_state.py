@@ -1,6 +1,7 @@
 """State handling of the stream processors, with a stand-in for Spark's handle."""
 
 import json
+from datetime import datetime
 from types import SimpleNamespace
 
 import pandas as pd
@@ -97,3 +98,56 @@ def test_rows_of_deliveries_are_made_once(spark, monkeypatch):
     monkeypatch.setattr(streams.batches, "run_decoder", lambda stream, decoder: sent.append(stream))
     streams.delivered(Tables(spark, ""), rows, [("round < 4", "2024-01-01"), ("round > 6", "2024-01-02"), ("round between 4 and 6", "2024-01-03")], None)
     assert made.value == 12 and len(sent) == 3
+
+
+def rounds_of(spark, *rows):
+    """(shot, round, fired, hour of arrival) as a micro-batch."""
+    from paritas.streaming import batches
+
+    return spark.createDataFrame([(s, r, f, False, datetime(2024, 1, 1, hour)) for s, r, f, hour in rows], batches.ROUND_SCHEMA)
+
+
+def stream_decoder(spark, path, **options):
+    from paritas.catalog import inputs as I
+    from paritas.catalog.base import Tables
+    from paritas.operators import sparse
+    from paritas.plans.spec import WindowSpec
+    from paritas.plans.windows import plan_windows
+    from paritas.streaming import batches
+
+    plan = plan_windows(I.toy(Tables(spark, "")), WindowSpec(4, 2, 4))
+    return batches.BatchDecoder(plan, sparse.Lookup(plan), str(path), **options)
+
+
+def test_shots_in_equal_states_take_the_steps_of_a_batch_as_one(spark, tmp_path, monkeypatch):
+    from paritas.operators import sparse
+
+    decoder, sizes, step = stream_decoder(spark, tmp_path), [], sparse.attempt_step
+
+    def counted(state, *given, **options):
+        sizes.append(state.count())
+        return step(state, *given, **options)
+
+    monkeypatch.setattr(sparse, "attempt_step", counted)
+    decoder(rounds_of(spark, *[(s, r, [0] if s % 2 and r == 3 else [], 0) for s in range(40) for r in range(1, 8)]), 0)
+    got = {}
+    for row in decoder.output(spark).collect():
+        got.setdefault(row.shot, []).append((row.record.window, row.record.committed, row.record.frame))
+    assert sizes == [2, 2, 2] and len(got) == 40
+    assert all(sorted(got[s]) == sorted(got[s % 2]) for s in got) and sorted(got[0]) != sorted(got[1])
+
+
+def test_late_repeated_and_refused_rounds_with_a_watermark(spark, tmp_path):
+    decoder = stream_decoder(spark, tmp_path, strict=True, delay_seconds=7200)
+
+    def told(*rows):
+        batch = told.batch = getattr(told, "batch", -1) + 1
+        decoder(rounds_of(spark, *rows), batch)
+        return sorted((r.shot, r.kind, r.detail) for r in spark.read.parquet(f"{tmp_path}/out/{batch}").collect())
+
+    assert told((1, 1, [], 1), (2, 3, [], 1), (2, 3, [], 1)) == [(2, "error", "out_of_order:3")]
+    assert told((2, 3, [], 2), (3, 1, [], 4)) == [(1, "error", "abandoned")]  # told once; the watermark is at 2 now
+    assert told((1, 1, [], 3), (4, 1, [], 2)) == []  # a repeated round of the abandoned shot, a late one
+    assert sorted(r.shot for r in decoder.table(spark, "open", 2).collect()) == [1, 3]
+    assert told((5, 1, [], 9)) == [(3, "error", "abandoned")]
+    assert [r.shot for r in decoder.table(spark, "open", 3).collect()] == [5]
